@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, secrets, token_counts, topk, url_rules
+from . import bpe, langid, media, packing, secrets, token_counts, topk, toxicity, url_rules
 from ._shared import read_table
 
 
@@ -34,13 +34,23 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return langid.language_predictions(documents, langid.train(documents))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_exact_top_k, op4_bpe_round_trip, op5_packing, op6_token_counts, op7_url_rules, op10_media_columns)
+    for f in (op1_secret_scan, op2_exact_top_k, op4_bpe_round_trip, op5_packing, op6_token_counts, op7_url_rules, op8_toxicity, op9_language_id, op10_media_columns)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": topk.ORACLE, "op7_url_rules": url_rules.ORACLE}

@@ -146,9 +146,9 @@ def every_nth(vectors: DataFrame, n: int = EVERY) -> DataFrame:
 
 ORACLE = """
 WITH units AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS u
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS u
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_dot_product(CAST(q.u AS DOUBLE[]), CAST(c.u AS DOUBLE[])) AS BIGINT) AS score

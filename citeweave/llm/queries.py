@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, packing, secrets, token_counts, topk, toxicity, url_rules
+from . import bpe, dedup, langid, media, packing, secrets, token_counts, topk, toxicity, url_rules
 from ._shared import read_table
 
 
@@ -18,6 +18,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, topk.every_nth(vectors))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,7 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_exact_top_k, op4_bpe_round_trip, op5_packing, op6_token_counts, op7_url_rules, op8_toxicity, op9_language_id, op10_media_columns)
+    for f in (op1_secret_scan, op2_exact_top_k, op3_near_duplicates, op4_bpe_round_trip, op5_packing, op6_token_counts, op7_url_rules, op8_toxicity, op9_language_id, op10_media_columns)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": topk.ORACLE, "op7_url_rules": url_rules.ORACLE}

@@ -34,7 +34,7 @@ CAPACITY, END_ID, GROUP, FINE, FINEST = 4096, 2, 2048, 512, 32
 CACHE_ENTRIES, CACHE_LONGEST = 800_000, 64
 
 #: White space of the tokenizer's pattern. str.split knows four control characters more.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _MORE_SPACE = re.compile("[\x1c-\x1f]")
 #: A comma or full stop after a plain letter or digit begins a word; this finds any other.
 _ODD_STOP = re.compile("(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])[,.]")

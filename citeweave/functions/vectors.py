@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import vocab
 
 
+def let(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once, however often ``use`` refers to it, also inside lambdas."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -38,13 +43,18 @@ def sparse_embedding(terms: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -
     A dense vector of this kind is nearly all zeros, so the map is what is stored
     and compared; ``dense`` spells it out.
     """
-    plus = F.transform(F.filter(terms, term_positive), lambda t: term_slot(t, dimensions))
-    minus = F.transform(F.filter(terms, lambda t: ~term_positive(t)), lambda t: term_slot(t, dimensions))
+    slots = lambda t, sign: F.transform(F.filter(t, sign), lambda x: term_slot(x, dimensions))
     times = lambda a, i: F.size(a) - F.size(F.array_remove(a, i))
-    raw = F.transform(F.array_distinct(F.concat(plus, minus)), lambda i: F.struct(i.alias("key"), (times(plus, i) - times(minus, i)).cast("double").alias("value")))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, e: a + e["value"] * e["value"]))
-    unit = F.transform(raw, lambda e: F.struct(e["key"], F.coalesce(F.round(F.try_divide(e["value"], length), 8), F.lit(0.0))))
-    return F.map_from_entries(unit)
+
+    def counted(plus: Column, minus: Column) -> Column:
+        return F.transform(F.array_distinct(F.concat(plus, minus)), lambda i: F.struct(i.alias("key"), (times(plus, i) - times(minus, i)).cast("double").alias("value")))
+
+    def unit(raw: Column) -> Column:
+        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, e: a + e["value"] * e["value"]))
+        return let(length, lambda n: F.transform(raw, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.round(F.try_divide(e["value"], n), 8), F.lit(0.0)).alias("value"))))
+
+    signed = let(terms, lambda t: F.struct(slots(t, term_positive).alias("plus"), slots(t, lambda x: ~term_positive(x)).alias("minus")))
+    return F.map_from_entries(let(signed, lambda s: let(counted(s["plus"], s["minus"]), unit)))
 
 
 def dense(embedding: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:

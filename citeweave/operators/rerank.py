@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .search import bonus, specificity
 
-_QUESTION = Window.partitionBy("qid")
+def _question():
+    return Window.partitionBy("qid")
 
 
 def _contains_either(a: Column, b: Column) -> Column:
@@ -53,7 +54,8 @@ def base_score(rows: DataFrame) -> DataFrame:
     hay, body, section = F.col("__hay"), F.col("body"), F.col("section_text")
     faq = kind == "faq"
     asked = T.normalize_query(F.regexp_extract(text, rf"(?is)Question:{T.SPACE}*(.+?)\nAnswer:", 1))
-    coverage = F.coalesce(F.try_divide(F.size(F.array_intersect("q_terms", F.array_distinct(T.search_terms(hay)))).cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
+    terms = F.col("terms") if "terms" in rows.columns else F.array_distinct(T.search_terms(hay))
+    coverage = F.coalesce(F.try_divide(F.size(F.array_intersect("q_terms", terms)).cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
     # Weights of the base score.
     parts = [
         F.coalesce("vector_score", F.lit(0.0)) * 0.68,
@@ -96,9 +98,9 @@ def _place(first: Column) -> Column:
 
 def with_anchor(rows: DataFrame) -> DataFrame:
     """Adds ``base_rank`` and ``anchor``: the first fitting chunk near the top for curing and tooling questions, else the first."""
-    rows = rows.withColumn("base_rank", F.row_number().over(_QUESTION.orderBy(F.desc("score"), "rank")))
+    rows = rows.withColumn("base_rank", F.row_number().over(_question().orderBy(F.desc("score"), "rank")))
     signs = F.concat_ws(" ", "section_text", "body")
-    near = lambda share: F.col("score") >= F.max("score").over(_QUESTION) * share
+    near = lambda share: F.col("score") >= F.max("score").over(_question()) * share
     rows = rows.withColumns(
         {
             "__curing": F.col("q_curing") & signs.rlike(T.words("cur(?:e|ing|ed)|72 hours|daily watering|dry out|watering")) & near(0.68),
@@ -110,7 +112,7 @@ def with_anchor(rows: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("__place", _place(F.col("base_rank")))
-    first = lambda condition: F.min(F.when(condition, F.col("__place"))).over(_QUESTION)
+    first = lambda condition: F.min(F.when(condition, F.col("__place"))).over(_question())
     return rows.withColumn("anchor", F.coalesce(first(F.col("__curing")), first(F.col("__tooling")), first(F.lit(True)))).drop("__curing", "__tooling", "__place")
 
 
@@ -139,7 +141,7 @@ def rerank(rows: DataFrame) -> DataFrame:
         .otherwise(0.0)
     )
     moved = rows.withColumn("score", F.col("score") + F.when(F.col("id") == anchor["id"], 0.0).otherwise(continuity) + support)
-    return moved.withColumn("rank", F.row_number().over(_QUESTION.orderBy(F.desc("score"), "base_rank"))).drop("base_rank", "anchor", "body", "section_text")
+    return moved.withColumn("rank", F.row_number().over(_question().orderBy(F.desc("score"), "base_rank"))).drop("base_rank", "anchor", "body", "section_text")
 
 
 def diversify(rows: DataFrame, limit: int) -> DataFrame:
@@ -150,7 +152,7 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
     needs only the first four of each such class; filling up needs only the first
     2 * limit of all. The walk itself is a fold over these few.
     """
-    first = F.min(_place(F.col("rank"))).over(_QUESTION)
+    first = F.min(_place(F.col("rank"))).over(_question())
     key = T.section_key(F.col("section_path"))
     page = F.concat_ws("-", "page_from", "page_to")
     rows = rows.withColumn("__first", first).withColumn("__section", key).withColumn("__page", page)

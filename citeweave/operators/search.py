@@ -104,11 +104,16 @@ def keyword_rank(fts: Column, terms: Column) -> Column:
 
     It stands in for the database's own ranking function, whose exact values are not public semantics here.
     """
-    first = F.transform(terms, lambda t: F.array_position(fts, t))
-    width = (F.array_max(first) - F.array_min(first) + 1).cast("double")
-    often = F.aggregate(terms, F.lit(0), lambda a, t: a + (F.size(fts) - F.size(F.array_remove(fts, t))))
-    rank = F.try_divide(F.size(terms) * often.cast("double"), width * (1 + F.log(F.greatest(F.size(fts), F.lit(1)).cast("double"))))
-    return F.when((F.size(terms) > 0) & F.forall(terms, lambda t: F.array_contains(fts, t)), F.coalesce(rank, F.lit(0.0)))
+
+
+    def rank(doc: Column, asked: Column) -> Column:
+        first = F.transform(asked, lambda t: F.array_position(doc, t))
+        width = V.let(first, lambda p: (F.array_max(p) - F.array_min(p) + 1).cast("double"))
+        often = F.aggregate(asked, F.lit(0), lambda a, t: a + (F.size(doc) - F.size(F.array_remove(doc, t))))
+        value = F.try_divide(F.size(asked) * often.cast("double"), width * (1 + F.log(F.greatest(F.size(doc), F.lit(1)).cast("double"))))
+        return F.when((F.size(asked) > 0) & F.forall(asked, lambda t: F.array_contains(doc, t)), F.coalesce(value, F.lit(0.0)))
+
+    return V.let(fts, lambda doc: rank(doc, terms))
 
 
 def hybrid_merge(vector_hits: DataFrame, keyword_hits: DataFrame, carried: list[str], limit: int = vocab.MERGED) -> DataFrame:

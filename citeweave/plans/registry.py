@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import vocab
-from ..operators import chunking, rerank, search
+from ..operators import answer, chunking, citations, layout, rerank, search
+from ..sources import store
+from ..streaming import ingest
+from . import lifecycle, views
 from . import sql as S
-from . import views
 from .views import table
 
 QUERIES: dict = {}
@@ -240,3 +242,165 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("document_id", "source_id", T.joined_path(F.col("section_path")).alias("section"), "chunk_type", "text")
 
 
+
+
+# Structured rows as layout lines: each document's lines stand on pages of ten, with font sizes from their lengths.
+
+
+def layout_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.select(
+        "document_id",
+        F.col("doc_id").alias("page"),
+        F.col("pos").alias("line_no"),
+        "text",
+        F.lit(40.0).alias("x"),
+        (F.lit(800.0) - F.col("pos") * 14).alias("y"),
+        (F.length("text") % 7 + 10).cast("double").alias("font_size"),
+    )
+
+
+_LAYOUT = r"""
+layout AS (
+  SELECT source AS document_id, doc_id AS page, line_no - 1 AS line_no, text, CAST(length(text) % 7 + 10 AS DOUBLE) AS font_size
+  FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))
+"""
+
+
+@query(rf"""WITH {_LAYOUT},
+prose AS (
+  SELECT document_id, font_size, row_number() OVER (PARTITION BY document_id ORDER BY font_size) AS i, count(*) OVER (PARTITION BY document_id) AS n
+  FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM layout)
+  WHERE length(t) >= 20 AND length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 8
+    AND length(regexp_replace(t, '[^A-Z]', '', 'g')) / length(regexp_replace(t, '[^A-Za-z]', '', 'g')) < 0.65 AND font_size > 0)
+SELECT d.document_id, coalesce(max(p.font_size), 14) AS body_font
+FROM (SELECT DISTINCT document_id FROM layout) d LEFT JOIN prose p ON p.document_id = d.document_id AND p.i = p.n // 2 + 1 GROUP BY d.document_id""")
+def layout_body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.body_fonts(layout_view(spark, sf_dir))
+
+
+@query(f"WITH {_LAYOUT} SELECT document_id, page, coalesce(nullif(median(font_size), 0), 12) AS median_font FROM layout GROUP BY ALL")
+def layout_page_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_medians(layout_view(spark, sf_dir))
+
+
+@query(rf"""WITH {_LAYOUT},
+placed AS (
+  SELECT document_id, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY document_id, page) AS n,
+    trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[0-9]+', '', 'g'), ' ') AS key FROM layout),
+ends AS (SELECT document_id, key FROM placed WHERE i < 3 UNION ALL SELECT document_id, key FROM placed WHERE i >= n - 4)
+SELECT document_id, key, count(*) AS n FROM ends WHERE length(key) BETWEEN 3 AND 80 GROUP BY ALL""")
+def layout_boundary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.boundary_counts(layout_view(spark, sf_dir))
+
+
+@query()
+def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned pages of every workspace, chunked; fixtures in the tests hold the details."""
+    lines = layout.clean_pages(layout.merge_wrapped(layout_view(spark, sf_dir)))
+    return chunking.chunk_layout(lines).select("document_id", "id", "page_from", T.joined_path(F.col("section_path")).alias("section"), "chunk_type", "text")
+
+
+@query("""
+SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS history, count(*) AS n_turns
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id
+""")
+def history_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.last_turns(table(spark, sf_dir, "conversations"))
+
+
+@query(f"""
+SELECT d.document_id, count(c.id) AS chunk_count
+FROM (SELECT DISTINCT source AS document_id FROM documents UNION SELECT 'none') d LEFT JOIN ({views.CHUNKS_SQL}) c USING (document_id) GROUP BY d.document_id
+""")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().union(spark.sql("SELECT 'none' AS id"))
+    return store.chunk_counts(known, views.workspace_chunks(spark, sf_dir))
+
+
+@query(f"""
+WITH c AS (SELECT document_id, id, text FROM ({views.CHUNKS_SQL})),
+fresh AS (SELECT document_id, 'new-' || id AS id, reverse(text) AS text FROM c WHERE document_id IN ('src1', 'src2') AND text LIKE '%the%')
+SELECT * FROM c WHERE document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT * FROM fresh
+""")
+def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workspaces are chunked anew; all of their old chunks go."""
+    stored = views.workspace_chunks(spark, sf_dir).select("document_id", "id", "text")
+    fresh = stored.filter(F.col("document_id").isin("src1", "src2") & F.contains("text", F.lit("the")))
+    return store.replace_chunks(stored, fresh.select("document_id", F.concat(F.lit("new-"), "id").alias("id"), F.reverse("text").alias("text")))
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS document_id, arg_max(event_type, event_id) AS status, max(ts) AS updated_at FROM events GROUP BY user_id
+""")
+def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as the history of a document."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("document_id"), F.col("event_id").alias("seq"), F.lit("status").alias("field"), F.col("event_type").alias("value"), F.lit(None).cast("string").alias("error_message"), F.col("ts").alias("at")
+    )
+    return lifecycle.current_state(events).select("document_id", "status", "updated_at")
+
+
+_VERSIONS = "('a', 'ready', 'pdf-parse', 'local-layout-parser', 2), ('b', 'ready', 'pdf-parse', 'local-layout-parser', 3), ('c', 'ready', 'hosted', 'cloud', 2), ('d', 'ready', 'x', 'local-text-parser', NULL), ('e', 'parsing', 'pdf-parse', 'local-layout-parser', 2)"
+
+
+@query(f"""
+SELECT id, status = 'ready' AND (provider = 'pdf-parse' OR mode IN ('local-layout-parser', 'local-text-parser')) AND version IS DISTINCT FROM 3 AS stale
+FROM (VALUES {_VERSIONS}) t(id, status, provider, mode, version)
+""")
+def version_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT * FROM VALUES {_VERSIONS} AS t(id, status, provider, mode, version)")
+    meta = F.create_map(F.lit("provider"), "provider", F.lit("mode"), "mode")
+    return rows.select("id", lifecycle.needs_reingestion(F.col("status"), meta, F.col("version")).alias("stale"))
+
+
+@query(r"""
+SELECT p_partkey, lower(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))[1:80] AS slug,
+  regexp_replace(p_type, '[^a-zA-Z0-9._-]+', '-', 'g') AS filename, 'Pages ' || p_size || '-' || (p_size + 1) AS pages, 'src-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS source_id,
+  upper(p_name[1]) || p_name[2:] AS capital
+FROM part
+""")
+def scalar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.slugify(F.col("p_name")).alias("slug"), T.sanitize_filename(F.col("p_type")).alias("filename"), T.page_label(n, n + 1).alias("pages"), T.numbered(F.lit("src-"), n).alias("source_id"), T.capitalize(F.col("p_name")).alias("capital")
+    )
+
+
+_CITED = "(1, array('S2', 'S9', 'S1', 'S2')), (2, array('S1')), (3, array('S7'))"
+
+
+@query("""
+WITH answers AS (SELECT * FROM (VALUES (1, ['S2', 'S9', 'S1', 'S2']), (2, ['S1']), (3, ['S7'])) t(qid, cited)),
+labels AS (SELECT 1 AS qid, 'S1' AS label, 'Page 4' AS page_label UNION ALL SELECT 1, 'S2', 'Pages 5-6' UNION ALL SELECT 2, 'S1', 'Page 1'),
+cited AS (SELECT qid, unnest(cited) AS label, generate_subscripts(cited, 1) AS pos FROM answers)
+SELECT qid, label, page_label FROM cited JOIN labels USING (qid, label) GROUP BY ALL
+""")
+def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that name retrieved excerpts, once each, with their page labels."""
+    shown = spark.sql("SELECT * FROM VALUES (1L, 'S1', 4, 4), (1L, 'S2', 5, 6), (2L, 'S1', 1, 1) AS t(qid, label, page_from, page_to)").withColumn("section_path", F.expr("array('A')")).withColumn("chunk_type", F.lit("paragraph"))
+    cited = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, cited FROM VALUES {_CITED} AS t(qid, cited)")
+    labels = shown.groupBy("qid").agg(F.collect_set("label").alias("labels"))
+    kept = cited.join(labels, "qid", "left").select("qid", citations.allowed_citations(F.col("cited"), F.coalesce("labels", F.expr("cast(array() as array<string>)"))).alias("used_source_ids"))
+    found = citations.resolve_sources(kept, shown)
+    return found.select(F.col("qid").cast("int").alias("qid"), F.explode("sources").alias("s")).select("qid", F.col("s.id").alias("label"), F.col("s.page_label").alias("page_label"))
+
+
+@query()
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to all questions from their labelled chunks, every statement cited."""
+    return answer.answers(retrieve(views.workspace_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir)))
+
+
+@query()
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt that a hosted model would get for every question."""
+    found = retrieve(views.workspace_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
+    asked = views.workspace_questions(spark, sf_dir).join(citations.context_text(found), "qid", "left")
+    nothing = F.lit(None).cast("string")
+    return asked.select("qid", citations.prompt_text(F.col("question"), F.lit("answer"), nothing, nothing, F.col("context")).alias("prompt"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.status_counts(table(spark, sf_dir, "events"))

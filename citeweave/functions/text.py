@@ -63,9 +63,9 @@ def stem(word: Column) -> Column:
         .when((n > 4) & word.endswith("s") & ~word.endswith("ss"), word.substr(F.lit(1), n - 1))
         .otherwise(word)
     )
-    for pattern, to in reversed(vocab.STEMS):
-        plain = F.when(word.rlike(rf"\A(?:{pattern})\z"), F.lit(to)).otherwise(plain)
-    return plain
+    known = reduce(lambda acc, forms: F.when(word.isin(*forms), forms[0]).otherwise(acc), vocab.STEMS, word)
+    # most words are in no list: one look into the set of all spares them the others
+    return F.when(word.isin(*(w for forms in vocab.STEMS for w in forms)), known).otherwise(plain)
 
 
 def search_terms(x: Column) -> Column:

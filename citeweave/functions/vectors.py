@@ -27,34 +27,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(0.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
 
 
-def term_slot(term: Column, dimensions: int) -> Column:
-    """The dimension that a term counts in: the first four bytes of its SHA-1."""
-    return (F.conv(F.substring(F.sha1(term.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+def term_code(term: Column, dimensions: int) -> Column:
+    """Twice the dimension that a term counts in, plus one if it counts positively.
 
-
-def term_positive(term: Column) -> Column:
-    """The sign it counts with: the parity of the fifth byte."""
-    return F.conv(F.substring(F.sha1(term.cast("binary")), 9, 2), 16, 10).cast("int") % 2 == 0
+    The dimension comes from the first four bytes of the term's SHA-1, the sign from the parity of the fifth.
+    """
+    return let(F.conv(F.substring(F.sha1(term.cast("binary")), 1, 10), 16, 10).cast("long"), lambda v: F.shiftright(v, 8) % dimensions * 2 + (1 - v % 2))
 
 
 def sparse_embedding(terms: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:
     """Signed term counts of a text, of length one, as a map from dimension to value; empty without terms.
 
     A dense vector of this kind is nearly all zeros, so the map is what is stored
-    and compared; ``dense`` spells it out.
+    and compared; ``dense`` spells it out. The terms' codes are sorted, so a dimension's
+    terms stand together and one pass sums them.
     """
-    slots = lambda t, sign: F.transform(F.filter(t, sign), lambda x: term_slot(x, dimensions))
-    times = lambda a, i: F.size(a) - F.size(F.array_remove(a, i))
+    codes = F.array_sort(F.transform(terms, lambda t: term_code(t, dimensions)))
+    entries = "cast(array() as array<struct<key:int,value:double>>)"
+    start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0.0).alias("n"), F.expr(entries).alias("out"))
+
+    def closed(acc: Column) -> Column:
+        entry = F.struct(acc["slot"].cast("int").alias("key"), acc["n"].alias("value"))
+        return F.when(acc["slot"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], entry))
 
-    def counted(plus: Column, minus: Column) -> Column:
-        return F.transform(F.array_distinct(F.concat(plus, minus)), lambda i: F.struct(i.alias("key"), (times(plus, i) - times(minus, i)).cast("double").alias("value")))
+    def step(acc: Column, code: Column) -> Column:
+        slot, sign = F.shiftright(code, 1), (code % 2 * 2 - 1).cast("double")
+        same = slot == acc["slot"]
+        return F.struct(slot.alias("slot"), F.when(same, acc["n"] + sign).otherwise(sign).alias("n"), F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"))
 
     def unit(raw: Column) -> Column:
         length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, e: a + e["value"] * e["value"]))
         return let(length, lambda n: F.transform(raw, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.round(F.try_divide(e["value"], n), 8), F.lit(0.0)).alias("value"))))
 
-    signed = let(terms, lambda t: F.struct(slots(t, term_positive).alias("plus"), slots(t, lambda x: ~term_positive(x)).alias("minus")))
-    return F.map_from_entries(let(signed, lambda s: let(counted(s["plus"], s["minus"]), unit)))
+    return F.map_from_entries(let(F.aggregate(codes, start, step, closed), unit))
 
 
 def dense(embedding: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:

@@ -6,22 +6,22 @@ STOPWORDS = (
     "about", "there", "their", "them", "then", "will", "would", "should", "could", "does", "using", "only", "page", "pages",
 )
 
-# Whole-word patterns and their stems, the first that fits.
+# Words that share a stem; the stem comes first.
 STEMS = (
-    ("cur(?:e|es|ed|ing)", "cure"),
-    ("water(?:ing|ed|s)?", "water"),
-    ("lay(?:ing|ed|s)?", "lay"),
-    ("compact(?:ion|ing|ed|s)?", "compact"),
-    ("mix(?:ing|ed|es)?", "mix"),
-    ("tools?", "tool"),
-    ("methods?", "method"),
-    ("rammers?", "rammer"),
-    ("vibrators?", "vibrator"),
-    ("aggregates?", "aggregate"),
-    ("applications?", "application"),
-    ("days?", "day"),
-    ("weeks?", "week"),
-    ("hours?", "hour"),
+    ("cure", "cures", "cured", "curing"),
+    ("water", "waters", "watered", "watering"),
+    ("lay", "lays", "layed", "laying"),
+    ("compact", "compacts", "compacted", "compacting", "compaction"),
+    ("mix", "mixes", "mixed", "mixing"),
+    ("tool", "tools"),
+    ("method", "methods"),
+    ("rammer", "rammers"),
+    ("vibrator", "vibrators"),
+    ("aggregate", "aggregates"),
+    ("application", "applications"),
+    ("day", "days"),
+    ("week", "weeks"),
+    ("hour", "hours"),
 )
 
 # Question vocabularies, compared with stemmed terms.

@@ -49,13 +49,12 @@ value_row = _has(r"^(?:~?\d+(?:[.,]\d+)?\b|for every \d|measure by\b)")
 about_pronoun = _has(r"^(?:what|why|how|can|is|are|do|does|should|will)\s+(?:this|that|it|they|those|these)\b")
 TOOL_WORDS = {w: _has(rf"\b{p}\b") for w, p in (("bamboo", "bamboo"), ("vibrator", "vibrators?"), ("rammer", "rammers?"), ("manual", "manual"), ("mechanical", "mechanical"))}
 
-_STEMS = [(re.compile(p, re.ASCII), to) for p, to in vocab.STEMS]
+_STEMS = {word: forms[0] for forms in vocab.STEMS for word in forms}
 
 
 def stem(word: str) -> str:
-    for pattern, to in _STEMS:
-        if pattern.fullmatch(word):
-            return to
+    if word in _STEMS:
+        return _STEMS[word]
     if len(word) > 4 and word.endswith("ies"):
         return word[:-3] + "y"
     return word[:-1] if len(word) > 4 and word.endswith("s") and not word.endswith("ss") else word

@@ -35,8 +35,9 @@ SELECT doc_id, len({S.terms('text')}) AS n_terms, len(list_distinct({S.terms('te
 FROM documents
 """)
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = T.search_terms(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(terms).alias("n_terms"), F.size(F.array_distinct(terms)).alias("n_distinct"), T.estimate_tokens(F.col("text")).alias("est_tokens"))
+    counts = V.let(T.search_terms(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("d")))
+    rows = table(spark, sf_dir, "documents").withColumn("c", counts)
+    return rows.select("doc_id", F.col("c.n").alias("n_terms"), F.col("c.d").alias("n_distinct"), T.estimate_tokens(F.col("text")).alias("est_tokens"))
 
 
 @query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, value FROM {S.embedding('documents', 'doc_id', 'text')}")

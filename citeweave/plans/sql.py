@@ -10,7 +10,7 @@ def quoted(values) -> str:
 
 
 def stem(w: str) -> str:
-    cases = " ".join(f"WHEN regexp_full_match({w}, '{p}') THEN '{to}'" for p, to in vocab.STEMS)
+    cases = " ".join(f"WHEN {w} IN ({quoted(forms)}) THEN '{forms[0]}'" for forms in vocab.STEMS)
     return (
         f"CASE {cases} WHEN length({w}) > 4 AND ends_with({w}, 'ies') THEN {w}[1:-4] || 'y' "
         f"WHEN length({w}) > 4 AND ends_with({w}, 's') AND NOT ends_with({w}, 'ss') THEN {w}[1:-2] ELSE {w} END"

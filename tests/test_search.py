@@ -41,7 +41,7 @@ def test_embedding_of_terms(spark):
         n = math.sqrt(sum(x * x for x in v))
         return {i: round(x / n, 8) for i, x in enumerate(v) if x} if n else {}
 
-    assert got == [brute(t) for (t,) in rows] and V.term_slot is not None
+    assert got == [brute(t) for (t,) in rows]
     dense = spark.createDataFrame(rows, "t string").select(V.dense(V.sparse_embedding(T.search_terms(F.col("t")), 64), 64)).first()[0]
     assert len(dense) == 64 and {i: x for i, x in enumerate(dense) if x} == got[0]
 

@@ -19,11 +19,12 @@ def _contains_either(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def _match_tiers(found: Column, same: float, part: float, overlap: float) -> Column:
+def _match_tiers(found: str, same: float, part: float, overlap: float) -> Column:
     """Bonus for a title or FAQ question that equals, contains, or shares terms with the question; none if empty."""
-    shared = F.size(F.array_intersect("q_terms", F.array_distinct(T.search_terms(found))))
+    text = F.col(found)
+    shared = F.size(F.array_intersect("q_terms", f"{found}_terms"))
     enough = shared >= F.greatest(F.lit(2), F.floor(F.size("q_terms") * F.lit(0.6)).cast("int"))
-    return F.when(found == "", 0.0).when(found == F.col("q_norm"), same).when(_contains_either(found, F.col("q_norm")), part).when(enough, overlap).otherwise(0.0)
+    return F.when(text == "", 0.0).when(text == F.col("q_norm"), same).when(_contains_either(text, F.col("q_norm")), part).when(enough, overlap).otherwise(0.0)
 
 
 def _formula_bonus(path: Column, body: Column) -> Column:
@@ -37,50 +38,88 @@ def _formula_bonus(path: Column, body: Column) -> Column:
     )
 
 
-def _composition_faq_penalty(body: Column) -> Column:
-    asked = T.normalize_query(F.regexp_extract(body, rf"(?i)question:{T.SPACE}*(.+?){T.SPACE}+answer:{T.SPACE}*([\s\S]+)", 1))
-    off_topic = bonus(~asked.rlike(T.words("ratio|mix|water|booster|quantity|how much|proportion")), 0.6)
-    bare = bonus(T.count_matches(body, T.NUMBER) < 2, 0.6)
-    return F.when(asked == "", -1.8).when(_contains_either(asked, F.col("q_norm")), 0.0).otherwise(-(F.lit(1.6) + off_topic + bare))
+# Patterns in a chunk's haystack, body, section line, and in both of the latter.
+_IN_HAYSTACK = {
+    "procedure": "mix|lay|cur(?:e|ing|ed)|compact|step|water",
+    "composition": "fat lime|ash|sand|aggregate|water|booster|ratio|mix",
+    "tooling": "tool|rammer|vibrator|bamboo|mechanical|manual",
+    "curing": "cur(?:e|ing|ed)|watering|72 hours|dry out",
+}
+_IN_BODY = {
+    "yesno": T.leading("yes|no"),
+    "faq_tools": "rammer|vibrator|bamboo|mechanical|manual",
+    "ingredients": T.words("fat lime|ash|sand|aggregate|water|booster|25kg"),
+    "cures": T.words("cur(?:e|ing|ed)|72 hours|daily watering|wait about 4-6 days|dry out"),
+    "tools": T.words("rammers?|vibrators?|bamboo|mechanical|manual"),
+}
+_IN_SECTION = {"regime": "(?i)curing regime", "tool_section": T.words("tools?|compaction")}
+_IN_BOTH = {
+    "curing_chunk": T.words("cur(?:e|ing|ed)|72 hours|daily watering|dry out|watering"),
+    "tooling_chunk": T.words("tools?|compaction|rammers?|vibrators?|bamboo|mechanical|manual"),
+}
+_FAQ_QUESTION = rf"(?is)Question:{T.SPACE}*(.+?)\nAnswer:"
+_FAQ_IN_BODY = rf"(?i)question:{T.SPACE}*(.+?){T.SPACE}+answer:{T.SPACE}*([\s\S]+)"
+
+
+def with_features(chunks: DataFrame) -> DataFrame:
+    """Adds all that reranking asks of a chunk alone, as ``f_`` columns: computed once a chunk, not once a question."""
+    path, text, kind = F.col("section_path"), F.col("text"), F.col("chunk_type")
+    rows = chunks.withColumns({"f_hay": T.haystack(path, text), "f_body": T.clean_body(path, text), "f_section": T.joined_path(path, " "), "f_title": T.normalize_query(T.deepest(path))})
+    rows = rows.withColumns(
+        {
+            "f_asked": F.when(kind == "faq", T.normalize_query(F.regexp_extract(text, _FAQ_QUESTION, 1))).otherwise(""),
+            "f_told": F.when(kind == "faq", T.normalize_query(F.regexp_extract("f_body", _FAQ_IN_BODY, 1))).otherwise(""),
+            "f_digit": text.rlike(r"\d"),
+            "f_formula": _formula_bonus(path, F.col("f_body")),
+            "f_few_numbers": F.when(kind == "faq", T.count_matches(F.col("f_body"), T.NUMBER) < 2).otherwise(False),
+            **{f"f_{k}": F.col("f_hay").rlike(p) for k, p in _IN_HAYSTACK.items()},
+            **{f"f_{k}": F.col("f_body").rlike(p) for k, p in _IN_BODY.items()},
+            **{f"f_{k}": F.col("f_section").rlike(p) for k, p in _IN_SECTION.items()},
+            **{f"f_{k}": F.concat_ws(" ", "f_section", "f_body").rlike(p) for k, p in _IN_BOTH.items()},
+        }
+    )
+    terms = lambda c: F.array_distinct(T.search_terms(F.col(c)))
+    rows = rows.withColumns({"f_title_terms": terms("f_title"), "f_asked_terms": terms("f_asked"), "f_terms": F.col("terms") if "terms" in chunks.columns else terms("f_hay")})
+    return rows.withColumn("f_off_topic", ~F.col("f_told").rlike(T.words("ratio|mix|water|booster|quantity|how much|proportion"))).drop("f_section")
 
 
-def base_score(rows: DataFrame) -> DataFrame:
-    """Replaces ``score`` by the base score of question and chunk; needs the question's signals.
+def _composition_faq_penalty() -> Column:
+    told = F.col("f_told")
+    worse = F.lit(1.6) + bonus(F.col("f_off_topic"), 0.6) + bonus(F.col("f_few_numbers"), 0.6)
+    return F.when(told == "", -1.8).when(_contains_either(told, F.col("q_norm")), 0.0).otherwise(-worse)
 
-    The columns ``body`` (the chunk's text without its section line) and ``section_text`` are added for what follows.
-    """
-    path, text, kind = F.col("section_path"), F.col("text"), F.col("chunk_type")
-    rows = rows.withColumn("body", T.clean_body(path, text)).withColumn("section_text", T.joined_path(path, " ")).withColumn("__hay", T.haystack(path, text))
-    hay, body, section = F.col("__hay"), F.col("body"), F.col("section_text")
-    faq = kind == "faq"
-    asked = T.normalize_query(F.regexp_extract(text, rf"(?is)Question:{T.SPACE}*(.+?)\nAnswer:", 1))
-    terms = F.col("terms") if "terms" in rows.columns else F.array_distinct(T.search_terms(hay))
-    coverage = F.coalesce(F.try_divide(F.size(F.array_intersect("q_terms", terms)).cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
+
+def base_score(rows: DataFrame) -> DataFrame:
+    """Replaces ``score`` by the base score of question and chunk; needs the question's signals, and adds the chunk's features if it lacks them."""
+    if "f_hay" not in rows.columns:
+        rows = with_features(rows)
+    kind, faq = F.col("chunk_type"), F.col("chunk_type") == "faq"
+    coverage = F.coalesce(F.try_divide(F.size(F.array_intersect("q_terms", "f_terms")).cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
     # Weights of the base score.
     parts = [
         F.coalesce("vector_score", F.lit(0.0)) * 0.68,
         F.coalesce("keyword_score", F.lit(0.0)) * 0.32,
         coverage,
-        bonus(F.contains(hay, F.col("q_norm")), 2.1),
-        _match_tiers(T.normalize_query(T.deepest(path)), 3.2, 2.25, 1.15),
-        F.when(faq & ~F.col("q_composition"), _match_tiers(asked, 3.2, 2.2, 1.4)).otherwise(0.0),
-        bonus(F.col("q_procedure") & ((kind == "procedure") | hay.rlike("mix|lay|cur(?:e|ing|ed)|compact|step|water")), 0.95),
-        bonus(F.col("q_value") & ((kind == "table") | text.rlike(T.NUMBER)), 0.95),
-        bonus(F.col("q_composition") & hay.rlike("fat lime|ash|sand|aggregate|water|booster|ratio|mix"), 0.9),
-        F.when(F.col("q_composition"), _formula_bonus(path, body)).otherwise(0.0),
-        F.when(F.col("q_composition") & faq, _composition_faq_penalty(body)).otherwise(0.0),
-        bonus(F.col("q_tooling") & hay.rlike("tool|rammer|vibrator|bamboo|mechanical|manual"), 0.95),
-        bonus(F.col("q_curing") & hay.rlike("cur(?:e|ing|ed)|watering|72 hours|dry out"), 0.9),
-        bonus(F.col("q_curing") & section.rlike("(?i)curing regime"), 1.35),
-        bonus(F.col("q_tooling") & ~faq & section.rlike(T.words("tools?|compaction")), 0.65),
+        bonus(F.contains("f_hay", F.col("q_norm")), 2.1),
+        _match_tiers("f_title", 3.2, 2.25, 1.15),
+        F.when(faq & ~F.col("q_composition"), _match_tiers("f_asked", 3.2, 2.2, 1.4)).otherwise(0.0),
+        bonus(F.col("q_procedure") & ((kind == "procedure") | F.col("f_procedure")), 0.95),
+        bonus(F.col("q_value") & ((kind == "table") | F.col("f_digit")), 0.95),
+        bonus(F.col("q_composition") & F.col("f_composition"), 0.9),
+        F.when(F.col("q_composition"), F.col("f_formula")).otherwise(0.0),
+        F.when(F.col("q_composition") & faq, _composition_faq_penalty()).otherwise(0.0),
+        bonus(F.col("q_tooling") & F.col("f_tooling"), 0.95),
+        bonus(F.col("q_curing") & F.col("f_curing"), 0.9),
+        bonus(F.col("q_curing") & F.col("f_regime"), 1.35),
+        bonus(F.col("q_tooling") & ~faq & F.col("f_tool_section"), 0.65),
         bonus(F.col("q_tooling") & ~F.col("q_yesno") & faq, -0.25),
-        bonus(F.col("q_yesno") & body.rlike(T.leading("yes|no")), 0.7),
+        bonus(F.col("q_yesno") & F.col("f_yesno"), 0.7),
         specificity(1.25),
     ]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return rows.withColumn("score", total).drop("__hay")
+    return rows.withColumn("score", total)
 
 
 def page_distance(from_a: Column, to_a: Column, from_b: Column, to_b: Column) -> Column:
@@ -99,16 +138,11 @@ def _place(first: Column) -> Column:
 def with_anchor(rows: DataFrame) -> DataFrame:
     """Adds ``base_rank`` and ``anchor``: the first fitting chunk near the top for curing and tooling questions, else the first."""
     rows = rows.withColumn("base_rank", F.row_number().over(_question().orderBy(F.desc("score"), "rank")))
-    signs = F.concat_ws(" ", "section_text", "body")
     near = lambda share: F.col("score") >= F.max("score").over(_question()) * share
     rows = rows.withColumns(
         {
-            "__curing": F.col("q_curing") & signs.rlike(T.words("cur(?:e|ing|ed)|72 hours|daily watering|dry out|watering")) & near(0.68),
-            "__tooling": F.col("q_tooling")
-            & ~F.col("q_yesno")
-            & (F.col("chunk_type") != "faq")
-            & signs.rlike(T.words("tools?|compaction|rammers?|vibrators?|bamboo|mechanical|manual"))
-            & near(0.72),
+            "__curing": F.col("q_curing") & F.col("f_curing_chunk") & near(0.68),
+            "__tooling": F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") != "faq") & F.col("f_tooling_chunk") & near(0.72),
         }
     )
     rows = rows.withColumn("__place", _place(F.col("base_rank")))
@@ -119,7 +153,7 @@ def with_anchor(rows: DataFrame) -> DataFrame:
 def rerank(rows: DataFrame) -> DataFrame:
     """Scored candidates with a ``rank`` in, the same with final score and rank out; score order is stable."""
     rows = with_anchor(base_score(rows))
-    anchor, body = F.col("anchor"), F.col("body")
+    anchor = F.col("anchor")
     same_section = T.section_key(F.col("section_path")) == anchor["section"]
     same_root = F.equal_null(_root(F.col("section_path")), anchor["root"])
     gap = page_distance(F.col("page_from"), F.col("page_to"), anchor["page_from"], anchor["page_to"])
@@ -131,17 +165,15 @@ def rerank(rows: DataFrame) -> DataFrame:
     )
     faq = F.col("chunk_type") == "faq"
     support = (
-        F.when(F.col("q_tooling") & faq & body.rlike("rammer|vibrator|bamboo|mechanical|manual"), 0.4)
-        .when(F.col("q_composition") & body.rlike(T.words("fat lime|ash|sand|aggregate|water|booster|25kg")), 0.35)
-        .when(
-            F.col("q_curing") & body.rlike(T.words("cur(?:e|ing|ed)|72 hours|daily watering|wait about 4-6 days|dry out")),
-            F.when(F.col("section_text").rlike("(?i)curing regime"), 0.5).otherwise(0.35),
-        )
-        .when(F.col("q_tooling") & ~faq & body.rlike(T.words("rammers?|vibrators?|bamboo|mechanical|manual")), 0.35)
+        F.when(F.col("q_tooling") & faq & F.col("f_faq_tools"), 0.4)
+        .when(F.col("q_composition") & F.col("f_ingredients"), 0.35)
+        .when(F.col("q_curing") & F.col("f_cures"), F.when(F.col("f_regime"), 0.5).otherwise(0.35))
+        .when(F.col("q_tooling") & ~faq & F.col("f_tools"), 0.35)
         .otherwise(0.0)
     )
     moved = rows.withColumn("score", F.col("score") + F.when(F.col("id") == anchor["id"], 0.0).otherwise(continuity) + support)
-    return moved.withColumn("rank", F.row_number().over(_question().orderBy(F.desc("score"), "base_rank"))).drop("base_rank", "anchor", "body", "section_text")
+    placed = moved.withColumn("rank", F.row_number().over(_question().orderBy(F.desc("score"), "base_rank"))).drop("base_rank", "anchor")
+    return placed.drop(*(c for c in placed.columns if c.startswith("f_")))
 
 
 def diversify(rows: DataFrame, limit: int) -> DataFrame:

@@ -134,7 +134,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = vocab.CHAT_LIMIT) -> DataFrame:
     """Search, rerank, diversify and label: the retrieval of a chat."""
-    return rerank.label(rerank.diversify(rerank.rerank(search.local_candidates(questions, search.index_chunks(chunks))), limit))
+    return rerank.label(rerank.diversify(rerank.rerank(search.local_candidates(questions, rerank.with_features(search.index_chunks(chunks)))), limit))
 
 
 _BASE = rf"""
@@ -167,7 +167,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base_score DES
 
 @query(f"WITH {_SCORED}, {_BASE} SELECT qid, id, round(base_score, 6) AS base_score, CAST(base_rank AS INTEGER) AS base_rank FROM ranked WHERE base_rank <= 32")
 def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rerank.base_score(search.local_candidates(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))).withColumn("score", F.round("score", 9))
+    rows = rerank.base_score(search.local_candidates(views.workspace_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir)))).withColumn("score", F.round("score", 9))
     rows = rerank.with_anchor(rows).filter(F.col("base_rank") <= vocab.MERGED)
     return rows.select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import search
 from .search import bonus, specificity
 
 def _question():
@@ -122,6 +123,18 @@ def base_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", total)
 
 
+def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """First-stage candidates with their base score already computed (``f_base``) and without what it was computed from.
+
+    Ranking sorts every chunk of a question's document several times. The base score
+    needs one row at a time, so it comes before: what is sorted are narrow rows.
+    """
+    rows = search.local_scores(questions, chunks).filter(F.col("score") > search.LEAST_SCORE)
+    rows = base_score(rows.withColumn("__first", F.col("score"))).withColumnRenamed("score", "f_base").withColumnRenamed("__first", "score")
+    bulky = [c for c in rows.columns if c in ("haystack", "terms", "path_terms", "embedding", "q_norm", "q_terms", "f_hay", "f_body", "f_told") or c.startswith(("f_title", "f_asked", "f_terms"))]
+    return search.ranked(rows.drop(*bulky))
+
+
 def page_distance(from_a: Column, to_a: Column, from_b: Column, to_b: Column) -> Column:
     return F.when((from_a <= to_b) & (from_b <= to_a), 0).when(from_a > to_b, from_a - to_b).otherwise(from_b - to_a)
 
@@ -152,7 +165,8 @@ def with_anchor(rows: DataFrame) -> DataFrame:
 
 def rerank(rows: DataFrame) -> DataFrame:
     """Scored candidates with a ``rank`` in, the same with final score and rank out; score order is stable."""
-    rows = with_anchor(base_score(rows))
+    rows = rows.withColumn("score", F.col("f_base")).drop("f_base") if "f_base" in rows.columns else base_score(rows)
+    rows = with_anchor(rows)
     anchor = F.col("anchor")
     same_section = T.section_key(F.col("section_path")) == anchor["section"]
     same_root = F.equal_null(_root(F.col("section_path")), anchor["root"])

@@ -90,8 +90,11 @@ def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def local_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Scored chunks above the least score with their ``rank`` within the question; ties by position in the document."""
-    kept = local_scores(questions, chunks).filter(F.col("score") > LEAST_SCORE)
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord", "id")))
+    return ranked(local_scores(questions, chunks).filter(F.col("score") > LEAST_SCORE))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord", "id")))
 
 
 def full_text_terms(x: Column) -> Column:

@@ -134,7 +134,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = vocab.CHAT_LIMIT) -> DataFrame:
     """Search, rerank, diversify and label: the retrieval of a chat."""
-    return rerank.label(rerank.diversify(rerank.rerank(search.local_candidates(questions, rerank.with_features(search.index_chunks(chunks)))), limit))
+    return rerank.label(rerank.diversify(rerank.rerank(rerank.candidates(questions, rerank.with_features(search.index_chunks(chunks)))), limit))
 
 
 _BASE = rf"""

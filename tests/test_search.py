@@ -137,6 +137,8 @@ def test_search_end_to_end(spark):
     )
     asked = ask(spark, "How long does curing take?", "What is lime?", "???")
     rows = rerank.label(rerank.diversify(rerank.rerank(search.local_candidates(asked, index)), 12)).collect()
+    early = rerank.label(rerank.diversify(rerank.rerank(rerank.candidates(asked, rerank.with_features(index))), 12)).collect()
+    assert sorted((r.qid, r.place, r.id, round(r.score, 9)) for r in early) == sorted((r.qid, r.place, r.id, round(r.score, 9)) for r in rows)
     first = {r.qid: r.id for r in rows if r.place == 1}
     assert first[0] == "a" and first[1] == "d2" and len(rows) == 12
     hybrid = {r.id: (r.vector_score, r.keyword_score) for r in search.hybrid_candidates(asked, index).filter("qid = 1").collect()}

@@ -38,9 +38,12 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     Meant to be stored with the chunks, so that questions read them instead of texts.
     """
     path, text = F.col("section_path"), F.col("text")
-    hay = T.haystack(path, text)
-    path_terms = F.array_distinct(F.flatten(F.transform(path, lambda p: T.search_terms(F.coalesce(p, F.lit(""))))))
-    return chunks.withColumn("haystack", hay).withColumns({"terms": F.array_distinct(T.search_terms(hay)), "path_terms": path_terms, "embedding": V.sparse_embedding(T.search_terms(text))})
+    # the haystack is path and text side by side, so its terms are those of both, and each is cut into terms once
+    own = chunks.withColumns({"__path": F.flatten(F.transform(path, lambda p: T.search_terms(F.coalesce(p, F.lit(""))))), "__text": T.search_terms(text)})
+    indexed = own.withColumns(
+        {"haystack": T.haystack(path, text), "terms": F.array_distinct(F.concat("__path", "__text")), "path_terms": F.array_distinct("__path"), "embedding": V.sparse_embedding(F.col("__text"))}
+    )
+    return indexed.drop("__path", "__text")
 
 
 def specificity(top: float) -> Column:

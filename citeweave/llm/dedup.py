@@ -8,13 +8,23 @@
    too little for the threshold go; the rest is confirmed on the full sets.
 3. Confirmed links give components, by alternating large-star and small-star.
 4. A pair inside a component needs no further test, but members of one bucket that
-   are still in different components do. These pairs, and only these, are tested in
-   a second round, and the components are joined by what it confirms. So every
-   candidate pair that could change a component is confirmed or refuted on full sets.
-
-The chance that a pair at the threshold shares no bucket is (1 - 0.75**4)**32, about
-five in a million, and falls steeply above it. Signatures are compared by one byte a
+   are still in different components do. Such buckets are gathered with signatures,
+   large ones in pairs of blocks, and compared where they lie. Of the pairs that could
+   be links only a spanning forest leaves the task, so its size follows the members.
+5. The forests join documents into neighbourhoods. A neighbourhood is gathered with
+   texts, again in pairs of blocks, and all its pairs of different components are
+   confirmed or refuted on full sets, but for those whose components a link found
+   just before has joined already. The links found join the components.
+
+So every candidate pair that could change a component is confirmed or refuted, and no
+step hands on more rows than members times blocks.
+
+The chance that a pair at the threshold shares no bucket is (1 - 0.75**5)**44, about
+seven in a million, and falls steeply above it. Signatures are compared by one byte a
 minimum, with a margin of five standard deviations below the threshold.
+
+Joins that move texts, signatures or buckets are sort-merge joins at every size, which
+adaptive execution can split where a key is hot.
 """
 
 from __future__ import annotations
@@ -30,8 +40,11 @@ from pyspark.sql import functions as F
 from ._shared import discard, materialize, text_slices
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+BANDS, ROWS = 44, 5
+#: Minima of a signature; the first BANDS * ROWS of them make the bands.
+HASHES = 256
+#: Members of a bucket that are compared with each other in one task, and documents of a neighbourhood, which bring their texts.
+BLOCK, TEXT_BLOCK = 2048, 256
 #: Agreeing minima that a pair needs to be confirmed on full sets: 0.75 less five standard deviations.
 LEAST_AGREEING = int(HASHES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5))
 #: Distinct words whose hashes a worker keeps.
@@ -89,7 +102,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """One 64-bit bucket key for each band; the band's number is part of it."""
-    mixed = (least.reshape(BANDS, ROWS) * BAND_MULTIPLY).sum(1, dtype=np.uint64) + BAND_ADD
+    mixed = (least[: BANDS * ROWS].reshape(BANDS, ROWS) * BAND_MULTIPLY).sum(1, dtype=np.uint64) + BAND_ADD
     mixed ^= mixed >> np.uint64(29)
     return (mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
@@ -153,21 +166,133 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives that are links: first by signature, then on full sets."""
-    own = signed.select("node", "n_shingles", "signature")
-    side = lambda c, s: own.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(s))
-    met = pairs.join(side("a", "sig_a"), "a").join(side("b", "sig_b"), "b")
-    # sets of too different sizes cannot be similar enough
+class _Sets(dict):
+    """Disjoint sets, for what one task has seen."""
+
+    def find(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self.setdefault(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Were they apart?"""
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+class _Gathered:
+    """Rows of one group, or of two blocks of it; pairs of different components that could be links.
+
+    Without texts a spanning forest of these pairs is the result, with texts one of
+    those among them that are links.
+    """
+
+    COLUMNS = ("node", "component", "n_shingles", "signature", "own", "bucket", "lo", "hi")
+
+    def __init__(self, texts: bool):
+        self.texts = texts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*self.COLUMNS, *["text"] * self.texts)]
+            out: list[tuple[int, int]] = []
+            for row in zip(*columns, strict=True):
+                if row[5:8] != key:
+                    out += self.pairs(held, key)
+                    held, key = [], row[5:8]
+                held.append(row)
+            if out:
+                yield self.batch(out)
+        if last := self.pairs(held, key):
+            yield self.batch(last)
+
+    @staticmethod
+    def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*pairs, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def pairs(self, rows: list[tuple], key: tuple | None) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        node, component, size, own = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
+        if (component == component[0]).all():
+            return []
+        if len(_words) >= WORD_CACHE:
+            _words.clear()
+        signs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HASHES)
+        out, joined, known = [], _Sets(), {}
+
+        def shingled(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingles(words_of(rows[i][8]))
+            return known[i]
+
+        step = max(1, 4_000_000 // (len(rows) * HASHES))
+        for lo in range(0, len(rows), step):
+            part = slice(lo, lo + step)
+            wanted = (node[part, None] < node[None, :]) & (component[part, None] != component[None, :])
+            if key[1] != key[2]:
+                wanted &= own[part, None] != own[None, :]
+            wanted &= 100 * np.minimum(size[part, None], size[None, :]) >= PERCENT * np.maximum(size[part, None], size[None, :])
+            x, y = np.nonzero(wanted)
+            for at in range(0, len(x), 16_384):
+                i, j = x[at : at + 16_384] + lo, y[at : at + 16_384]
+                good = (signs[i] == signs[j]).sum(1) >= LEAST_AGREEING
+                for m, n in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    c, d = int(component[m]), int(component[n])
+                    if not self.texts:
+                        # a forest over documents: what it joins is looked at again, pair by pair
+                        if joined.join(int(node[m]), int(node[n])):
+                            out.append((int(node[m]), int(node[n])))
+                    elif joined.find(c) != joined.find(d) and similar(shingled(m), shingled(n)):
+                        joined.join(c, d)
+                        out.append((int(node[m]), int(node[n])))
+        return out
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of class representatives those that sizes and signatures allow to be links."""
+    own = classes.select("node", "n_shingles", "signature")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}")).hint("merge")
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
-    likely = materialize(met.mapInArrow(_agree_batches, "a long, b long"), "likely")
+    return met.mapInArrow(_agree_batches, "a long, b long")
+
+
+def _compared(rows: DataFrame, sizes: DataFrame, block: int, texts: bool) -> DataFrame:
+    """Pairs (a, b) found within each ``bucket``; ``sizes`` has bucket and n, its members."""
+    rows = rows.join(sizes.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")).hint("merge"), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*_Gathered.COLUMNS, *["text"] * texts).repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.mapInArrow(_Gathered(texts), "a long, b long")
+
+
+def _bridges(met: DataFrame, first: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between documents of different components that met in a bucket, enough of them to join what they join."""
+    signs = classes.select("node", "n_shingles", "signature")
+    placed = met.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")).filter("first <> last")
+    mixed = materialize(mixed.select("bucket", "n"), "mixed")
+    open_rows = placed.join(mixed.select("bucket").hint("merge"), "bucket").join(signs.hint("merge"), "node")
+    forest = materialize(_compared(open_rows, mixed, BLOCK, False).distinct(), "forest")
+    near = materialize(components(forest).select("node", F.col("component").alias("bucket")), "near")
+    texts = documents.select(F.col("doc_id").alias("node"), "text").join(near.hint("merge"), "node")
+    rows = texts.join(signs.hint("merge"), "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return materialize(_compared(rows, near.groupBy("bucket").agg(F.count("*").alias("n")), TEXT_BLOCK, True), "bridges")
+
+
+def confirmed(likely: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents that are links on their full sets. ``likely`` is read several times."""
     involved = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    texts = documents.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
+    texts = documents.select(F.col("doc_id").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi")
     held = materialize(texts, "texts")
-    text = lambda c: held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    text = lambda c: held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     links = materialize(both.mapInArrow(_confirm_batches, "a long, b long").distinct(), "links")
-    discard(likely)
     discard(held)
     return links
 
@@ -215,19 +340,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = materialize(classes.select("class", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.signature", "r.bands"), "classes")
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-    met = materialize(rows.join(crowded, "bucket"), "buckets")
+    met = materialize(rows.join(crowded.hint("merge"), "bucket"), "buckets")
     stars = materialize(met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = confirmed(stars, classes, documents)
+    links = confirmed(materialize(_agreeing(stars, classes), "likely"), documents)
     first = materialize(components(links), "components")
-    # what is left: members of a bucket in different components
-    placed = met.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_rows = materialize(placed.join(mixed, "bucket"), "open")
-    left = open_rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("at_a"))
-    right = open_rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("at_b"))
-    again = left.join(right, "bucket").filter("a < b and at_a <> at_b").select("a", "b").distinct()
-    again = again.join(stars, ["a", "b"], "left_anti")
-    more = confirmed(materialize(again, "again"), classes, documents)
+    more = _bridges(met, first, classes, documents)
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}"))
     bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b"))
     second = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))

@@ -224,6 +224,18 @@ def test_components_are_those_of_all_links(spark):
     assert got == brute_components(docs)
 
 
+def test_mixed_buckets_in_blocks(spark, monkeypatch):
+    """Documents around one passage meet in buckets without being links; small blocks change nothing."""
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    monkeypatch.setattr(dedup, "TEXT_BLOCK", 4)
+    draw = random.Random(21)
+    passage = [f"p{i}" for i in range(80)]
+    docs = [(i, " ".join(passage + [f"t{i // 2}x{j}" for j in range(28 + i % 3)])) for i in range(40)]
+    docs += [(100 + i, " ".join(draw.sample(passage, 8) + passage[8:])) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(table(spark, docs)).collect()}
+    assert got == brute_components(docs) and len({c for _, c, _ in got.values()}) > 5
+
+
 def test_edges_of_near_duplicates(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(table(spark, EDGES)).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (None, 1, None, True), (5, 1, 5, True), (6, 2, 6, True), (7, 0, 7, True)], key=str)

@@ -66,8 +66,9 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index_chunks(views.workspace_chunks(spark, sf_dir))
 
 
-_SCORED = f"""
-q AS (SELECT * FROM {S.signals(f'({views.QUESTIONS_SQL})')}),
+def _scored(questions: str) -> str:
+    return f"""
+q AS (SELECT * FROM {S.signals(f'({questions})')}),
 c AS (SELECT *, lower(section || ' ' || text) AS hay, list_distinct({S.terms("section || ' ' || text")}) AS terms, list_distinct({S.terms('section')}) AS path_terms FROM ({views.CHUNKS_SQL})),
 qe AS (SELECT * FROM {S.embedding('q', 'qid', 'question')}),
 ce AS (SELECT * FROM {S.embedding('c', 'id', 'text')}),
@@ -94,28 +95,47 @@ scored AS (
 """
 
 
-@query(f"WITH {_SCORED} SELECT qid, id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM scored WHERE score > 0.2")
-def local_search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.local_scores(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir)).filter(F.col("score") > search.LEAST_SCORE)
+_SCORED, _SCORED_WHOLE = _scored(views.QUESTIONS_SQL), _scored(views.WHOLE_QUESTIONS_SQL)
+
+
+def _local_scores_sql(scored: str) -> str:
+    return f"WITH {scored} SELECT qid, id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM scored WHERE score > 0.2"
+
+
+def _local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    rows = search.local_scores(questions, chunks).filter(F.col("score") > search.LEAST_SCORE)
     return rows.select("qid", "id", *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")))
 
 
+@query(_local_scores_sql(_SCORED))
+def local_search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_scores(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
+
+
+@query(_local_scores_sql(_SCORED_WHOLE))
+def local_search_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage for whole texts as questions."""
+    return _local_scores(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
+
+
 _TOP_VECTOR = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(vector_score, 9) DESC, id) AS place FROM met WHERE id IN (SELECT id FROM ce)) WHERE place <= 24"
 _TOP_KEYWORD = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(keyword_score, 9) DESC, id) AS place FROM met WHERE keyword_score > 0) WHERE place <= 24"
 
 
-@query(f"""
-WITH {_SCORED},
+def _hybrid_merge_sql(scored: str) -> str:
+    return f"""
+WITH {scored},
 both_branches AS (
   SELECT qid, id, round(vector_score, 9) AS v, 0 AS k FROM ({_TOP_VECTOR})
   UNION ALL SELECT qid, id, 0, round(keyword_score, 9) FROM ({_TOP_KEYWORD})),
 merged AS (SELECT qid, id, max(v) AS v, max(k) AS k, round(max(v) * 0.72::DOUBLE + max(k) * 0.28::DOUBLE, 6) AS score FROM both_branches GROUP BY qid, id)
 SELECT qid, id, round(v, 6) AS vector_score, round(k, 6) AS keyword_score, score, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM merged) WHERE rank <= 32
-""")
-def hybrid_search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both branches' best chunks, merged; the keyword branch scores by matching terms here."""
-    met = search.local_scores(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
+"""
+
+
+def _hybrid_merge(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    met = search.local_scores(questions, chunks)
     met = met.withColumn("vector_score", F.round("vector_score", 9)).withColumn("keyword_score", F.round("keyword_score", 9))
     by_vector = search.top(met.filter(F.size("embedding") > 0), "vector_score", vocab.CANDIDATES)
     by_keyword = search.top(met.filter("keyword_score > 0"), "keyword_score", vocab.CANDIDATES)
@@ -125,10 +145,22 @@ def hybrid_search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(merged, "score", vocab.MERGED).select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "score", "rank")
 
 
+@query(_hybrid_merge_sql(_SCORED))
+def hybrid_search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both branches' best chunks, merged; the keyword branch scores by matching terms here."""
+    return _hybrid_merge(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
+
+
+@query(_hybrid_merge_sql(_SCORED_WHOLE))
+def hybrid_search_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for whole texts as questions."""
+    return _hybrid_merge(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
+
+
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hosted search with the full-text rank of the keyword branch; no SQL engine here shares that rank."""
-    rows = search.hybrid_candidates(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
+    rows = search.hybrid_candidates(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
     return rows.select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -175,7 +207,7 @@ def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the twelve labelled chunks of every question."""
-    rows = retrieve(views.workspace_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
+    rows = retrieve(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
     return rows.select("qid", "label", "place", "id", "page_from", F.round("score", 6).alias("score"))
 
 
@@ -390,14 +422,14 @@ def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to all questions from their labelled chunks, every statement cited."""
-    return answer.answers(retrieve(views.workspace_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir)))
+    return answer.answers(retrieve(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir)))
 
 
 @query()
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt that a hosted model would get for every question."""
-    found = retrieve(views.workspace_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
-    asked = views.workspace_questions(spark, sf_dir).join(citations.context_text(found), "qid", "left")
+    found = retrieve(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
+    asked = views.whole_questions(spark, sf_dir).join(citations.context_text(found), "qid", "left")
     nothing = F.lit(None).cast("string")
     return asked.select("qid", citations.prompt_text(F.col("question"), F.lit("answer"), nothing, nothing, F.col("context")).alias("prompt"))
 

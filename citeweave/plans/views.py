@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,20 @@ def workspace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole benchmark text, asked of one of the workspaces present: the one at place id modulo their number, by name."""
+    named = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("document_id")).distinct()
+    placed = named.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1)
+    placed = placed.crossJoin(named.agg(F.count("*").alias("n")))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return asked.join(F.broadcast(placed), F.expr("pmod(qid, n) = place")).select("qid", "document_id", "question")
+
+
 def workspace_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of every benchmark text, asked of the workspace whose number its id gives."""
+    """The first eight words of every benchmark text, asked of the workspace whose number its id gives.
+
+    Only for the queries whose SQL asks these (``QUESTIONS_SQL``); ``whole_questions`` asks the whole texts.
+    """
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("qid"),
         F.concat(F.lit("src"), F.col("item_id") % 20).alias("document_id"),
@@ -70,3 +82,10 @@ QUESTIONS_SQL = """
 SELECT item_id AS qid, 'src' || (item_id % 20) AS document_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question
 FROM benchmark
 """
+
+WHOLE_QUESTIONS_SQL = """
+SELECT item_id AS qid, document_id, text AS question
+FROM benchmark JOIN (
+  SELECT source AS document_id, row_number() OVER (ORDER BY source) - 1 AS place, count(*) OVER () AS n
+  FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) ON ((item_id % n) + n) % n = place
+"""

@@ -5,6 +5,9 @@ long token that stands near a sensitive word: it compresses the surrounding text
 with and without the token, primed by a dictionary of common code and identifier
 words, and the difference is what the token adds. A token that neither the
 surroundings nor the dictionary explain costs nearly its entropy and is reported.
+"Near" is at most ``NEAR`` code points before or behind the word. Long words and
+identifiers are as novel as secrets, so a token of letters alone whose parts look
+like words (``worded``) is not reported; that also spares random letters of one case.
 
 Null and empty texts have no spans. Offsets count code points, ends exclusive.
 Whole texts are scanned; a token is compared with at most ``WINDOW`` code points
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -62,6 +65,10 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef"
 )
 
+#: One case, or humps of a capital and two small letters at least. 0.4 % of tokens of 16 random letters are like that.
+_WORD = re.compile(r"[A-Z]*|[a-z]+|[a-z]*(?:[A-Z][a-z]{2,})+")
+_JOINTS = re.compile(r"[+/_=-]+")
+
 _machine: dict[str, object] = {}
 
 
@@ -86,9 +93,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], RANK[s[0]]))
 
 
+def worded(token: str) -> bool:
+    """Whether the token has no digit and all its parts look like words; also true of bare joints."""
+    return all(map(_WORD.fullmatch, _JOINTS.split(token)))
+
+
+def _tokens_near(text: str) -> list[tuple[int, int]]:
+    """Tokens that begin behind a sensitive word or end before one, at most ``NEAR`` away; each is seen whole, however long."""
+    cues = [m.span() for m in _SENSITIVE.finditer(text)]
+    out, done = [], -1
+    for _, end in cues:
+        stop = end + NEAR
+        at = max(done, end)
+        while at < stop and (m := _TOKEN.search(text, at, stop + LEAST_LENGTH)):
+            m = _TOKEN.match(text, m.start())
+            at = done = m.end()
+            out.append(m.span())
+    behind = set(out)
+    starts, ends = [a for a, _ in cues], [b for _, b in cues]
+    for m in _TOKEN.finditer(text) if cues else ():
+        s, e = m.span()
+        k = bisect_right(ends, s)  # the first cue that ends inside the token or later
+        if k == len(cues) or starts[k] - e > NEAR:
+            continue
+        # of a token that holds a cue, the part before it; what follows was found above
+        e = min(e, starts[k])
+        if e - s >= LEAST_LENGTH and (s, e) not in behind:
+            out.append((s, e))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Incompressible tokens in sensitive context that no base span touches."""
-    out, done = [], -1
+    out = []
     covered: list[list[int]] = []  # base spans joined where they touch, so a bisection finds the one before a token
     for _, a, b in base:
         if covered and a <= covered[-1][1]:
@@ -96,21 +133,15 @@ def novel_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         else:
             covered.append([a, b])
     starts = [a for a, _ in covered]
-    for cue in _SENSITIVE.finditer(text):
-        # a token that begins inside the reach of the cue is seen whole, however long
-        stop = cue.end() + NEAR
-        at = max(done, cue.end())
-        while at < stop and (m := _TOKEN.search(text, at, stop + LEAST_LENGTH)):
-            m = _TOKEN.match(text, m.start())
-            at = done = m.end()
-            s, e, token = m.start(), m.end(), m.group()
-            k = bisect_left(starts, e)
-            if k and covered[k - 1][1] > s:
-                continue
-            if not (any(x.isdigit() for x in token) and any(x.isalpha() for x in token)):
-                continue
-            if novelty(text[max(0, s - WINDOW) : s], token, text[e : e + WINDOW]) >= LEAST_NOVELTY:
-                out.append(("novel", s, e))
+    for s, e in _tokens_near(text):
+        k = bisect_left(starts, e)
+        if k and covered[k - 1][1] > s:
+            continue
+        token = text[s:e]
+        if worded(token):
+            continue
+        if novelty(text[max(0, s - WINDOW) : s], token, text[e : e + WINDOW]) >= LEAST_NOVELTY:
+            out.append(("novel", s, e))
     return out
 
 

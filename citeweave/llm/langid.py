@@ -1,8 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts come from a bounded, hash-chosen sample of documents with a language that
-are not held out; executors count, and only one row of counts for each language
-reaches the driver. The matrix of log-probabilities (buckets x languages) goes to
+are not held out: rows are counted for each language first, languages of few rows
+are learned from all of them, and the others from equal shares of the rest. The
+prior is of all rows, not of the sample. Executors count, and only one row of counts
+for each language reaches the driver. The matrix of log-probabilities (buckets x languages) goes to
 the executors, where a batch of texts is scored as a sparse matrix: the rows of all
 its n-grams are gathered and summed by document.
 """
@@ -81,6 +83,16 @@ def _sum_counts(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [key[0]], "n": [int(rows["n"].sum())], "counts": [total.tobytes()]})
 
 
+def share(rows: list[int], sample: int) -> float:
+    """The most rows that a language may give so that all together give ``sample`` at most; no bound if all fit."""
+    left = sample
+    for k, n in enumerate(sorted(rows)):
+        if n * (len(rows) - k) > left:
+            return left / (len(rows) - k)
+        left -= n
+    return float("inf")
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` documents at most that have a language and are not held out.
 
@@ -88,17 +100,20 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     lang and the id's fold are read.
     """
     usable = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    n = usable.select("lang").count()
+    n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not n:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0))
-    steps = 1 << 30
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(steps)) < min(steps, int(steps * sample / n)))
+    if len(n) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    steps, most = 1 << 30, share(list(n.values()), sample)
+    chosen = usable
+    if limits := [F.lit(x) for lang, rows in n.items() if rows > most for x in (lang, int(steps * most / rows))]:
+        limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang")), F.lit(steps))
+        chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(steps)) < limit)
     # the sample is bounded, so a fixed number of tasks counts it and each language has at most as many rows
     counted = chosen.select("lang", "text").repartition(12).mapInArrow(_count_batches, "lang string, n long, counts binary")
-    got = sorted(counted.groupBy("lang").applyInPandas(_sum_counts, "lang string, n long, counts binary").limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(got) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return Model([r["lang"] for r in got], np.array([np.frombuffer(r["counts"], np.int64) for r in got]), np.array([r["n"] for r in got], np.float64))
+    got = sorted(counted.groupBy("lang").applyInPandas(_sum_counts, "lang string, n long, counts binary").collect(), key=lambda r: r["lang"])
+    return Model([r["lang"] for r in got], np.array([np.frombuffer(r["counts"], np.int64) for r in got]), np.array([n[r["lang"]] for r in got], np.float64))
 
 
 class _Predict:

@@ -47,14 +47,32 @@ class Model:
             self.matrix = np.log(smooth / smooth.sum(0)).astype(np.float32)
             self.prior = np.log(documents / documents.sum())
 
+    def _likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text in each language, and the number of n-grams of each text."""
+        found = [grams(t) for t in texts]
+        sizes = np.array([len(f) for f in found])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        return np.add.reduceat(self.matrix[np.concatenate(found)], starts, axis=0, dtype=np.float64), sizes
+
+    def explains(self, texts: list[str | None]) -> list[bool]:
+        """Whether some language makes a text likelier than n-grams drawn evenly from all buckets do.
+
+        Never of texts without a letter, nor when no language was learned.
+        """
+        out = [False] * len(texts)
+        own = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
+        if own:
+            likelihoods, sizes = self._likelihoods([texts[i] for i in own])
+            for i, x in zip(own, (likelihoods.max(1) > -sizes * np.log(1 << BITS)).tolist(), strict=True):
+                out[i] = x
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability of each text; UNKNOWN with 0 where there is no letter or nothing was learned."""
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         own = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         if own:
-            found = [grams(texts[i]) for i in own]
-            starts = np.concatenate([[0], np.cumsum([len(f) for f in found])[:-1]])
-            summed = np.add.reduceat(self.matrix[np.concatenate(found)], starts, axis=0, dtype=np.float64) + self.prior
+            summed = self._likelihoods([texts[i] for i in own])[0] + self.prior
             best = summed.argmax(1)
             p = 1 / np.exp(summed - summed.max(1, keepdims=True)).sum(1)
             for i, b, x in zip(own, best.tolist(), p.tolist(), strict=True):
@@ -138,9 +156,13 @@ class _Keep:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, most=1_000_000):
-            yield part.filter(pa.array([x != UNKNOWN for x in self.model.predict(texts)[0]], pa.bool_()))
+            yield part.filter(pa.array(self.model.explains(texts), pa.bool_()))
 
 
 def with_language(documents: DataFrame, model: Model) -> DataFrame:
-    """The same columns, without documents of no known language."""
+    """The same columns, without documents that no learned language explains (``Model.explains``).
+
+    Texts without a letter, gibberish and unknown scripts go. An unlearned language that shares
+    many n-grams with a learned one mostly stays, and when no language was learned nothing stays.
+    """
     return documents.mapInArrow(_Keep(model), documents.schema)

@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus has; those without a letter go."""
+    """Documents that a language of the corpus explains; those without a letter, gibberish and unknown scripts go."""
     return langid.with_language(docs, langid.train(docs))
 
 

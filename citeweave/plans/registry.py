@@ -197,11 +197,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base_score DES
 """
 
 
-@query(f"WITH {_SCORED}, {_BASE} SELECT qid, id, round(base_score, 6) AS base_score, CAST(base_rank AS INTEGER) AS base_rank FROM ranked WHERE base_rank <= 32")
+_BASE_SCORES = "SELECT qid, id, round(base_score, 6) AS base_score, CAST(base_rank AS INTEGER) AS base_rank FROM ranked"
+
+
+#: First-stage scores that differ by the order of additions alone are ties, so that the place of every candidate is the same in both engines.
+_BASE_WHOLE = _BASE.replace("ORDER BY score DESC, ord, id", "ORDER BY round(score, 9) DESC, ord, id")
+
+
+def _base_scores(candidates: DataFrame) -> DataFrame:
+    rows = rerank.base_score(candidates).withColumn("score", F.round("score", 9))
+    return rerank.with_anchor(rows).select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
+
+
+@query(f"WITH {_SCORED}, {_BASE} {_BASE_SCORES} WHERE base_rank <= 32")
 def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rerank.base_score(search.local_candidates(views.workspace_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir)))).withColumn("score", F.round("score", 9))
-    rows = rerank.with_anchor(rows).filter(F.col("base_rank") <= vocab.MERGED)
-    return rows.select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
+    """The first of the candidates only; ``rerank_base_whole`` has them all."""
+    found = search.local_candidates(views.workspace_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir)))
+    return _base_scores(found).filter(F.col("base_rank") <= vocab.MERGED)
+
+
+@query(f"WITH {_SCORED_WHOLE}, {_BASE_WHOLE} {_BASE_SCORES}")
+def rerank_base_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base scores of all candidates, as the local path reranks them, for whole texts as questions."""
+    found = search.local_scores(views.whole_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir))).filter(F.col("score") > search.LEAST_SCORE)
+    return _base_scores(search.ranked(found.withColumn("score", F.round("score", 9))))
 
 
 @query()

@@ -36,3 +36,9 @@ def test_prompts_and_answers_cover_every_question(spark, tables):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()}
     assert set(prompts) == set(texts) and all(texts[q] in prompts[q] for q in texts)
     assert {r.qid for r in registry.QUERIES["grounded_answers"](spark, tables).collect()} == set(texts)
+
+
+def test_base_scores_cover_every_candidate(spark):
+    found = {(r.qid, r.id) for r in registry.QUERIES["local_search_scores_whole"](spark, SF).collect()}
+    scored = [(r.qid, r.id) for r in registry.QUERIES["rerank_base_whole"](spark, SF).collect()]
+    assert len(scored) == len(set(scored)) > 32 * 40 and set(scored) == found

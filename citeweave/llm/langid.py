@@ -49,10 +49,12 @@ class Model:
 
     def _likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text in each language, and the number of n-grams of each text."""
-        found = [grams(t) for t in texts]
-        sizes = np.array([len(f) for f in found])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return np.add.reduceat(self.matrix[np.concatenate(found)], starts, axis=0, dtype=np.float64), sizes
+        summed, sizes = np.empty((len(texts), len(self.languages))), np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            # one text at a time, so that no more than its own rows of the matrix are gathered
+            found = grams(t)
+            summed[i], sizes[i] = self.matrix[found].sum(0, dtype=np.float64), len(found)
+        return summed, sizes
 
     def explains(self, texts: list[str | None]) -> list[bool]:
         """Whether some language makes a text likelier than n-grams drawn evenly from all buckets do.

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+#: Bytes whose n-grams are hashed at once, which bounds what a text of any length takes.
+BLOCK = 1 << 18
+
+
+def blocks(data: bytes, lengths: Iterable[int], bits: int, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of the given lengths, repeats kept, as uint32 below 2**bits, an array for each ``block`` bytes.
+
+    An n-gram belongs to the block that it begins in.
+    """
+    wanted = sorted(set(lengths))
+    for lo in range(0, len(data), block):
+        raw = np.frombuffer(data, np.uint8, min(block + wanted[-1] - 1, len(data) - lo), lo).astype(np.uint32) + np.uint32(1)
+        h, found = np.zeros(len(raw), np.uint32), []
+        for n in range(1, wanted[-1] + 1):
+            if n > len(raw):
+                break
+            h = h[: len(raw) - n + 1] * _STEP + raw[n - 1 :]
+            if n in wanted:
+                own = h[:block]
+                mixed = (own ^ (own >> np.uint32(15))) * _MIX + np.uint32(n)
+                found.append((mixed ^ (mixed >> np.uint32(13))) * _MIX >> np.uint32(32 - bits))
+        yield np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
 def hashes(data: bytes, lengths: Iterable[int], bits: int) -> np.ndarray:
-    """Buckets of all n-grams of the given lengths, repeats kept, as uint32 below 2**bits."""
-    raw = np.frombuffer(data, np.uint8).astype(np.uint32) + np.uint32(1)
-    wanted, out = set(lengths), []
-    h = np.zeros(len(raw), np.uint32)
-    for n in range(1, max(wanted) + 1):
-        if n > len(raw):
-            break
-        h = h[: len(raw) - n + 1] * _STEP + raw[n - 1 :]
-        if n in wanted:
-            mixed = (h ^ (h >> np.uint32(15))) * _MIX + np.uint32(n)
-            out.append((mixed ^ (mixed >> np.uint32(13))) * _MIX >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    """All of ``blocks`` in one array."""
+    return np.concatenate([np.zeros(0, np.uint32), *blocks(data, lengths, bits)])
 
 
 def fold(doc_id: Column) -> Column:

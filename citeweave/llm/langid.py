@@ -3,10 +3,18 @@
 Counts come from a bounded, hash-chosen sample of documents with a language that
 are not held out: rows are counted for each language first, languages of few rows
 are learned from all of them, and the others from equal shares of the rest. The
-prior is of all rows, not of the sample. Executors count, and only one row of counts
-for each language reaches the driver. The matrix of log-probabilities (buckets x languages) goes to
-the executors, where a batch of texts is scored as a sparse matrix: the rows of all
-its n-grams are gathered and summed by document.
+prior is of all rows, not of the sample. Executors count and turn the counts of a
+language into its log-probabilities, so the driver receives one column of 32-bit
+numbers for each language. The matrix (buckets x languages) goes to the executors,
+where a batch of texts is a sparse matrix of counts: each row has its distinct buckets
+only, and is multiplied with those rows of the log-probabilities, in slices of bounded size.
+
+What every operator here does with odd rows: null, empty and letterless texts are
+``und`` with 0 and teach nothing; a null id is not held out; rows are judged each for
+itself, so repeated rows repeat their results; of languages that are equally likely
+the first by name wins; an empty table gives an empty one; of other columns
+``language_predictions`` and ``train`` read none, and ``with_language`` hands all of
+them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,41 +27,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._ngrams import HELD_OUT, fold, hashes
+from ._ngrams import HELD_OUT, blocks, fold
 from ._shared import text_slices
 
 LENGTHS, BITS = (1, 2, 3, 4), 16
-#: Documents that counting may use, and languages that a model may hold.
-SAMPLE, MOST_LANGUAGES = 20_000, 1000
+#: Documents that counting may use, and languages that a model may hold; each has 256 KB of the matrix.
+SAMPLE, MOST_LANGUAGES = 20_000, 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
-
-
-def grams(text: str) -> np.ndarray:
-    return hashes(f" {text.lower()} ".encode("utf-8", "replace"), LENGTHS, BITS)
+#: Numbers of the matrix that one slice of a batch gathers.
+GATHERED = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def counted(text: str) -> np.ndarray:
+    """How often a whole text has each bucket."""
+    total = np.zeros(1 << BITS, np.int64)
+    for block in blocks(f" {text.lower()} ".encode("utf-8", "replace"), LENGTHS, BITS):
+        total += np.bincount(block, minlength=1 << BITS)
+    return total
+
+
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Of the buckets in one language, smoothed."""
+    smooth = counts.astype(np.float64) + SMOOTHING
+    return np.log(smooth / smooth.sum())
+
+
 class Model:
-    """Log-probabilities of buckets and languages."""
+    """Log-probabilities of buckets (rows) and languages (columns), and the languages' documents."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray):
+    def __init__(self, languages: list[str], columns: list[np.ndarray], documents: np.ndarray):
         self.languages = languages
         if languages:
-            smooth = counts.T.astype(np.float64) + SMOOTHING
-            self.matrix = np.log(smooth / smooth.sum(0)).astype(np.float32)
+            self.matrix = np.stack([c.astype(np.float32) for c in columns], axis=1)
             self.prior = np.log(documents / documents.sum())
 
-    def _likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text in each language, and the number of n-grams of each text."""
-        summed, sizes = np.empty((len(texts), len(self.languages))), np.empty(len(texts), np.int64)
+        summed, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        step = max(1, GATHERED // len(self.languages))
         for i, t in enumerate(texts):
-            # one text at a time, so that no more than its own rows of the matrix are gathered
-            found = grams(t)
-            summed[i], sizes[i] = self.matrix[found].sum(0, dtype=np.float64), len(found)
+            count = counted(t)
+            sizes[i] = count.sum()
+            bucket = np.flatnonzero(count)
+            for lo in range(0, len(bucket), step):
+                own = bucket[lo : lo + step]
+                summed[i] += count[own] @ self.matrix[own].astype(np.float64)
         return summed, sizes
 
     def explains(self, texts: list[str | None]) -> list[bool]:
@@ -64,7 +87,7 @@ class Model:
         out = [False] * len(texts)
         own = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         if own:
-            likelihoods, sizes = self._likelihoods([texts[i] for i in own])
+            likelihoods, sizes = self.likelihoods([texts[i] for i in own])
             for i, x in zip(own, (likelihoods.max(1) > -sizes * np.log(1 << BITS)).tolist(), strict=True):
                 out[i] = x
         return out
@@ -74,7 +97,7 @@ class Model:
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         own = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         if own:
-            summed = self._likelihoods([texts[i] for i in own])[0] + self.prior
+            summed = self.likelihoods([texts[i] for i in own])[0] + self.prior
             best = summed.argmax(1)
             p = 1 / np.exp(summed - summed.max(1, keepdims=True)).sum(1)
             for i, b, x in zip(own, best.tolist(), p.tolist(), strict=True):
@@ -84,23 +107,18 @@ class Model:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
     for part, texts in text_slices(batches):
         for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
             if lang not in counts:
-                counts[lang], rows[lang] = np.zeros(1 << BITS, np.int64), 0
-            counts[lang] += np.bincount(grams(text), minlength=1 << BITS)
-            rows[lang] += 1
+                counts[lang] = np.zeros(1 << BITS, np.int64)
+            counts[lang] += counted(text)
     if counts:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.array([c.tobytes() for c in counts.values()], pa.binary())],
-            ["lang", "n", "counts"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
 
-def _sum_counts(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _language_column(key, rows: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
-    return pd.DataFrame({"lang": [key[0]], "n": [int(rows["n"].sum())], "counts": [total.tobytes()]})
+    return pd.DataFrame({"lang": [key[0]], "column": [log_probabilities(total).astype(np.float32).tobytes()]})
 
 
 def share(rows: list[int], sample: int) -> float:
@@ -117,23 +135,25 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` documents at most that have a language and are not held out.
 
     Documents without a letter teach nothing. Null ids are not held out; only text,
-    lang and the id's fold are read.
+    lang and the id's fold are read. The sample is drawn by a hash of id and text, so
+    rows that repeat both come in together; counting holds no rows, so they cost time only.
+    A grouped count is run first, when this is called, to set the languages' shares.
     """
     usable = documents.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not n:
-        return Model([], np.zeros((0, 1 << BITS)), np.zeros(0))
+        return Model([], [], np.zeros(0))
     if len(n) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     steps, most = 1 << 30, share(list(n.values()), sample)
     chosen = usable
     if limits := [F.lit(x) for lang, rows in n.items() if rows > most for x in (lang, int(steps * most / rows))]:
         limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang")), F.lit(steps))
-        chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(steps)) < limit)
-    # the sample is bounded, so a fixed number of tasks counts it and each language has at most as many rows
-    counted = chosen.select("lang", "text").repartition(12).mapInArrow(_count_batches, "lang string, n long, counts binary")
-    got = sorted(counted.groupBy("lang").applyInPandas(_sum_counts, "lang string, n long, counts binary").collect(), key=lambda r: r["lang"])
-    return Model([r["lang"] for r in got], np.array([np.frombuffer(r["counts"], np.int64) for r in got]), np.array([n[r["lang"]] for r in got], np.float64))
+        chosen = usable.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(steps)) < limit)
+    # a fixed number of tasks counts the sample, so a language has at most as many rows of counts
+    rows = chosen.select("lang", "text").repartition(12).mapInArrow(_count_batches, "lang string, counts binary")
+    got = sorted(rows.groupBy("lang").applyInPandas(lambda key, own: _language_column(key, own), "lang string, column binary").collect(), key=lambda r: r["lang"])
+    return Model([r["lang"] for r in got], [np.frombuffer(r["column"], np.float32) for r in got], np.array([n[r["lang"]] for r in got], np.float64))
 
 
 class _Predict:
@@ -147,7 +167,7 @@ class _Predict:
 
 
 def language_predictions(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every whole text; null, empty and letterless texts are ``und`` with 0."""
+    """doc_id, held_out, lang_pred and score for every whole text; odd rows as the module says."""
     rows = documents.select("doc_id", "text", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
     return rows.mapInArrow(_Predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 

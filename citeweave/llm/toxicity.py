@@ -1,10 +1,21 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes a bounded, hash-chosen sample of labelled rows that are not held out.
-Of every hashed n-gram the share of toxic and of other documents that hold it gives
-a log-count ratio. N-grams that are rare or whose ratio says little are set aside;
-the others, scaled by their ratio, are the features of a logistic regression. All
-texts, in training and scoring, are read whole.
+Training takes a bounded, hash-chosen sample of labelled documents that are not held
+out. Of every hashed n-gram the share of toxic and of other documents that hold it
+gives a log-count ratio. N-grams that are rare or whose ratio says little are set
+aside; the others, scaled by their ratio, are the features of a logistic regression.
+All texts, in training and scoring, are read whole.
+
+Counting and fitting run on executors: tasks count n-grams by label, one task adds
+the counts up and chooses the features, and one task fits the weights on rows that
+hold chosen features only. The driver receives the chosen buckets and their weights,
+``FEATURES`` numbers of each at most.
+
+What every operator here does with odd rows: null and empty texts have no n-grams and
+get the score of no evidence; a null id is not held out; rows are scored each for
+itself, so repeated rows repeat their scores; an empty table gives an empty one; equal
+scores need no order, for nothing is ranked; of other columns ``toxicity_scores`` and
+``train`` read none, and ``without_toxic`` hands all of them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,113 +28,199 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._ngrams import HELD_OUT, fold, hashes
-from ._shared import text_slices
+from ._ngrams import HELD_OUT, blocks, fold
+from ._shared import discard, materialize, text_slices
 
 LENGTHS, BITS = (5, 6, 8), 20
-#: Rows of each label that training may use. More rows than that are thinned by a hash of their id.
+#: Documents of each label that training may use; more than that are thinned by a hash of their id.
 SAMPLE = 2500
+#: Features of a model: of more, those with the largest ratio times the root of their documents.
+FEATURES = 1 << 16
 #: The least documents of the sample that hold an n-gram, and the least size of its log ratio, for a feature.
 LEAST_DOCUMENTS, LEAST_RATIO = 4, 0.8
 RIDGE, STEPS = 2e-4, 300
+#: Entries of the training rows that one step looks at together.
+ENTRIES = 1 << 19
+#: Tasks that count n-grams of the sample.
+COUNTERS = 12
 THRESHOLD = 0.3
 _OTHER = re.compile(r"[\W_]+")
 
 
-def grams(text: str | None) -> np.ndarray:
+def _gram_blocks(text: str | None) -> Iterator[np.ndarray]:
     """Buckets of a whole text's n-grams, repeats kept; words stand between single spaces."""
-    if not text:
-        return np.zeros(0, np.uint32)
-    return hashes(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace"), LENGTHS, BITS)
+    if text:
+        yield from blocks(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace"), LENGTHS, BITS)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct buckets of a whole text."""
-    mark = np.zeros(1 << BITS, bool)
-    mark[grams(text)] = True
-    return np.flatnonzero(mark).astype(np.uint32)
+    """Distinct buckets of a whole text, ascending."""
+    found = [np.unique(b) for b in _gram_blocks(text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["toxic", "features"])
+class Model:
+    """Weights of some buckets and a bias; scores are probabilities."""
 
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float):
+        self.buckets, self.weights, self.bias = buckets.astype(np.uint32), weights.astype(np.float32), float(bias)
+        self._table: np.ndarray | None = None
 
-class Model:
-    """Weights by bucket and a bias; scores are probabilities."""
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_table": None}
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights.astype(np.float32), float(bias)
-        self.used = self.weights != 0
+    def table(self) -> np.ndarray:
+        """Weights by bucket; made where the model is used, so that tasks are sent the short form."""
+        if self._table is None:
+            self._table = np.zeros(1 << BITS, np.float32)
+            self._table[self.buckets] = self.weights
+        return self._table
 
     def score(self, text: str | None) -> float:
-        found = grams(text)
-        found = np.unique(found[self.used[found]])
-        z = self.bias + float(self.weights[found].sum(dtype=np.float64))
+        weights, found = self.table(), []
+        for block in _gram_blocks(text):
+            found.append(np.unique(block[weights[block] != 0]))
+        z = self.bias + (float(weights[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else 0.0)
         return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float | None = None) -> Model:
-    """Train on bucket lists and 0/1 labels; ``prior`` is the share of label 1 outside the sample.
+def log_ratios(count: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Log of the share of toxic documents that hold an n-gram over the share of others; ``count`` has a row for each label."""
+    return np.log((count[1] + 1) / (documents[1] + 2)) - np.log((count[0] + 1) / (documents[0] + 2))
+
+
+def chosen_features(count: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that become features, ascending, and their ratios."""
+    ratio = log_ratios(count, documents)
+    total = count.sum(0)
+    kept = np.flatnonzero((total >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO))
+    if len(kept) > FEATURES:
+        worth = np.abs(ratio[kept]) * np.sqrt(total[kept])
+        kept = np.sort(kept[np.argsort(-worth, kind="stable")[:FEATURES]])
+    return kept, ratio[kept]
+
 
-    Without rows of both labels the model knows only the prior.
+def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features and the bias; ``rows`` hold positions of features.
+
+    ``prior`` is the share of label 1 outside the sample. Full-batch gradient descent with
+    Adam's step sizes: deterministic, no tuning by size. A step goes over the entries
+    piece by piece, so it needs little memory beside them.
     """
     labels = np.asarray(labels, np.float64)
-    share = labels.mean() if len(labels) else 0.0
-    prior = share if prior is None else prior
-    if share in (0.0, 1.0):
-        return Model(np.zeros(1 << BITS), np.log((prior + 1e-6) / (1 - prior + 1e-6)))
-    count = np.zeros((2, 1 << BITS), np.int64)
-    for x, y in zip(rows, labels, strict=True):
-        count[int(y), x] += 1
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    ratio = np.log((count[1] + 1) / (n[1] + 2)) - np.log((count[0] + 1) / (n[0] + 2))
-    kept = (count.sum(0) >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[kept] = np.arange(kept.sum())
-    scale = ratio[kept]
-    column = [place[x][place[x] >= 0] for x in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c in column])
-    column = np.concatenate(column) if column else np.zeros(0, np.int64)
-    value = scale[column]
+    share = labels.mean()
     balance = np.where(labels == 1, prior / share, (1 - prior) / (1 - share)) / len(labels)
+    lengths = np.array([len(x) for x in rows])
+    column = np.concatenate(rows) if rows else np.zeros(0, np.uint16)
+    ends = np.cumsum(lengths)
+    # pieces of whole rows
+    cuts, last = [0], 0
+    for i, end in enumerate(ends):
+        if end - last >= ENTRIES or i == len(rows) - 1:
+            cuts.append(i + 1)
+            last = end
     w, b = np.zeros(len(scale)), float(np.log(prior / (1 - prior)))
-    # full-batch gradient descent with Adam's step sizes: deterministic, no tuning by size
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(owner, value * w[column], len(rows)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * balance
-        g = np.bincount(column, value * error[owner], len(scale)) + RIDGE * w
-        gb = error.sum()
+        scaled, g, gb = (w * scale).astype(np.float32), np.zeros(len(scale)), 0.0
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = column[ends[lo] - lengths[lo] : ends[hi - 1]]
+            owner = np.repeat(np.arange(hi - lo, dtype=np.int32), lengths[lo:hi])
+            z = np.bincount(owner, scaled[own], hi - lo) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels[lo:hi]) * balance[lo:hi]
+            g += np.bincount(own, error[owner], len(scale))
+            gb += error.sum()
+        g = g * scale + RIDGE * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.02 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         b -= 0.02 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[kept] = w * scale
-    return Model(weights, b)
+    return w * scale, b
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count, documents = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+    for part, texts in text_slices(batches):
+        for label, text in zip(part.column("toxic").to_pylist(), texts, strict=True):
+            count[label, features(text)] += 1
+            documents[label] += 1
+    if documents.any():
+        yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary()), pa.array([documents.tobytes()], pa.binary())], ["count", "documents"])
+
+
+def _choose_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count, documents = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+    for batch in batches:
+        for c, d in zip(batch.column("count"), batch.column("documents"), strict=True):
+            count += np.frombuffer(c.as_buffer(), np.int32).reshape(2, -1)
+            documents += np.frombuffer(d.as_buffer(), np.int64)
+    buckets, ratio = chosen_features(count, documents)
+    yield pa.RecordBatch.from_arrays([pa.array([buckets.astype(np.uint32).tobytes()], pa.binary()), pa.array([ratio.tobytes()], pa.binary())], ["buckets", "ratio"])
+
+
+class _Restrict:
+    """Positions of a text's features among the chosen ones."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.buckets = buckets
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[self.buckets] = np.arange(len(self.buckets))
+        for part, texts in text_slices(batches):
+            at = [place[features(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([a[a >= 0].astype(np.uint16).tobytes() for a in at], pa.binary())], ["toxic", "at"])
+
+
+class _Fit:
+    def __init__(self, scale: np.ndarray, prior: float):
+        self.scale, self.prior = scale, prior
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, bytes]] = []
+        for batch in batches:
+            rows += zip(batch.column("toxic").to_pylist(), batch.column("at").to_pylist(), strict=True)
+        rows.sort()
+        weights, bias = fit([np.frombuffer(at, np.uint16) for _, at in rows], np.array([t for t, _ in rows]), self.scale, self.prior)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` rows of each label, none of them held out.
+    """Fit on at most about ``sample`` documents of each label, none of them held out.
 
-    Rows with a null id or a label other than 0 and 1 are not used. Of what
-    ``documents`` hold, only ids and texts are read.
+    Rows with a null id or a label other than 0 and 1 are not used. An id counts once
+    for a label; if several rows have it, one of their texts teaches, so the sample is
+    bounded also where an id is very frequent. Without documents of both labels the
+    model knows only their share.
     """
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", "toxic")
-    n = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n:
-        return fit([], np.zeros(0), 0.0)
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    known = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    prior = n.get(1, 0) / total if total else 0.0
+    unknown = Model(np.zeros(0), np.zeros(0), np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+    if len(n) < 2:
+        return unknown
     steps = 1 << 30
     limit = F.lit(0)
     for label, rows in n.items():
         limit = F.when(F.col("toxic") == label, F.lit(min(steps, int(steps * sample / rows)))).otherwise(limit)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(steps)) < limit)
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(steps)) < limit)
     # at most about 2 * sample small rows, so they may go to all executors
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_feature_batches, "toxic int, features binary")
-    got = sorted((r["toxic"], bytes(r["features"])) for r in rows.select(F.col("toxic").cast("int").alias("toxic"), "features").toLocalIterator())
-    total = sum(n.values())
-    return fit([np.frombuffer(f, np.uint32) for _, f in got], np.array([t for t, _ in got]), n.get(1, 0) / total)
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    texts = materialize(one.select("toxic", "text"), "toxicity-sample")
+    if texts.select("toxic").distinct().count() < 2:
+        discard(texts)
+        return unknown
+    dealt = texts.repartition(COUNTERS)
+    counts = dealt.mapInArrow(_count_batches, "count binary, documents binary")
+    best = counts.repartition(1).mapInArrow(_choose_batches, "buckets binary, ratio binary").collect()[0]
+    buckets, ratio = np.frombuffer(bytes(best["buckets"]), np.uint32), np.frombuffer(bytes(best["ratio"]), np.float64)
+    held = dealt.mapInArrow(_Restrict(buckets), "toxic int, at binary").repartition(1)
+    got = held.mapInArrow(_Fit(ratio, prior), "weights binary, bias double").collect()[0]
+    discard(texts)
+    return Model(buckets, np.frombuffer(bytes(got["weights"]), np.float32), got["bias"])
 
 
 class _Score:
@@ -140,7 +237,7 @@ class _Score:
 
 
 def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted for every whole text; null and empty texts get the score of no evidence."""
+    """doc_id, held_out, score and predicted for every whole text; odd rows as the module says."""
     rows = documents.select("doc_id", "text", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
     return rows.mapInArrow(_Score(model), "doc_id long, held_out boolean, score double, predicted int")
 

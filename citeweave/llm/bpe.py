@@ -31,8 +31,7 @@ from ._shared import text_slices
 NEVER = np.int64(1 << 40)
 #: Entries of a worker's cache of chunks; the older half goes when it is full. Longer chunks are not kept.
 CACHE_ENTRIES, CACHE_LONGEST = 800_000, 64
-
-
+#: Bytes of words that are handled in step; wider ones are proposed each for itself.
 WIDTHS = (8, 12, 16, 24, 48)
 _draw = np.random.default_rng(20240229)
 BYTE_HASH = _draw.integers(1, 1 << 63, 256, np.uint64)
@@ -95,6 +94,8 @@ class Vocabulary:
         order = np.argsort(hashes)
         self._hashes = np.append(hashes[order], np.uint64((1 << 64) - 1))
         self._hash_ids = np.append(np.array([self.ids[t] for t in tokens], np.int64)[order], -1)
+        #: Words beyond the width classes that were proposed, and those of them that had to be merged.
+        self.long_words = self.long_merged = 0
         self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,20 +227,30 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], before[i], part[before[i]], part[i]))
         return [k for k in part if k >= 0]
 
+    def propose_long(self, word: bytes) -> list[int]:
+        """Greedy longest match of one word that is wider than the classes."""
+        out, at, ids, longest = [], 0, self.ids, self._longest
+        while at < len(word):
+            end = min(len(word), at + (int(longest[word[at] << 8 | word[at + 1]]) if at + 1 < len(word) else 1))
+            while (token := ids.get(word[at:end])) is None:
+                end -= 1
+            out.append(token)
+            at = end
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, packed as little-endian unsigned 32-bit numbers.
 
-        Words of one width class are handled together: propose, test all adjacent
-        pairs at once, merge what fails. Very long words are merged alone.
+        Words of every width are proposed, then all their adjacent pairs are tested at
+        once, and words with a failing pair are merged. Words of one width class are
+        proposed and merged in step; wider ones each for itself, and tested together.
         """
         out: list[bytes] = [b""] * len(words)
         classes: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            width = next((c for c in WIDTHS if len(w) <= c), 0)
-            if width:
-                classes.setdefault(width, []).append(k)
-            else:
-                out[k] = np.array(self.merge(w), "<u4").tobytes()
+            classes.setdefault(next((c for c in WIDTHS if len(w) <= c), 0), []).append(k)
+        for k, ids in self._encode_long([(k, words[k]) for k in classes.pop(0, ())]):
+            out[k] = ids
         for width, members in classes.items():
             for lo in range(0, len(members), 65536):
                 own = members[lo : lo + 65536]
@@ -259,6 +270,17 @@ class Vocabulary:
                     start = end
         return out
 
+    def _encode_long(self, words: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        proposed = [np.array(self.propose_long(w), np.int64) for _, w in words]
+        if not words:
+            return
+        flat, owner = np.concatenate(proposed), np.repeat(np.arange(len(words)), [len(p) for p in proposed])
+        inside = owner[1:] == owner[:-1]
+        failing = set(owner[:-1][inside][~self.compatible(flat[:-1][inside], flat[1:][inside])].tolist())
+        self.long_words, self.long_merged = self.long_words + len(words), self.long_merged + len(failing)
+        for i, (k, w) in enumerate(words):
+            yield k, np.array(self.merge(w) if i in failing else proposed[i], "<u4").tobytes()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of token ids; bytes that are no UTF-8 become U+FFFD. Special tokens are kept."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -279,8 +301,12 @@ def chunk_keys(text: str) -> list[str]:
     """Cut a text at places that no word spans, into keys for a cache."""
     if START not in text and GLUED not in text and not _ODD_STOP.search(text):
         parts = text.replace("\n", " \n").replace(",", " \1,").replace(".", " \1.").split(" ")
-        if "" not in parts and "\n" not in parts:
-            if parts[0][0] != "\n":
+        # a text that begins with a blank or a newline has no chunk before it
+        led = not parts[0]
+        if led:
+            del parts[0]
+        if parts and "" not in parts and "\n" not in parts:
+            if not led:
                 parts[0] = START + parts[0]
             return parts
     return [word_key(p) for p in _CUT.split(text)]
@@ -436,6 +462,9 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 def bpe_round_trip(documents: DataFrame, path: str) -> DataFrame:
     """Encode every whole text, decode the ids, and return digests of both.
 
-    Rows are judged alone; repeated rows repeat their results.
+    Null and empty texts have no ids and decode to the empty text. Very long texts and
+    words go the same way as others. Rows are judged each for itself: repeated rows repeat
+    their results, null ids are kept, nothing is ordered. An empty table gives an empty
+    one; other columns are not read, whatever their names.
     """
     return documents.select("doc_id", "text").mapInArrow(_RoundTrip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,18 +1,26 @@
-"""Token counts by a compiled finite-state transducer.
-
-Byte-pair encoding of a word is deterministic in a useful way: the encoding of
-every prefix ends in one certain token, and the rest of that encoding is the
-encoding of what comes before the token. So a state that knows the last token of
-each prefix fixes, for the next byte, the next last token, and the number of
-tokens changes by a known amount. ``WordTransducer`` compiles such states as they
-are met and writes on each transition how many tokens it emits (less those it
-takes back).
-
-A text is cut into chunks. A chunk maps what the text before left open to what it
-leaves open itself and the tokens emitted in between: (head, count, tail), or just
-its text if nothing in it closes a word. These maps compose associatively, so they
-are combined by a prefix scan, in any bracketing; long texts are cut into blocks
-whose maps are made independently.
+"""Token counts by a compiled finite-state transducer and a prefix scan over chunk maps.
+
+Two machines run in step. ``Words`` reads the bytes of a word. The encoding of every
+prefix of a word ends in one certain token, and the rest of that encoding is the
+encoding of what stands before that token. So what the coming bytes can still do
+depends only on the places where a longer token may have begun: for each of them the
+node of the vocabulary's prefix tree that the bytes since then lead to, the last token
+before it, and how many tokens fewer there were. That is a state; words that agree in
+it share it, whatever they began with. A transition carries how many tokens it emits,
+less those it takes back.
+
+``Machine`` reads the characters of a text. Its states say what kind of word is open
+(letters, digits, signs, white space, or an apostrophe that may become a contraction),
+the state of ``Words`` in it, and what has been read but is not yet dealt out: a white
+space may end a run or begin the next word.
+
+A text is cut into blocks. What a block does to any state is its map: state -> (state,
+count). After a character that is no white space and one of " \\n" all states come
+together. So a map is the block's head up to there, which is run from whatever state
+comes in, the count behind it, and the state that the block ends in; blocks without
+such a place are all head. Special strings in a text are maps of their own: all states
+come together in the start. Maps compose associatively, and the maps of all texts of a
+batch are composed by a scan, pairwise, level by level.
 """
 
 from __future__ import annotations
@@ -21,36 +29,60 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from ._shared import text_slices
-from .bpe import WORDS, ChunkCache, Vocabulary, split_words
+from .bpe import ChunkCache, Vocabulary, split_words
 
-MAX_STATES = 400_000
+#: States that are kept for reuse. Beyond them the table starts anew.
+MAX_STATES = 200_000
 CACHE_ENTRIES = 1_000_000
-BLOCK = 1 << 16
-#: A white-space run begins a word if something else stands before it: there, texts fall apart.
-_SYNC = re.compile(r"(?<=\S)(?=[ \n])")
+#: Characters of a block.
+BLOCK = 1 << 13
+#: A white-space run begins a word if something else stands before it.
+_MEET = re.compile(r"(?<=\S)[ \n]")
 
 
-class WordTransducer:
-    """Bytes of a word in, number of its tokens out. States are compiled on first use and bounded in number."""
+class State:
+    """One state of ``Words``: parts (node, last token before it or -1, tokens less), the longest first; transitions as they are compiled."""
+
+    __slots__ = ("next", "parts")
+
+    def __init__(self, parts: tuple):
+        self.parts = parts
+        self.next: dict[int, tuple[State, int]] = {}
+
+
+class Words:
+    """The transducer of words: bytes in, numbers of tokens out. States and transitions are compiled on first use."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
-        self.ids, self.merges = v.ids, v.merges
+        self.merges = v.merges
         self.left, self.right, self.rank = v.left.tolist(), v.right.tolist(), v.rank.tolist()
-        self.longest = max(map(len, v.ids))
+        # the prefix tree of all tokens: (node << 8 | byte) -> node, and the token that a node spells
+        self.tree: dict[int, int] = {}
+        self.token = [-1]
+        for spelt, k in v.ids.items():
+            node = 0
+            for b in spelt:
+                to = self.tree.get(node << 8 | b)
+                if to is None:
+                    to = self.tree[node << 8 | b] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = k
+        self.inner = bytearray(len(self.token))
+        for key in self.tree:
+            self.inner[key >> 8] = 1
         self.pairs: dict[int, bool] = {}
-        #: The most bytes of a token that ends in these two bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in v.ids:
-            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
         self.clear()
 
     def clear(self) -> None:
-        self.next: dict[int, int] = {}
-        self.last, self.total = [-1], [0]
+        """Forget all states; those still held elsewhere stay valid."""
+        self.root = State(((0, -1, 0),))
+        self.states = {self.root.parts: self.root}
 
     def stands(self, a: int, b: int) -> bool:
         """Do the tokens ``a b`` stay as they are side by side? The vocabulary's own test, for one pair."""
@@ -77,50 +109,154 @@ class WordTransducer:
         self.pairs[key] = good
         return good
 
+    def hop(self, state: State, byte: int) -> tuple[State, int]:
+        """The transition of a state on a byte: the next state and the tokens emitted."""
+        child_of, token_of, inner, pairs = self.tree.get, self.token, self.inner, self.pairs
+        found, emitted, alive = -1, 0, []
+        for node, last, less in state.parts:
+            child = child_of(node << 8 | byte)
+            if child is None:
+                continue
+            # the longest token that fits behind what stands before it ends the new encoding
+            if found < 0:
+                token = token_of[child]
+                if token >= 0:
+                    if last < 0:
+                        found, emitted = token, less + 1
+                    else:
+                        fits = pairs.get(last << 32 | token)
+                        if fits or fits is None and self.stands(last, token):
+                            found, emitted = token, less + 1
+            if inner[child]:
+                alive.append((child, last, less))
+        parts = (*[(node, last, less - emitted) for node, last, less in alive], (0, found, 0))
+        to = self.states.get(parts)
+        if to is None:
+            if len(self.states) >= MAX_STATES:
+                self.clear()
+            to = self.states[parts] = State(parts)
+        state.next[byte] = to, emitted
+        return to, emitted
+
+    def run(self, state: State, data: bytes) -> tuple[State, int]:
+        count = 0
+        for b in data:
+            to = state.next.get(b)
+            state, emitted = to if to is not None else self.hop(state, b)
+            count += emitted
+        return state, count
+
     def count(self, word: bytes) -> int:
-        """Emitted tokens on the path of ``word``."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return 1
-        if len(self.last) > MAX_STATES:
-            self.clear()
-        if len(word) > 256:
-            return self._count_long(word)
-        step, last, total = self.next, self.last, self.total
-        state, path = 0, [0]
-        for i, b in enumerate(word):
-            key = state << 8 | b
-            to = step.get(key)
-            if to is None:
-                length, token = self._last_token(word, i + 1, path, last)
-                to = len(last)
-                last.append(token)
-                total.append(total[path[i + 1 - length]] + 1)
-                step[key] = to
-            state = to
-            path.append(to)
-        return total[state]
-
-    def _last_token(self, word: bytes, end: int, path: list[int], last: list[int]) -> tuple[int, int]:
-        """The token that the encoding of ``word[:end]`` ends in; the states of shorter prefixes are on ``path``."""
-        for length in range(min(end, self.reach.get(word[max(0, end - 2) : end], 1)), 0, -1):
-            token = self.ids.get(word[end - length : end])
-            if token is not None and (end == length or self.stands(last[path[end - length]], token)):
-                return length, token
-        raise AssertionError("every byte is a token")
-
-    def _count_long(self, word: bytes) -> int:
-        """The same walk for a word that is not worth states: a window of last tokens and counts."""
-        last, total, path = [-1], [0], list(range(len(word) + 1))
-        for i in range(len(word)):
-            length, token = self._last_token(word, i + 1, path, last)
-            last.append(token)
-            total.append(total[i + 1 - length] + 1)
-        return total[-1]
-
-
-#: A chunk's map: (text, None, None) if it closes nothing, else (head, count, tail).
-Map = tuple[str, int | None, str | None]
+        """Tokens of a whole word."""
+        return self.run(self.root, word)[1]
+
+
+#: What a character is to the words of a text: a letter, a digit, white space, an apostrophe, or another sign.
+_LETTER, _DIGIT, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
+
+
+class _Kinds(dict):
+    def __missing__(self, c: str) -> str:
+        kind = "letter" if _LETTER.match(c) else "digit" if _DIGIT.match(c) else "space" if _SPACE.match(c) else "quote" if c == "'" else "sign"
+        self[c] = kind
+        return kind
+
+
+_kind = _Kinds()
+#: Kind of the open word, its state, and what is read but not dealt out.
+Open = tuple[str, State | None, str]
+START: Open = ("start", None, "")
+#: Letters that make a contraction behind an apostrophe, or begin one of two letters (fixed values).
+_WHOLE, _HALF = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
+
+
+class Machine:
+    """The transducer of texts. ``step`` reads a character, ``end`` closes a text; both say what they emit."""
+
+    def __init__(self, words: Words):
+        self.words = words
+
+    def _begin(self, c: str, before: str = "") -> tuple[Open, int]:
+        """A new word begins with ``c``, behind a blank that belongs to it."""
+        kind = _kind[c]
+        if kind == "space":
+            return ("space", self.words.root, c), 0
+        if kind == "quote":
+            kind = "sign" if before else "quote"
+        state, n = self.words.run(self.words.root, (before + c).encode())
+        return (kind, state, ""), n
+
+    def step(self, at: Open, c: str) -> tuple[Open, int]:
+        kind, state, held = at
+        own = _kind[c]
+        if kind == own and kind in ("letter", "digit", "sign") or kind == "sign" and own == "quote":
+            state, n = self.words.run(state, c.encode())
+            return (kind, state, ""), n
+        if kind == "space":
+            if own == "space":
+                # what was held belongs to the run
+                state, n = self.words.run(state, held.encode())
+                return (kind, state, c), n
+            if held == " ":
+                return self._begin(c, " ")
+            alone = self.words.count(held.encode())
+            at, n = self._begin(c)
+            return at, alone + n
+        if kind == "quote":
+            if held:
+                if _HALF[held] == c:
+                    return START, self.words.run(state, (held + c).encode())[1]
+                # no contraction: the apostrophe was a word, and letters began behind it
+                at, n = self._begin(held)
+                at, more = self.step(at, c)
+                return at, n + more
+            if c in _WHOLE:
+                return START, self.words.run(state, c.encode())[1]
+            if c in _HALF:
+                return (kind, state, c), 0
+            if own in ("sign", "quote"):
+                state, n = self.words.run(state, c.encode())
+                return ("sign", state, ""), n
+        return self._begin(c)
+
+    def end(self, at: Open) -> int:
+        kind, state, held = at
+        if kind == "space":
+            return self.words.run(state, held.encode())[1]
+        return self.words.count(held.encode()) if held else 0
+
+    def run(self, at: Open, text: str) -> tuple[Open, int]:
+        count = 0
+        for c in text:
+            at, n = self.step(at, c)
+            count += n
+        return at, count
+
+
+class Map:
+    """state -> (state, count) of a stretch of text.
+
+    Any state runs over ``head``. If ``meets``, the word that is open then ends and all
+    states come together; ``count`` tokens follow, and ``after`` is the state in the
+    end. If not, the head is all.
+    """
+
+    __slots__ = ("after", "count", "head", "meets")
+
+    def __init__(self, head: str, meets: bool = False, count: int = 0, after: Open = START):
+        self.head, self.meets, self.count, self.after = head, meets, count, after
+
+    def apply(self, machine: Machine, at: Open) -> tuple[Open, int]:
+        at, n = machine.run(at, self.head)
+        return (self.after, n + machine.end(at) + self.count) if self.meets else (at, n)
+
+
+def compose(machine: Machine, a: Map, b: Map) -> Map:
+    """``a``, then ``b``."""
+    if not a.meets:
+        return Map(a.head + b.head, b.meets, b.count, b.after)
+    after, n = b.apply(machine, a.after)
+    return Map(a.head, True, a.count + n, after)
 
 
 class Counter:
@@ -128,56 +264,65 @@ class Counter:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.words = WordTransducer(self.vocabulary)
+        self.words = Words(self.vocabulary)
+        self.machine = Machine(self.words)
+        #: Stretches between two places where all states come together always emit the same.
         self.cache = ChunkCache(self._count_chunks, CACHE_ENTRIES)
 
     def _count_chunks(self, chunks: list[str]) -> list[int]:
-        return [sum(self.words.count(w.encode()) if isinstance(w, str) else 1 for w in split_words(self.vocabulary, c)) for c in chunks]
-
-    def closed(self, text: str) -> int:
-        """Tokens of a text that stands between two places where texts fall apart."""
-        return sum(self.cache.values([text])[0])
-
-    def map_of(self, block: str) -> Map:
-        """The map of one block: what comes before its first closing place stays open, as does what follows its last."""
-        cut = _SYNC.search(block)
-        if cut is None:
-            return block, None, None
-        first = cut.start()
-        tail = max(block.rfind(" "), block.rfind("\n"))
-        # step back over a run of white space to the place where it begins
-        while tail > first and not (block[tail] in " \n" and not block[tail - 1].isspace()):
-            tail -= 1
-        return block[:first], self.closed(block[first:tail]) if tail > first else 0, block[tail:]
-
-    def compose(self, a: Map, b: Map) -> Map:
-        if a[1] is None and b[1] is None:
-            return a[0] + b[0], None, None
-        if a[1] is None:
-            # where a ends and b begins a closing place may arise, but it only splits what is open anyway
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.closed(a[2] + b[0]) + b[1], b[2]
-
-    def scan(self, maps: list[Map]) -> Map:
-        """The composition of all maps, pairwise, level by level."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def count(self, text: str, block: int = BLOCK) -> int:
-        """Tokens of a whole text by composing the maps of its blocks."""
-        if not text:
-            return 0
-        head, count, tail = self.scan([self.map_of(text[i : i + block]) for i in range(0, len(text), block)])
-        return self.closed(head) if count is None else (self.closed(head) if head else 0) + count + self.closed(tail)
-
-    def count_batch(self, texts: list[str]) -> list[int]:
-        """Short texts are single blocks that nothing precedes: their chunk maps need no open ends."""
-        short = [t for t in texts if len(t) <= BLOCK]
-        found = iter([sum(v) for v in self.cache.values(short)])
-        return [next(found) if len(t) <= BLOCK else self.count(t) for t in texts]
+        return [sum(self.words.count(w.encode()) for w in split_words(self.vocabulary, c)) for c in chunks]
+
+    def stretches(self, text: str, block: int) -> Iterator[str | None]:
+        """The blocks of a text in order; None for a special string."""
+        special = self.vocabulary.special
+        pieces = self.vocabulary._special_split.split(text) if special and any(s in text for s in special) else [text]
+        for k, piece in enumerate(pieces):
+            if k % 2:
+                yield None
+            else:
+                yield from (piece[i : i + block] for i in range(0, len(piece), block))
+
+    def maps(self, blocks: list[str | None]) -> list[Map]:
+        """The map of every block, each by itself."""
+        cuts: list[tuple[int, int] | None] = []
+        inner: list[str] = []
+        for b in blocks:
+            cuts.append(None)
+            if b is None or (first := _MEET.search(b)) is None:
+                continue
+            # the last such place: before the last run of white space that begins with one of " \n"
+            begin, last = first.start(), max(b.rfind(" "), b.rfind("\n"))
+            while last > begin and not (b[last] in " \n" and not b[last - 1].isspace()):
+                last -= 1
+            cuts[-1] = begin, last
+            inner.append(b[begin:last])
+        counts = iter([sum(v) for v in self.cache.values(inner)])
+        out = []
+        for b, cut in zip(blocks, cuts, strict=True):
+            if b is None:
+                out.append(Map("", True, 1))
+            elif cut is None:
+                out.append(Map(b))
+            else:
+                after, n = self.machine.run(START, b[cut[1] :])
+                out.append(Map(b[: cut[0]], True, next(counts) + n, after))
+        return out
+
+    def scan(self, rows: list[list[Map]]) -> list[Map]:
+        """The composition of each row of maps: all rows in step, pairwise, level by level."""
+        while any(len(r) > 1 for r in rows):
+            rows = [[compose(self.machine, *r[i : i + 2]) if i + 1 < len(r) else r[i] for i in range(0, len(r), 2)] for r in rows]
+        return [r[0] if r else Map("") for r in rows]
+
+    def count_batch(self, texts: list[str], block: int = BLOCK) -> list[int]:
+        """Tokens of whole texts: the maps of their blocks, composed, applied to the start."""
+        cut = [list(self.stretches(t, block)) for t in texts]
+        made = iter(self.maps([b for own in cut for b in own]))
+        out = []
+        for whole in self.scan([[next(made) for _ in own] for own in cut]):
+            at, n = whole.apply(self.machine, START)
+            out.append(n + self.machine.end(at))
+        return out
 
 
 _counters: dict[str, Counter] = {}
@@ -212,9 +357,8 @@ def token_counts(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     """doc_id, bytes, tokens and whether these exceed ``limit``, for every whole text.
 
     Null and empty texts have no tokens. Special strings in a text count as the one
-    token that the library makes of them. Rows are judged alone.
+    token that the library makes of them. Very long texts are many blocks. Rows are
+    counted each for itself: repeated rows repeat their counts, null ids are kept, and
+    equal counts need no order. An empty table gives an empty one; other columns are not read.
     """
     return documents.select("doc_id", "text").mapInArrow(_Count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
-
-__all__ = ["WORDS", "Counter", "WordTransducer", "token_counts"]

@@ -1,14 +1,21 @@
 """Media columns: payloads stored as MPEG transport streams and read back.
 
-``mux`` writes a payload as a single-program transport stream: a program
-association table, a program map table, and one elementary stream of private
-data, cut into access units of ``UNIT`` bytes, each in a packetised elementary
-stream packet with a presentation time. Every ``GOP``-th unit is a random-access
-point. ``demux`` trusts nothing that ``mux`` knew: it finds the packet identifiers
-through the tables, checks their CRC and every continuity counter, reassembles the
-elementary packets, and lists timestamps and random-access points.
-
-Null text counts as empty. Equal payloads give equal streams.
+``mux`` writes a payload as a single-program transport stream: a program association
+table and a program map table, repeated before every random-access point, and one
+elementary stream of private data, cut into access units of ``UNIT`` bytes, each in a
+packetised elementary stream packet with a presentation time. The first transport
+packet of a unit carries the program clock; that of every ``GOP``-th unit says that it
+is a random-access point. A private descriptor in the map table holds the payload's
+size, so a stream that lost its tail is noticed. ``demux`` trusts nothing else that
+``mux`` knew: it finds the packet identifiers through the tables, checks their CRC and
+every continuity counter, drops the duplicate that the format allows, reassembles the
+elementary packets, and lists timestamps and random-access points. A stream without
+tables, or with less or more payload than its tables say, is a ValueError.
+
+Null text counts as empty. Equal payloads give equal streams. Rows are stored and read
+each for itself: repeated rows repeat their results, null ids are kept, nothing is
+ordered, very long texts are more packets. An empty table gives an empty one; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,13 +63,22 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return head + struct.pack(">I", crc32_mpeg(head))
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (struct.pack(">BHB", 0x47, 0x4000 | pid, 0x10) + b"\0" + section).ljust(PACKET, b"\xff")
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    return (struct.pack(">BHB", 0x47, 0x4000 | pid, 0x10 | counter) + b"\0" + section).ljust(PACKET, b"\xff")
 
 
-_TABLES = _table_packet(PAT_PID, _section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))) + _table_packet(
-    PMT_PID, _section(2, PROGRAM, struct.pack(">HHBHH", 0xE000 | DATA_PID, 0xF000, STREAM_TYPE, 0xE000 | DATA_PID, 0xF000))
-)
+#: Tag of the private descriptor that holds the payload's size in eight bytes, and of the registration that goes before it.
+_SIZE_TAG, _REGISTRATION = 0x80, b"\x05\x04cwpl"
+#: Ticks by which the clock runs behind presentation.
+DELAY = 9009
+
+
+def _tables(size: int, counter: int) -> bytes:
+    """Both tables as packets with this continuity counter."""
+    described = _REGISTRATION + struct.pack(">BBQ", _SIZE_TAG, 8, size)
+    pat = _section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))
+    pmt = _section(2, PROGRAM, struct.pack(">HHBHH", 0xE000 | DATA_PID, 0xF000, STREAM_TYPE, 0xE000 | DATA_PID, 0xF000 | len(described)) + described)
+    return _table_packet(PAT_PID, pat, counter) + _table_packet(PMT_PID, pmt, counter)
 
 
 def _stamp(pts: int) -> bytes:
@@ -78,89 +94,147 @@ def pad(data: bytes) -> bytes:
     return data.ljust(max(1, -(-len(data) // BLOCK)) * BLOCK, b"\xff")
 
 
+def _clock(ticks: int) -> bytes:
+    """A program clock reference at a whole tick of 90 kHz."""
+    return ((ticks % (1 << 33)) << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
     """A transport stream that holds ``payload``."""
-    out, counter = [_TABLES], 0
+    out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
+        point = k % GOP == 0
+        if point:
+            out.append(_tables(len(payload), k // GOP & 15))
         unit = payload[at : at + UNIT]
         pes = struct.pack(">IHBBB", 0x100 | STREAM_ID, len(unit) + 8, 0x84, 0x80, 5) + _stamp(k * TICKS % (1 << 33)) + unit
-        # the first packet of a random-access point says so in an adaptation field of two bytes
-        field = b"\x01\x40" if k % GOP == 0 else b""
-        take, first = 184 - len(field), True
+        # what the adaptation field of the unit's first packet holds: flags and clock
+        field = bytes([0x50 if point else 0x10]) + _clock(k * TICKS - DELAY)
         pos = 0
         while pos < len(pes):
-            body = pes[pos : pos + take]
+            body = pes[pos : pos + 184 - (len(field) + 1 if field else 0)]
+            spare = 184 - len(body)
+            if field:
+                adapt = bytes([spare - 1]) + field.ljust(spare - 1, b"\xff")
+            else:
+                adapt = b"" if not spare else b"\0" if spare == 1 else bytes([spare - 1, 0]) + b"\xff" * (spare - 2)
+            out.append(struct.pack(">BHB", 0x47, (0x4000 if not pos else 0) | DATA_PID, (0x30 if adapt else 0x10) | counter) + adapt + body)
+            counter, field = (counter + 1) & 15, b""
             pos += len(body)
-            if len(body) < take:
-                spare = take - len(body)
-                if field:
-                    field = bytes([1 + spare, 0x40]) + b"\xff" * spare
-                else:
-                    field = b"\0" if spare == 1 else bytes([spare - 1, 0]) + b"\xff" * (spare - 2)
-            out.append(struct.pack(">BHB", 0x47, (0x4000 if first else 0) | DATA_PID, (0x30 if field else 0x10) | counter) + field + body)
-            counter, first, field, take = (counter + 1) & 15, False, b"", 184
     return b"".join(out)
 
 
-def demux(stream: bytes) -> dict:
-    """Read a transport stream: ``payload``, ``pts`` and ``random_access`` (byte offsets in the payload), ``packets``.
-
-    Raises ValueError for a lost sync byte, a bad table or a broken continuity counter.
-    """
-    if len(stream) % PACKET:
-        raise ValueError("not a whole number of packets")
-    pmt_pid = data_pid = None
-    counters: dict[int, int] = {}
-    payload, size, pts, points = [], 0, [], []
-    pending: list[bytes] = []
-    random = False
-
-    def close() -> None:
-        nonlocal size, random
-        if not pending:
+class _Reader:
+    """What a stream has shown so far."""
+
+    def __init__(self) -> None:
+        self.map_pid = self.data_pid = self.size = None
+        self.seen: dict[int, tuple[int, bytes, bool]] = {}
+        self.payload: list[bytes] = []
+        self.length, self.pts, self.points = 0, [], []
+        self.pending: list[bytes] = []
+        self.random = False
+
+    def repeats(self, pid: int, counter: int, body: bytes, breaks: bool) -> bool:
+        """Check the continuity of a packet with payload; true of the one duplicate that may follow a packet."""
+        if pid in self.seen and not breaks:
+            last, before, doubled = self.seen[pid]
+            if counter == last and body == before and not doubled:
+                self.seen[pid] = last, before, True
+                return True
+            if counter != (last + 1) & 15:
+                raise ValueError(f"continuity of packet identifier {pid} breaks")
+        self.seen[pid] = counter, body, False
+        return False
+
+    def table(self, pid: int, body: bytes) -> None:
+        section = body[1 + body[0] :]
+        section = section[: 3 + (struct.unpack_from(">H", section, 1)[0] & 0xFFF)]
+        if len(section) < 12 or crc32_mpeg(section):
+            raise ValueError("bad table checksum")
+        own = section[8:-4]
+        if pid == PAT_PID and section[0] == 0:
+            programs = [struct.unpack_from(">HH", own, i) for i in range(0, len(own) - 3, 4)]
+            self.map_pid = next((p & 0x1FFF for number, p in programs if number), None)
+        elif pid != PAT_PID and section[0] == 2:
+            at = 4 + (struct.unpack_from(">H", own, 2)[0] & 0xFFF)
+            while at + 5 <= len(own):
+                kind, stream, info = struct.unpack_from(">BHH", own, at)
+                if kind == STREAM_TYPE:
+                    self.data_pid = stream & 0x1FFF
+                    self.describe(own[at + 5 : at + 5 + (info & 0xFFF)])
+                    break
+                at += 5 + (info & 0xFFF)
+
+    def describe(self, descriptors: bytes) -> None:
+        at = 0
+        while at + 2 <= len(descriptors):
+            tag, n = descriptors[at], descriptors[at + 1]
+            if tag == _SIZE_TAG and n == 8:
+                self.size = struct.unpack_from(">Q", descriptors, at + 2)[0]
+            at += 2 + n
+
+    def close(self) -> None:
+        """The elementary packet that is open ends."""
+        if not self.pending:
             return
-        pes = b"".join(pending)
-        pending.clear()
+        pes = b"".join(self.pending)
+        self.pending.clear()
         start, length, _, flags, head = struct.unpack_from(">IHBBB", pes)
         if start >> 8 != 1 or length != len(pes) - 6:
             raise ValueError("broken elementary packet")
-        if random:
-            points.append(size)
-        pts.append(_read_stamp(pes[9:14]) if flags & 0x80 else -1)
-        payload.append(pes[9 + head :])
-        size += len(payload[-1])
-
-    for at in range(0, len(stream), PACKET):
-        sync, word, control = struct.unpack_from(">BHB", stream, at)
+        if self.random:
+            self.points.append(self.length)
+        self.pts.append(_read_stamp(pes[9:14]) if flags & 0x80 else -1)
+        self.payload.append(pes[9 + head :])
+        self.length += len(self.payload[-1])
+
+    def packet(self, packet: bytes) -> None:
+        sync, word, control = struct.unpack_from(">BHB", packet)
         if sync != 0x47:
-            raise ValueError(f"no sync byte at {at}")
-        pid, begins, skip = word & 0x1FFF, word & 0x4000, 4
-        flagged = False
+            raise ValueError("no sync byte")
+        pid, begins, skip, flags = word & 0x1FFF, word & 0x4000, 4, 0
         if control & 0x20:
-            skip += 1 + stream[at + 4]
-            flagged = stream[at + 4] > 0 and bool(stream[at + 5] & 0x40)
+            skip += 1 + packet[4]
+            flags = packet[5] if packet[4] else 0
         if not control & 0x10:
-            continue
-        if pid in counters and control & 15 != (counters[pid] + 1) & 15:
-            raise ValueError(f"continuity of packet identifier {pid} breaks at {at}")
-        counters[pid] = control & 15
-        if pid == data_pid:
+            return
+        if skip >= PACKET:
+            raise ValueError("an adaptation field leaves no payload")
+        body = packet[skip:]
+        if self.repeats(pid, control & 15, body, bool(flags & 0x80)):
+            return
+        if pid == self.data_pid:
             if begins:
-                close()
-                random = flagged
-            pending.append(stream[at + skip : at + PACKET])
-        elif begins and pid in (PAT_PID, pmt_pid):
-            section = stream[at + skip + 1 + stream[at + skip] : at + PACKET]
-            section = section[: 3 + (struct.unpack_from(">H", section, 1)[0] & 0xFFF)]
-            if crc32_mpeg(section):
-                raise ValueError("bad table checksum")
-            if pid == PAT_PID:
-                pmt_pid = struct.unpack_from(">H", section, 10)[0] & 0x1FFF
-            else:
-                info = struct.unpack_from(">H", section, 10)[0] & 0xFFF
-                data_pid = struct.unpack_from(">H", section, 13 + info)[0] & 0x1FFF
-    close()
-    return {"payload": b"".join(payload), "pts": pts, "random_access": points, "packets": len(stream) // PACKET}
+                self.close()
+                self.random = bool(flags & 0x40)
+            elif not self.pending:
+                raise ValueError("an elementary packet lacks its beginning")
+            self.pending.append(body)
+        elif begins and pid in (PAT_PID, self.map_pid):
+            self.table(pid, body)
+
+
+def demux(stream: bytes) -> dict:
+    """Read a transport stream: ``payload``, ``pts`` and ``random_access`` (byte offsets in the payload), ``packets``.
+
+    Raises ValueError for a lost sync byte, missing or bad tables, a broken continuity
+    counter, a broken elementary packet, and a payload that is not as long as the tables say.
+    """
+    if len(stream) % PACKET:
+        raise ValueError("not a whole number of packets")
+    got = _Reader()
+    try:
+        for at in range(0, len(stream), PACKET):
+            got.packet(stream[at : at + PACKET])
+        got.close()
+    except (struct.error, IndexError) as e:
+        raise ValueError("a field ends early") from e
+    if got.data_pid is None or got.size is None:
+        raise ValueError("no program tables")
+    if got.length != got.size:
+        raise ValueError(f"{got.length} bytes of payload, not {got.size}")
+    return {"payload": b"".join(got.payload), "pts": got.pts, "random_access": got.points, "packets": len(stream) // PACKET}
 
 
 def _feature(got: dict) -> str:

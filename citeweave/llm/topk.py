@@ -1,13 +1,16 @@
 """Exact top-k search by term-at-a-time accumulation.
 
 Vectors become integers, floor(64 x). Queries and candidates are dealt into blocks
-of bounded size by a hash of their id, and every query block meets every candidate
-block in one task. A task holds the candidates as postings by dimension (term): for
-each non-zero component of a query it adds the component times the posting's
-weights into the query's dense score array. A posting list that covers most of a
-block is kept as a full column, so the scatter is a contiguous addition; a sparse
-one scatters by position. Of each score array a partition selection keeps what can
-be among the k best; the blocks' lists are merged by rank.
+by their position, and every query block meets every candidate block in one task. The
+blocks are as large as a task can hold, because each row goes to as many tasks as the
+other side has blocks: with ``QUERY_BLOCK`` queries in a task, a candidate is sent once
+for that many queries. Within a task the candidates come in slices. A slice is held as
+postings by dimension (term): for each non-zero component of a query it adds the
+component times the posting's weights into the query's dense score array. A posting
+list that covers most of a slice is kept as a full column, so the scatter is a
+contiguous addition; a sparse one scatters by position. Of each score array a
+partition selection keeps what can be among the k best. What slices, then blocks, have
+kept is merged by score.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 K, EVERY, SCALE = 20, 20, 64
-#: Rows of a block: what one task holds of either side.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+#: Rows of a block: what one task holds of either side; and candidates whose postings are held at once.
+QUERY_BLOCK, CANDIDATE_BLOCK, SLICE = 16_384, 65_536, 8192
+#: Candidates that are worth a task of their own where there are few in all.
+LEAST_BLOCK = 4096
 #: Part of a block from which a posting list is kept as a full column.
 FULL = 0.25
 #: Queries whose score arrays are held at once.
@@ -44,15 +49,12 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _matrix(ids: np.ndarray, units: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by id, one for each id (the smallest vector of repeated ones); short vectors end in zeros."""
+    """Rows by id, then by vector, so that equal blocks are equal; short vectors end in zeros."""
     rows = np.zeros((len(ids), width), np.int64)
     for i, u in enumerate(units):
         rows[i, : len(u)] = u
     order = np.lexsort((*rows.T[::-1], ids))
-    ids, rows = ids[order], rows[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = ids[1:] != ids[:-1]
-    return ids[first], rows[first]
+    return ids[order], rows[order]
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,16 +86,21 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[in
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id, without the query's own; ids ascend."""
+    """Positions of the k highest scores, ties to the smaller id, without those of the query's own id; ids ascend."""
     n = len(scores)
     if n > 4 * k:
-        # all above the (k+1)-th highest score, and of those that equal it the first ones: one may be the query's own
-        edge = scores[np.argpartition(scores, n - k - 1)[n - k - 1]] if scores.dtype != object else sorted(scores)[n - k - 1]
-        at = np.concatenate([np.flatnonzero(scores > edge), np.flatnonzero(scores == edge)[: k + 1]])
+        lo, hi = np.searchsorted(ids, [own, own + 1]) if own < 2**63 - 1 else (np.searchsorted(ids, own), n)
+        need = k + int(hi - lo)  # as many as that may be the query's own
+        if n > need:
+            # all above the last score that can count, and of those that equal it the first ones
+            edge = scores[np.argpartition(scores, n - need)[n - need]] if scores.dtype != object else sorted(scores)[n - need]
+            at = np.concatenate([np.flatnonzero(scores > edge), np.flatnonzero(scores == edge)[:need]])
+        else:
+            at = np.arange(n)
     else:
         at = np.arange(n)
     at = at[ids[at] != own]
-    order = sorted(at.tolist(), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else at[np.lexsort((ids[at], -scores[at].astype(np.int64)))]
+    order = sorted(at.tolist(), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else at[np.lexsort((ids[at], ~scores[at].astype(np.int64)))]
     return np.asarray(order, np.int64)[:k]
 
 
@@ -102,34 +109,51 @@ class _Block:
         self.k = k
 
     def __call__(self, key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            width = max(max(map(len, left["units"])), max(map(len, right["units"])))
-            q_ids, q_rows = _matrix(left["vec_id"].to_numpy(), left["units"].tolist(), width)
-            c_ids, c_rows = _matrix(right["vec_id"].to_numpy(), right["units"].tolist(), width)
-            for lo, scores in accumulate(q_rows, c_rows):
-                for own, row in zip(q_ids[lo : lo + len(scores)].tolist(), scores, strict=True):
-                    at = best(row, c_ids, own, self.k)
-                    out["query_id"] += [own] * len(at)
-                    out["vec_id"] += c_ids[at].tolist()
-                    out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in row[at]]
-        return pd.DataFrame(out).astype("int64")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        width = max(max(map(len, left["units"])), max(map(len, right["units"])))
+        q_ids, q_rows = _matrix(left["vec_id"].to_numpy(), left["units"].tolist(), width)
+        order = right["vec_id"].argsort(kind="stable")
+        ids, units = right["vec_id"].to_numpy()[order], right["units"]
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
+        for lo in range(0, len(ids), SLICE):
+            c_ids, c_rows = _matrix(ids[lo : lo + SLICE], units.iloc[order[lo : lo + SLICE]].tolist(), width)
+            for first, scores in accumulate(q_rows, c_rows):
+                for i, row in enumerate(scores, first):
+                    at = best(row, c_ids, int(q_ids[i]), self.k)
+                    found = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in row[at]], np.int64) if row.dtype == object else row[at].astype(np.int64)
+                    if len(held[i][0]):
+                        both, found = np.concatenate([held[i][0], c_ids[at]]), np.concatenate([held[i][1], found])
+                        keep = np.lexsort((both, ~found))[: self.k]
+                        held[i] = both[keep], found[keep]
+                    else:
+                        held[i] = c_ids[at], found
+        return pd.DataFrame(
+            {"query_id": np.repeat(q_ids, [len(h[0]) for h in held]), "vec_id": np.concatenate([h[0] for h in held]), "score": np.concatenate([h[1] for h in held])}
+        ).astype("int64")
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products.
 
-    Both sides have the columns vec_id and embedding. A query's own id is no candidate
-    for it. Ties go to the smaller vec_id. Rows that repeat an id count once, with the
-    smallest of its vectors; vectors of different lengths meet as if they ended in
-    zeros. Null ids and vectors with null or non-finite components take no part. With
-    fewer than k candidates, all are returned; scores beyond a long are clipped to it.
+    Both sides have the columns vec_id and embedding; others are not read. Every row
+    but those of the query's own id is a candidate, also rows that repeat an id, and
+    query rows that repeat one share its k places. Ties go to the smaller vec_id.
+    Vectors of different lengths meet as if they ended in zeros. Null ids, null vectors
+    and those with null or non-finite components take no part. With fewer than k
+    candidates all are returned, of empty tables nothing; scores beyond a long are
+    clipped to it. Both sides are written and counted when this is called, which sets
+    the number of blocks.
     """
+    spark = vectors.sparkSession
     held = materialize(quantized(vectors), "units")
     asked = materialize(quantized(queries), "query-units")
+    n = held.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    c_blocks = max(1, math.ceil(held.count() / CANDIDATE_BLOCK))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    c_blocks = max(1, math.ceil(n / CANDIDATE_BLOCK), min(tasks, math.ceil(n / LEAST_BLOCK)))
+    # dealt by position in the written tables, so rows that repeat spread like any others
+    place = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("qb", place(q_blocks)).withColumn("cb", spread(c_blocks))
     right = held.withColumn("cb", place(c_blocks)).withColumn("qb", spread(q_blocks))

@@ -1,9 +1,9 @@
 """Near duplicates: MinHash signatures, banding, verification, connected components.
 
-1. Every document becomes its set of five-word shingles, as 64-bit hashes, and the
-   minima of ``BANDS * ROWS`` universal hash functions over that set. Documents with
-   the same words form a class; its smallest id stands for it from here on.
-2. Each band of minima is a bucket key. In every bucket the smallest id is paired
+1. Every row becomes its set of five-word shingles, as 64-bit hashes, and the minima
+   of ``BANDS * ROWS`` universal hash functions over that set. Rows with the same words
+   form a class, which has a number of its own, the node, and its smallest id.
+2. Each band of minima is a bucket key. In every bucket the smallest node is paired
    with each other member: no more pairs than members. Pairs whose signatures agree
    too little for the threshold go; the rest is confirmed on the full sets.
 3. Confirmed links give components, by alternating large-star and small-star.
@@ -11,20 +11,23 @@
    are still in different components do. Such buckets are gathered with signatures,
    large ones in pairs of blocks, and compared where they lie. Of the pairs that could
    be links only a spanning forest leaves the task, so its size follows the members.
-5. The forests join documents into neighbourhoods. A neighbourhood is gathered with
+5. The forests join classes into neighbourhoods. A neighbourhood is gathered with
    texts, again in pairs of blocks, and all its pairs of different components are
    confirmed or refuted on full sets, but for those whose components a link found
    just before has joined already. The links found join the components.
 
 So every candidate pair that could change a component is confirmed or refuted, and no
-step hands on more rows than members times blocks.
+step hands on more rows than members times blocks. A group is cut into up to
+``SPREAD`` blocks for the sake of many tasks, and into more only where a block would
+be too large for one: see ``_blocks``.
 
 The chance that a pair at the threshold shares no bucket is (1 - 0.75**5)**44, about
 seven in a million, and falls steeply above it. Signatures are compared by one byte a
 minimum, with a margin of five standard deviations below the threshold.
 
 Joins that move texts, signatures or buckets are sort-merge joins at every size, which
-adaptive execution can split where a key is hot.
+adaptive execution can split where a key is hot. Rows without words meet nothing and
+take no part in any of them. All tables written on the way are deleted in the end.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ._shared import discard, materialize, text_slices
 
@@ -43,8 +48,12 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 44, 5
 #: Minima of a signature; the first BANDS * ROWS of them make the bands.
 HASHES = 256
-#: Members of a bucket that are compared with each other in one task, and documents of a neighbourhood, which bring their texts.
+#: Members of a bucket that make a block, as long as there are few blocks; and those of a neighbourhood, which bring their texts.
 BLOCK, TEXT_BLOCK = 2048, 256
+#: Blocks up to which a group is cut for the sake of many tasks.
+SPREAD = 64
+#: The most that a block may hold: members with signatures, and bytes of texts.
+MOST_MEMBERS, MOST_BYTES = 16_384, 32_000_000
 #: Agreeing minima that a pair needs to be confirmed on full sets: 0.75 less five standard deviations.
 LEAST_AGREEING = int(HASHES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / HASHES) ** 0.5))
 #: Distinct words whose hashes a worker keeps.
@@ -113,6 +122,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
 
 
+def class_key(words: list[bytes]) -> bytes:
+    """The same for rows of the same words."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+@F.pandas_udf(BinaryType())
+def _class_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: class_key(words_of(t)))
+
+
 _SIGNED = "doc_id long, class binary, n_shingles long, signature binary, bands array<long>"
 
 
@@ -124,7 +143,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text in texts:
             words = words_of(text)
             found = shingles(words)
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            keys.append(class_key(words))
             sizes.append(len(found))
             if len(found):
                 least = minima(found)
@@ -261,9 +280,14 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.mapInArrow(_agree_batches, "a long, b long")
 
 
-def _compared(rows: DataFrame, sizes: DataFrame, block: int, texts: bool) -> DataFrame:
-    """Pairs (a, b) found within each ``bucket``; ``sizes`` has bucket and n, its members."""
-    rows = rows.join(sizes.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")).hint("merge"), "bucket")
+def _blocks(n: Column, small: int, least: Column) -> Column:
+    """Blocks of a group of n members: ``small`` ones while these are at most SPREAD, and at least ``least``."""
+    return F.greatest(F.least(F.ceil(n / small), F.lit(SPREAD)), least).cast("int")
+
+
+def _compared(rows: DataFrame, sizes: DataFrame, texts: bool) -> DataFrame:
+    """Pairs (a, b) found within each ``bucket``; ``sizes`` has bucket and blocks."""
+    rows = rows.join(sizes.select("bucket", "blocks").hint("merge"), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -271,25 +295,36 @@ def _compared(rows: DataFrame, sizes: DataFrame, block: int, texts: bool) -> Dat
     return dealt.mapInArrow(_Gathered(texts), "a long, b long")
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """node and text of the class of every node (column node); one row of the class's words and smallest id, if several have them."""
+    wanted = classes.select("node", "class", "doc_id").join(nodes.select("node").distinct().hint("merge"), "node").select("doc_id", "node", "class")
+    met = documents.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").filter(_class_of("text") == F.col("class"))
+    return met.groupBy("doc_id", "node").agg(F.first("text").alias("text")).select("node", "text")
+
+
 def _bridges(met: DataFrame, first: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links between documents of different components that met in a bucket, enough of them to join what they join."""
+    """Links between classes of different components that met in a bucket, enough of them to join what they join."""
     signs = classes.select("node", "n_shingles", "signature")
     placed = met.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")).filter("first <> last")
-    mixed = materialize(mixed.select("bucket", "n"), "mixed")
+    mixed = materialize(mixed.select("bucket", _blocks(F.col("n"), BLOCK, F.ceil(F.col("n") / MOST_MEMBERS)).alias("blocks")), "mixed")
     open_rows = placed.join(mixed.select("bucket").hint("merge"), "bucket").join(signs.hint("merge"), "node")
-    forest = materialize(_compared(open_rows, mixed, BLOCK, False).distinct(), "forest")
-    near = materialize(components(forest).select("node", F.col("component").alias("bucket")), "near")
-    texts = documents.select(F.col("doc_id").alias("node"), "text").join(near.hint("merge"), "node")
-    rows = texts.join(signs.hint("merge"), "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return materialize(_compared(rows, near.groupBy("bucket").agg(F.count("*").alias("n")), TEXT_BLOCK, True), "bridges")
-
-
-def confirmed(likely: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that are links on their full sets. ``likely`` is read several times."""
-    involved = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    texts = documents.select(F.col("doc_id").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi")
-    held = materialize(texts, "texts")
+    forest = materialize(_compared(open_rows, mixed, False).distinct(), "forest")
+    joined = components(forest)
+    near = joined.select("node", F.col("component").alias("bucket"))
+    texts = materialize(_texts(near, classes, documents), "texts")
+    rows = texts.join(near.hint("merge"), "node").join(signs.hint("merge"), "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = texts.select("node", F.octet_length("text").alias("bytes")).join(near.hint("merge"), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.select("bucket", _blocks(F.col("n"), TEXT_BLOCK, F.greatest(F.ceil(F.col("n") / MOST_MEMBERS), F.ceil(F.col("bytes") / MOST_BYTES))).alias("blocks"))
+    out = materialize(_compared(rows, sizes, True), "bridges")
+    for used in (mixed, forest, joined, texts):
+        discard(used)
+    return out
+
+
+def confirmed(likely: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are links on their full sets. ``likely`` is read several times."""
+    held = materialize(_texts(likely.select(F.col("a").alias("node")).union(likely.select("b")), classes, documents), "texts")
     text = lambda c: held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     links = materialize(both.mapInArrow(_confirm_batches, "a long, b long").distinct(), "links")
@@ -298,7 +333,7 @@ def confirmed(likely: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) for every node of the edges (columns a, b).
+    """node, component (its smallest reachable node) for every node of the edges (columns a, b); a written table.
 
     Alternating large-star and small-star; each round is written to the shared folder.
     A node's smallest neighbour is found by a grouped minimum, which combines before
@@ -322,41 +357,79 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")
+    discard(now)
+    return out
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document.
+def _judged(documents: DataFrame) -> DataFrame:
+    """doc_id, class, n_shingles, component_id and ``stays`` of every row; a written table.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows with a
-    null id are linked with nothing either; their component is null and they are kept.
-    Rows that repeat an id are one document: they share a component and stay or go
-    together. An empty table gives no rows; other columns are not read.
+    Of a component the class of the smallest id stays (of several classes with that id
+    the first by key), in its rows of that id.
     """
     signed = materialize(documents.select("doc_id", "text").mapInArrow(_sign_batches, _SIGNED), "signed")
-    usable = signed.filter("doc_id is not null and n_shingles > 0")
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     # one row a class, combined before the shuffle; the smallest id brings its signature along
-    classes = usable.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r"))
-    classes = materialize(classes.select("class", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.signature", "r.bands"), "classes")
+    least = signed.filter(usable).groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r"))
+    # ids may repeat with other words, so a class is numbered when it is written
+    classes = materialize(least.select(F.monotonically_increasing_id().alias("node"), "class", "r.doc_id", "r.n_shingles", "r.signature", "r.bands"), "classes")
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
     met = materialize(rows.join(crowded.hint("merge"), "bucket"), "buckets")
     stars = materialize(met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = confirmed(materialize(_agreeing(stars, classes), "likely"), documents)
-    first = materialize(components(links), "components")
+    likely = materialize(_agreeing(stars, classes), "likely")
+    links = confirmed(likely, classes, documents)
+    first = components(links)
     more = _bridges(met, first, classes, documents)
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}"))
-    bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b"))
-    second = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    placed_class = classes.select("class", "node").join(first, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    final = placed_class.join(second, "component", "left").select("class", F.coalesce("joined", "component").alias("component"))
-    out = signed.select("doc_id", "class", "n_shingles").join(final, "class", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+    second = components(more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b")))
+    joined = second.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    placed = classes.select("class", "node", "doc_id").join(first, "node", "left").select("class", "doc_id", F.coalesce("component", "node").alias("component"))
+    placed = placed.join(joined, "component", "left").select("class", "doc_id", F.coalesce("joined", "component").alias("component"))
+    heads = placed.groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("head"))
+    final = placed.join(heads, "component").select("class", F.col("head.doc_id").alias("component_id"), (F.col("class") == F.col("head.class")).alias("leads"))
+    linked = signed.filter(usable).select("doc_id", "class", "n_shingles").join(final, "class")
+    linked = linked.select("doc_id", "class", "n_shingles", "component_id", (F.col("leads") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    # rows without words or without an id are linked with nothing
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).cast("long")
+    apart = signed.filter(~usable).select("doc_id", "class", "n_shingles", alone.alias("component_id"), F.lit(True).alias("stays"))
+    out = materialize(linked.union(apart), "near-duplicates")
+    for used in (signed, classes, met, stars, likely, links, first, more, second):
+        discard(used)
+    return out
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row.
+
+    A row is its words: rows that repeat an id are judged each for itself, and an id's
+    rows of other words may lie in other components. A component's id is the smallest id
+    in it. Null and empty texts have no shingles and are linked with nothing; ``kept``.
+    Rows with a null id are linked with nothing either; their component is null and they
+    are kept. Very long texts are sets like others. An empty table gives no rows; other
+    columns are not read, whatever their names. Jobs run when this is called; the result
+    reads the one narrow table that they leave.
+    """
+    out = _judged(documents).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_duplicates(documents: DataFrame) -> DataFrame:
-    """The same columns; of every component one document stays, that of the smallest id."""
-    gone = near_duplicates(documents).filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """The same columns; of every component one row stays, of the smallest id.
+
+    Rows without words and rows without an id all stay. Where rows repeat an id, those
+    whose words are another component's are judged there; of rows of the same id and
+    words one stays, and which is not defined.
+    """
+    judged = _judged(documents)
+    worded = judged.filter("doc_id is not null and n_shingles > 0")
+    ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("any"))
+    # ids of one row, or of rows that all go, need no look at the words again
+    simple = documents.join(ids.filter("n > 1 or not any").select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    several = documents.join(ids.filter("n > 1 and any").select("doc_id"), "doc_id", "left_semi").select(*documents.columns)
+    keyed = several.withColumn("__class", _class_of("text"))
+    empty = keyed.filter(F.col("__class") == F.lit(class_key([])))
+    stay = worded.filter("stays").select("doc_id", F.col("class").alias("__class")).distinct()
+    full = keyed.join(stay, ["doc_id", "__class"], "left_semi").dropDuplicates(["doc_id", "__class"])
+    return simple.unionByName(empty.select(*documents.columns)).unionByName(full.select(*documents.columns))

@@ -218,8 +218,12 @@ class _Windows:
 def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked for.
 
-    Null and empty texts are documents of one id, the closing one. Repeated rows are
-    packed each for itself; an empty table gives no pieces.
+    Null and empty texts are documents of one id, the closing one; very long texts are
+    many pieces. Repeated rows are packed each for itself, and null ids are kept. Pieces
+    of equal length are dealt with by doc_id, start and checksum, so equal input gives
+    equal windows. An empty table gives no pieces; other columns are not read, whatever
+    their names. The pieces are written and counted when this is called, which sets the
+    number of groups.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     cut = materialize(documents.select("doc_id", "text").mapInArrow(_Pieces(path, capacity, with_ids), schema), "pieces")

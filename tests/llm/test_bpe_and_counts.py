@@ -56,24 +56,63 @@ def test_a_small_cache_changes_nothing(library):
 
 
 def test_counts_by_blocks(library):
-    own, sample = token_counts.counter(BYTE), [t for t in texts(800) if "<|" not in t]
+    draw = random.Random(6)
+    parts = ["'s", "'r", "'re", "'", "''", " '", "\n'", "<|endoftext|>", " ", "  ", "\n", "\n\n", "abc", "12", "!", "é"]
+    own, sample = token_counts.counter(BYTE), texts(800) + ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(3000)]
     want = [len(e.ids) for e in library.encode_batch(sample, add_special_tokens=False)]
-    assert own.count_batch(sample) == want
-    for block in (1, 7, 40):
-        assert [own.count(t, block) for t in sample] == want
+    for block in (token_counts.BLOCK, 1, 2, 7, 40):
+        assert own.count_batch(sample, block) == want
 
 
-def test_maps_compose_in_any_bracketing():
+def test_every_text_goes_through_the_scan(spark, library, monkeypatch):
+    """On a table of documents: all texts are composed from the maps of their blocks, and the states stay few."""
+    sample = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own, scanned, scan = token_counts.Counter(BYTE), [], token_counts.Counter.scan
+    monkeypatch.setattr(token_counts.Counter, "scan", lambda self, found: scanned.extend(found) or scan(self, found))
+    got = own.count_batch(sample)
+    assert got == [len(e.ids) for e in library.encode_batch(sample, add_special_tokens=False)]
+    assert len(scanned) == len(sample) and sum(map(len, scanned)) == sum(max(1, -(-len(t) // token_counts.BLOCK)) if t else 0 for t in sample)
+    assert len(own.words.states) < 100_000
+
+
+def test_maps_compose_in_any_bracketing(library):
     own = token_counts.counter(BYTE)
-    a, b, c = (own.map_of(t) for t in ("one tw", "o three", " four fi"))
-    assert own.compose(own.compose(a, b), c) == own.compose(a, own.compose(b, c))
+    made = own.maps(["one tw", "o three", " four fi", "ve'", "re", None, "  six", " "])
+    want = len(library.encode("one two three four five're<|endoftext|>  six ", add_special_tokens=False).ids)
+    draw = random.Random(1)
+    for _ in range(50):
+        left = list(made)
+        while len(left) > 1:
+            i = draw.randrange(len(left) - 1)
+            left[i : i + 2] = [token_counts.compose(own.machine, left[i], left[i + 1])]
+        at, n = left[0].apply(own.machine, token_counts.START)
+        assert n + own.machine.end(at) == want
+
+
+def test_words_share_states():
+    """Words that leave the same choices open are in one state, whatever they began with."""
+    words = token_counts.Words(bpe.encoder(BYTE).vocabulary)
+    ends = {id(words.run(words.root, begin + b"qzqzqz")[0]) for begin in (b"", b"xx", b"hello", b" some", b"zq" * 50)}
+    assert len(ends) < 5
+    runs = token_counts.Words(bpe.encoder(BYTE).vocabulary)
+    runs.count(b"qz" * 50_000)
+    assert len(runs.states) < 1000
 
 
 def test_a_full_transducer_starts_again(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 20)
-    machine = token_counts.WordTransducer(bpe.encoder(BYTE).vocabulary)
+    words = token_counts.Words(bpe.encoder(BYTE).vocabulary)
     for word in (b" hounourseth", b"xqzzt" * 100, b" hounourseth"):
-        assert machine.count(word) == len(bpe.encoder(BYTE).vocabulary.merge(word))
+        assert words.count(word) == len(bpe.encoder(BYTE).vocabulary.merge(word))
+    assert len(words.states) <= 20
+
+
+def test_wide_words_are_proposed_and_verified(library):
+    draw, own = random.Random(7), bpe.Encoder(BYTE)
+    sample = ["x" * 48, "x" * 49, "a" * 3000, "=" * 500, " " * 300, "中文" * 60, "é" * 100, "." * 77, "<>" * 100]
+    sample += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(49, 300))) for _ in range(100)]
+    assert [x.tolist() for x in own.encode_batch(sample)] == [e.ids for e in library.encode_batch(sample, add_special_tokens=False)]
+    assert own.vocabulary.long_words > own.vocabulary.long_merged > 0
 
 
 def rows(spark, values):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,24 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: The operator that keeps something in this worker between batches, and how to let it go.
+_kept: list[tuple[str, Callable[[], None]]] = []
+
+
+def keep_alone(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called by a task of ``owner`` before it keeps caches in its worker, which ``forget`` lets go.
+
+    Workers serve the tasks of one operator after another. What another operator kept
+    here is let go first, so a worker never holds the caches of several.
+    """
+    if _kept and _kept[0][0] != owner:
+        _kept.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if not _kept:
+        _kept.append((owner, forget))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._shared import text_slices
+from ._shared import keep_alone, text_slices
 
 NEVER = np.int64(1 << 40)
 #: Entries of a worker's cache of chunks; the older half goes when it is full. Longer chunks are not kept.
@@ -401,6 +401,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    keep_alone("byte pairs", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -35,14 +35,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ._shared import discard, materialize, text_slices
+from ._shared import discard, keep_alone, materialize, text_slices
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 44, 5
@@ -127,15 +126,16 @@ def class_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-@F.pandas_udf(BinaryType())
-def _class_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: class_key(words_of(t)))
+@F.arrow_udf(BinaryType())
+def _class_of(texts: pa.Array) -> pa.Array:
+    return pa.array([class_key(words_of(t.as_py())) for t in texts], pa.binary())
 
 
 _SIGNED = "doc_id long, class binary, n_shingles long, signature binary, bands array<long>"
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_alone("near duplicates", _words.clear)
     for part, texts in text_slices(batches, most=2_000_000):
         if len(_words) >= WORD_CACHE:
             _words.clear()
@@ -167,6 +167,7 @@ def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_alone("near duplicates", _words.clear)
     recent: dict[int, np.ndarray] = {}
 
     def of(node: int, text: str | None) -> np.ndarray:
@@ -213,6 +214,7 @@ class _Gathered:
         self.texts = texts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("near duplicates", _words.clear)
         held, key = [], None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (*self.COLUMNS, *["text"] * self.texts)]

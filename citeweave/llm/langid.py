@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._ngrams import HELD_OUT, blocks, fold
-from ._shared import text_slices
+from ._shared import keep_alone, text_slices
 
 LENGTHS, BITS = (1, 2, 3, 4), 16
 #: Documents that counting may use, and languages that a model may hold; each has 256 KB of the matrix.
@@ -106,6 +106,7 @@ class Model:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_alone("language")
     counts: dict[str, np.ndarray] = {}
     for part, texts in text_slices(batches):
         for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
@@ -161,6 +162,7 @@ class _Predict:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("language")
         for part, texts in text_slices(batches, most=1_000_000):
             lang, score = self.model.predict(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -177,6 +179,7 @@ class _Keep:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("language")
         for part, texts in text_slices(batches, most=1_000_000):
             yield part.filter(pa.array(self.model.explains(texts), pa.bool_()))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, text_slices
+from ._shared import keep_alone, materialize, text_slices
 
 CAPACITY, END_ID, GROUP, FINE, FINEST = 4096, 2, 2048, 512, 32
 CACHE_ENTRIES, CACHE_LONGEST = 800_000, 64
@@ -118,6 +118,7 @@ class _Pieces:
         self.path, self.capacity, self.ids = path, capacity, ids
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("packing", _loaded.clear)
         own, cap = word_tokens(self.path), self.capacity
         end = END_ID.to_bytes(4, "little")
         for part, texts in text_slices(batches, most=2_000_000):

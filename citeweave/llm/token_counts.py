@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._shared import text_slices
+from ._shared import keep_alone, text_slices
 from .bpe import ChunkCache, Vocabulary, split_words
 
 #: States that are kept for reuse. Beyond them the table starts anew.
@@ -329,6 +329,7 @@ _counters: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
+    keep_alone("token counts", _counters.clear)
     if path not in _counters:
         _counters[path] = Counter(path)
     return _counters[path]

@@ -6,10 +6,10 @@ gives a log-count ratio. N-grams that are rare or whose ratio says little are se
 aside; the others, scaled by their ratio, are the features of a logistic regression.
 All texts, in training and scoring, are read whole.
 
-Counting and fitting run on executors: tasks count n-grams by label, one task adds
-the counts up and chooses the features, and one task fits the weights on rows that
-hold chosen features only. The driver receives the chosen buckets and their weights,
-``FEATURES`` numbers of each at most.
+Counting and fitting run on executors: tasks count n-grams by label, the counts are
+added up by slices of the buckets, and one task fits the weights on rows that hold
+chosen features only. The driver receives the buckets that could be features, at most
+16 bytes for each of ``2**BITS``, chooses among them, and receives the weights.
 
 What every operator here does with odd rows: null and empty texts have no n-grams and
 get the score of no evidence; a null id is not held out; rows are scored each for
@@ -24,12 +24,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._ngrams import HELD_OUT, blocks, fold
-from ._shared import discard, materialize, text_slices
+from ._shared import discard, keep_alone, materialize, text_slices
 
 LENGTHS, BITS = (5, 6, 8), 20
 #: Documents of each label that training may use; more than that are thinned by a hash of their id.
@@ -41,8 +42,9 @@ LEAST_DOCUMENTS, LEAST_RATIO = 4, 0.8
 RIDGE, STEPS = 2e-4, 300
 #: Entries of the training rows that one step looks at together.
 ENTRIES = 1 << 19
-#: Tasks that count n-grams of the sample.
-COUNTERS = 12
+#: Tasks that count n-grams of the sample, and slices of the buckets that are added up each for itself.
+COUNTERS, SLICES = 12, 16
+SLICE = (1 << BITS) // SLICES
 THRESHOLD = 0.3
 _OTHER = re.compile(r"[\W_]+")
 
@@ -89,15 +91,19 @@ def log_ratios(count: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return np.log((count[1] + 1) / (documents[1] + 2)) - np.log((count[0] + 1) / (documents[0] + 2))
 
 
-def chosen_features(count: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that become features, ascending, and their ratios."""
+def useful(count: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that could be features, ascending, their ratios, and what they are worth."""
     ratio = log_ratios(count, documents)
     total = count.sum(0)
     kept = np.flatnonzero((total >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO))
-    if len(kept) > FEATURES:
-        worth = np.abs(ratio[kept]) * np.sqrt(total[kept])
-        kept = np.sort(kept[np.argsort(-worth, kind="stable")[:FEATURES]])
-    return kept, ratio[kept]
+    return kept, ratio[kept], np.abs(ratio[kept]) * np.sqrt(total[kept])
+
+
+def best_features(buckets: np.ndarray, ratio: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``FEATURES`` most worthy buckets, ascending, ties to the smaller, and their ratios."""
+    first = np.lexsort((buckets, -worth))[:FEATURES]
+    first = first[np.argsort(buckets[first])]
+    return buckets[first], ratio[first]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -139,23 +145,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, prior: fl
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, documents = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+    """Documents of each label by bucket, as one row for each slice of the buckets."""
+    keep_alone("toxicity")
+    count, any_text = np.zeros((2, 1 << BITS), np.uint32), False
     for part, texts in text_slices(batches):
+        any_text = True
         for label, text in zip(part.column("toxic").to_pylist(), texts, strict=True):
             count[label, features(text)] += 1
-            documents[label] += 1
-    if documents.any():
-        yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary()), pa.array([documents.tobytes()], pa.binary())], ["count", "documents"])
+    if any_text:
+        for k in range(SLICES):
+            own = np.ascontiguousarray(count[:, k * SLICE : (k + 1) * SLICE])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "count"])
+
+
+class _Choose:
+    """The features among one slice of the buckets."""
 
+    def __init__(self, documents: np.ndarray):
+        self.documents = documents
 
-def _choose_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, documents = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-    for batch in batches:
-        for c, d in zip(batch.column("count"), batch.column("documents"), strict=True):
-            count += np.frombuffer(c.as_buffer(), np.int32).reshape(2, -1)
-            documents += np.frombuffer(d.as_buffer(), np.int64)
-    buckets, ratio = chosen_features(count, documents)
-    yield pa.RecordBatch.from_arrays([pa.array([buckets.astype(np.uint32).tobytes()], pa.binary()), pa.array([ratio.tobytes()], pa.binary())], ["buckets", "ratio"])
+    def __call__(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        count = sum(np.frombuffer(c, np.uint32).reshape(2, -1).astype(np.int64) for c in rows["count"])
+        bucket, ratio, worth = useful(count, self.documents)
+        return pd.DataFrame({"bucket": [(bucket + int(key[0]) * SLICE).astype(np.uint32).tobytes()], "ratio": [ratio.tobytes()], "worth": [worth.astype(np.float32).tobytes()]})
 
 
 class _Restrict:
@@ -165,6 +177,7 @@ class _Restrict:
         self.buckets = buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("toxicity")
         place = np.full(1 << BITS, -1, np.int32)
         place[self.buckets] = np.arange(len(self.buckets))
         for part, texts in text_slices(batches):
@@ -210,13 +223,16 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     texts = materialize(one.select("toxic", "text"), "toxicity-sample")
-    if texts.select("toxic").distinct().count() < 2:
+    taught = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(taught) < 2:
         discard(texts)
         return unknown
     dealt = texts.repartition(COUNTERS)
-    counts = dealt.mapInArrow(_count_batches, "count binary, documents binary")
-    best = counts.repartition(1).mapInArrow(_choose_batches, "buckets binary, ratio binary").collect()[0]
-    buckets, ratio = np.frombuffer(bytes(best["buckets"]), np.uint32), np.frombuffer(bytes(best["ratio"]), np.float64)
+    choose = _Choose(np.array([taught[0], taught[1]]))
+    counts = dealt.mapInArrow(_count_batches, "slice int, count binary")
+    found = counts.groupBy("slice").applyInPandas(lambda key, own: choose(key, own), "bucket binary, ratio binary, worth binary").collect()
+    joined = lambda c, kind: np.concatenate([np.frombuffer(bytes(r[c]), kind) for r in found])
+    buckets, ratio = best_features(joined("bucket", np.uint32), joined("ratio", np.float64), joined("worth", np.float32))
     held = dealt.mapInArrow(_Restrict(buckets), "toxic int, at binary").repartition(1)
     got = held.mapInArrow(_Fit(ratio, prior), "weights binary, bias double").collect()[0]
     discard(texts)
@@ -228,6 +244,7 @@ class _Score:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("toxicity")
         for part, texts in text_slices(batches):
             scores = np.array([self.model.score(t) for t in texts])
             yield pa.RecordBatch.from_arrays(
@@ -247,6 +264,7 @@ class _Keep:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("toxicity")
         for part, texts in text_slices(batches):
             yield part.filter(pa.array([self.model.score(t) < THRESHOLD for t in texts], pa.bool_()))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from citeweave.llm import _ngrams, dedup, langid, media, secrets, toxicity
+from citeweave.llm import _ngrams, _shared, dedup, langid, media, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, spans string"
 
@@ -234,12 +234,13 @@ def test_features_and_weights_by_plain_counting(monkeypatch):
     for f, x in held:
         count[x, sorted(f)] += 1
     ratio = lambda g: np.log(((sum(g in f for f, x in held if x) + 1) / (n[1] + 2)) / ((sum(g in f for f, x in held if not x) + 1) / (n[0] + 2)))
-    buckets, scale = toxicity.chosen_features(count, np.array(n))
+    worthy = toxicity.useful(count, np.array(n))
+    buckets, scale = toxicity.best_features(*worthy)
     every = sorted(set().union(*(f for f, _ in held)))
     assert buckets.tolist() == [g for g in every if sum(g in f for f, _ in held) >= toxicity.LEAST_DOCUMENTS and abs(ratio(g)) >= toxicity.LEAST_RATIO]
     assert scale[:50] == pytest.approx([ratio(g) for g in buckets[:50].tolist()])
     monkeypatch.setattr(toxicity, "FEATURES", 40)
-    few, _ = toxicity.chosen_features(count, np.array(n))
+    few, _ = toxicity.best_features(*worthy)
     assert len(few) == 40 and set(few.tolist()) < set(buckets.tolist())
 
     at = [np.array([i for i, g in enumerate(buckets.tolist()) if g in f], np.uint16) for f, _ in held]
@@ -262,6 +263,16 @@ def test_features_and_weights_by_plain_counting(monkeypatch):
         assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(bias + weights[f].sum()))), rel=1e-4)
 
 
+def test_a_worker_keeps_the_caches_of_one_operator():
+    dedup.words_of("a b")
+    _shared.keep_alone("near duplicates", dedup._words.clear)
+    dedup.shingles([b"one", b"two", b"three", b"four", b"five"])
+    _shared.keep_alone("near duplicates", dedup._words.clear)
+    assert dedup._words
+    _shared.keep_alone("secrets")
+    assert not dedup._words
+
+
 def test_a_frequent_id_teaches_once(spark):
     rows = [(i, t) for i, t, _ in labelled(200)] + [(4, f"{t} again") for _, t, _ in labelled(150)]
     labels = spark.createDataFrame([(d, x) for d, _, x in labelled(200)] + [(4, 0)] * 50, "doc_id long, toxic int")

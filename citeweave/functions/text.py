@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import kernels, vocab
 
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _EDGE = rf"\A{SPACE}+|{SPACE}+\z"
@@ -55,23 +55,9 @@ def estimate_tokens(x: Column) -> Column:
     return F.when(trim(x) == "", F.lit(0)).otherwise(F.ceil(n * F.lit(1.3)).cast("int"))
 
 
-def stem(word: Column) -> Column:
-    """One search term from one lower-case word."""
-    n = F.length(word)
-    plain = (
-        F.when((n > 4) & word.endswith("ies"), F.concat(word.substr(F.lit(1), n - 3), F.lit("y")))
-        .when((n > 4) & word.endswith("s") & ~word.endswith("ss"), word.substr(F.lit(1), n - 1))
-        .otherwise(word)
-    )
-    known = reduce(lambda acc, forms: F.when(word.isin(*forms), forms[0]).otherwise(acc), vocab.STEMS, word)
-    # most words are in no list: one look into the set of all spares them the others
-    return F.when(word.isin(*(w for forms in vocab.STEMS for w in forms)), known).otherwise(plain)
-
-
 def search_terms(x: Column) -> Column:
     """Stemmed terms longer than two letters that are no stopwords, in order, repeats kept."""
-    kept = F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return F.filter(F.transform(kept, stem), lambda t: (F.length(t) > 2) & ~t.isin(*vocab.STOPWORDS))
+    return kernels.text_terms(x)
 
 
 def distinct_nonempty(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import kernels, vocab
 
 
 def let(x: Column, use) -> Column:
@@ -27,47 +27,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(0.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
 
 
-def term_code(term: Column, dimensions: int) -> Column:
-    """Twice the dimension that a term counts in, plus one if it counts positively.
+def sparse_embedding(text: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:
+    """Signed counts of a text's search terms, of length one, as a map from dimension to value; empty without terms.
 
-    The dimension comes from the first four bytes of the term's SHA-1, the sign from the parity of the fifth.
+    A term counts in the dimension that the first four bytes of its SHA-1 give, with the
+    sign of the fifth. A dense vector of this kind is nearly all zeros, so the map is
+    what is stored and compared; ``dense`` spells it out.
     """
-    return let(F.conv(F.substring(F.sha1(term.cast("binary")), 1, 10), 16, 10).cast("long"), lambda v: F.shiftright(v, 8) % dimensions * 2 + (1 - v % 2))
-
-
-def sparse_embedding(terms: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:
-    """Signed term counts of a text, of length one, as a map from dimension to value; empty without terms.
-
-    A dense vector of this kind is nearly all zeros, so the map is what is stored
-    and compared; ``dense`` spells it out. The terms' codes are sorted, so a dimension's
-    terms stand together and one pass sums them.
-    """
-    codes = F.array_sort(F.transform(terms, lambda t: term_code(t, dimensions)))
-    entries = "cast(array() as array<struct<key:int,value:double>>)"
-    start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0.0).alias("n"), F.expr(entries).alias("out"))
-
-    def closed(acc: Column) -> Column:
-        entry = F.struct(acc["slot"].cast("int").alias("key"), acc["n"].alias("value"))
-        return F.when(acc["slot"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], entry))
-
-    def step(acc: Column, code: Column) -> Column:
-        slot, sign = F.shiftright(code, 1), (code % 2 * 2 - 1).cast("double")
-        same = slot == acc["slot"]
-        return F.struct(slot.alias("slot"), F.when(same, acc["n"] + sign).otherwise(sign).alias("n"), F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"))
 
     def unit(raw: Column) -> Column:
         length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, e: a + e["value"] * e["value"]))
         return let(length, lambda n: F.transform(raw, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.round(F.try_divide(e["value"], n), 8), F.lit(0.0)).alias("value"))))
 
-    return F.map_from_entries(let(F.aggregate(codes, start, step, closed), unit))
+    return F.map_from_entries(let(kernels.text_slots(text, F.lit(dimensions)), unit))
 
 
 def dense(embedding: Column, dimensions: int = vocab.VECTOR_DIMENSIONS) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(embedding, i), F.lit(0.0)))
+    return let(embedding, lambda e: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(e, i), F.lit(0.0))))
+
+
+def square(embedding: Column) -> Column:
+    """Squared length of a map; stored beside it, so that no pair computes it."""
+    return F.aggregate(F.map_values(embedding), F.lit(0.0), lambda s, v: s + v * v)
 
 
-def sparse_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two maps of one dimension count; the first should be the smaller."""
-    inner = F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v)
-    return F.coalesce(F.try_divide(inner, F.sqrt(square(a) * square(b))), F.lit(0.0))
+def sparse_cosine(a: Column, b: Column, square_a: Column, square_b: Column) -> Column:
+    """Cosine of two maps of one dimension count, given their squares.
+
+    Only dimensions that both have are looked up: a map is searched entry by entry.
+    """
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    inner = F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.try_element_at(a, k) * F.try_element_at(b, k))
+    return F.coalesce(F.try_divide(inner, F.sqrt(square_a * square_b)), F.lit(0.0))

@@ -33,19 +33,28 @@ def question_signals(questions: DataFrame) -> DataFrame:
 
 
 def index_chunks(chunks: DataFrame) -> DataFrame:
-    """Adds the search columns of chunks: haystack, distinct terms, path terms and the lexical embedding.
+    """Adds the search columns of chunks: haystack, full-text terms in order, distinct terms, path terms, and the lexical embedding with its square.
 
-    Meant to be stored with the chunks, so that questions read them instead of texts.
+    Meant to be stored with the chunks (``store.write_index``), so that questions read them instead of texts.
     """
     path, text = F.col("section_path"), F.col("text")
     # the haystack is path and text side by side, so its terms are those of both, and each is cut into terms once
-    own = chunks.withColumns({"__path": F.flatten(F.transform(path, lambda p: T.search_terms(F.coalesce(p, F.lit(""))))), "__text": T.search_terms(text)})
-    indexed = own.withColumns(
-        {"haystack": T.haystack(path, text), "terms": F.array_distinct(F.concat("__path", "__text")), "path_terms": F.array_distinct("__path"), "embedding": V.sparse_embedding(F.col("__text"))}
-    )
+    own = chunks.withColumns({"__path": T.search_terms(T.joined_path(path, " ")), "__text": T.search_terms(text)})
+    own = own.withColumns({"embedding": V.sparse_embedding(text), "fts": F.concat("__path", "__text")})
+    indexed = own.withColumns({"haystack": T.haystack(path, text), "terms": F.array_distinct("fts"), "path_terms": F.array_distinct("__path"), "square": V.square(F.col("embedding"))})
     return indexed.drop("__path", "__text")
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    """Questions with their signals, embedding and its square."""
+    rows = question_signals(questions).withColumn("q_embedding", V.sparse_embedding(F.col("question")))
+    return rows.withColumn("q_square", V.square(F.col("q_embedding")))
+
+
+def _similarity() -> Column:
+    return F.greatest(F.lit(0.0), V.sparse_cosine(F.col("q_embedding"), F.col("embedding"), F.col("q_square"), F.col("square")))
+
+
 def specificity(top: float) -> Column:
     span = F.greatest(F.col("page_to") - F.col("page_from"), F.lit(0))
     return F.greatest(F.lit(0.0), F.lit(top) - span * F.lit(0.25)) + F.least(F.lit(0.9), F.size("section_path") * F.lit(0.18))
@@ -70,13 +79,13 @@ def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
     ``questions``: qid, document_id, question. ``chunks`` as ``index_chunks`` gives them.
     """
-    asked = question_signals(questions).withColumn("q_embedding", V.sparse_embedding(T.search_terms(F.col("question"))))
+    asked = _asked(questions)
     hay = F.col("haystack")
     known = chunks.withColumns({f"__{kind}": hay.rlike(pattern) for kind, (pattern, _) in FIRST_STAGE.items()}).withColumn("__digit", F.col("text").rlike(r"\d")).withColumn("__specific", specificity(1.2))
     met = asked.join(known, "document_id")
     hits, n = F.size(F.array_intersect("q_terms", "terms")), F.size("q_terms")
     keyword = hits + F.coalesce(F.try_divide(hits.cast("double"), n.cast("double")), F.lit(0.0)) * 2 + bonus(F.contains(hay, F.col("q_norm")), 2.0)
-    met = met.withColumn("keyword_score", keyword).withColumn("vector_score", F.greatest(F.lit(0.0), V.sparse_cosine(F.col("q_embedding"), F.col("embedding"))))
+    met = met.withColumn("keyword_score", keyword).withColumn("vector_score", _similarity())
     score = (
         F.col("vector_score") * VECTOR_WEIGHT
         + F.col("keyword_score") * KEYWORD_WEIGHT
@@ -88,7 +97,7 @@ def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         + F.col("__specific")
         - bonus(F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") == "faq"), FAQ_PENALTY)
     )
-    return met.withColumn("score", score).drop(*(f"__{k}" for k in FIRST_STAGE), "__digit", "__specific", "q_embedding")
+    return met.withColumn("score", score).drop(*(f"__{k}" for k in FIRST_STAGE), "__digit", "__specific", "q_embedding", "q_square")
 
 
 def local_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -100,11 +109,6 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord", "id")))
 
 
-def full_text_terms(x: Column) -> Column:
-    """Analysed terms of the hosted keyword branch: the search terms, positions kept."""
-    return T.search_terms(x)
-
-
 def keyword_rank(fts: Column, terms: Column) -> Column:
     """A cover-density rank: all terms must occur; nearer together and oftener ranks higher, damped by length.
 
@@ -140,10 +144,10 @@ def top(rows: DataFrame, by: str, limit: int) -> DataFrame:
 
 def hybrid_candidates(questions: DataFrame, chunks: DataFrame, candidates: int = vocab.CANDIDATES, limit: int = vocab.MERGED) -> DataFrame:
     """The hosted search: the best chunks by vector and by full text, merged."""
-    asked = question_signals(questions).withColumn("q_embedding", V.sparse_embedding(T.search_terms(F.col("question"))))
-    met = asked.join(chunks, "document_id")
-    carried = [c for c in met.columns if c not in ("qid", "id", "embedding", "q_embedding")]
-    similar = met.withColumn("vector_score", F.greatest(F.lit(0.0), V.sparse_cosine(F.col("q_embedding"), F.col("embedding")))).filter(F.size("embedding") > 0)
-    fts = full_text_terms(T.searchable_text(F.col("section_path"), F.col("text")))
-    matched = met.withColumn("keyword_score", keyword_rank(fts, F.col("q_terms"))).filter(F.col("keyword_score").isNotNull())
+    met = _asked(questions).join(chunks, "document_id")
+    carried = [c for c in met.columns if c not in ("qid", "id", "embedding", "q_embedding", "square", "q_square", "fts")]
+    similar = met.filter(F.size("embedding") > 0).withColumn("vector_score", _similarity())
+    # a chunk that lacks a term has no rank, and only chunks that have all are looked at term by term
+    whole = met.filter(F.size(F.array_intersect("q_terms", "terms")) == F.size("q_terms"))
+    matched = whole.withColumn("keyword_score", keyword_rank(F.col("fts"), F.col("q_terms"))).filter(F.col("keyword_score").isNotNull())
     return hybrid_merge(top(similar, "vector_score", candidates), top(matched, "keyword_score", candidates), carried, limit)

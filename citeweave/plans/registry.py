@@ -42,7 +42,7 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, value FROM {S.embedding('documents', 'doc_id', 'text')}")
 def lexical_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", V.sparse_embedding(T.search_terms(F.col("text"))).alias("e"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", V.sparse_embedding(F.col("text")).alias("e"))
     return rows.select("doc_id", F.explode("e").alias("idx", "value"))
 
 

@@ -140,6 +140,11 @@ def summarize_error(x: Column) -> Column:
     return F.coalesce(x, F.lit("An unexpected error occurred."))
 
 
+def iso_time(x: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC with milliseconds; the session's time zone does not matter."""
+    return F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def password_protected(x: Column) -> Column:
     return F.coalesce(x.rlike("(?i)password|encrypted|owner password|permission"), F.lit(False))
 

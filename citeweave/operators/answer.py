@@ -453,6 +453,9 @@ def answer(question: str, mode: str, chunks: list[dict]) -> dict:
     return out | {"answer": answer_text(taken, intent, mode), "used_source_ids": list(dict.fromkeys(s.source for s in taken)), "missing": notes}
 
 
+# Fixed value.
+NOTE_UNRETRIEVED = "No relevant PDF excerpts were retrieved for this question."
+
 _ANSWER = "qid long, type string, answer string, clarifying_question string, used_source_ids array<string>, missing array<string>"
 
 
@@ -461,8 +464,16 @@ def _answer_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"qid": chunks[0]["qid"], **answer(chunks[0]["question"], chunks[0]["mode"], chunks)}])
 
 
-def answers(retrieved: DataFrame) -> DataFrame:
-    """qid, type, answer, clarifying_question, used_source_ids, missing for the questions of labelled excerpts."""
+def answers(retrieved: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """qid, type, answer, clarifying_question, used_source_ids, missing for the questions of labelled excerpts.
+
+    ``questions`` (column qid) that retrieved nothing get the fixed answer that nothing was found.
+    """
     rows = retrieved if "mode" in retrieved.columns else retrieved.withColumn("mode", F.lit("answer"))
     rows = rows.select("qid", "question", "mode", "place", "label", "section_path", "chunk_type", "text", "page_from", "page_to", "score")
-    return rows.groupBy("qid").applyInPandas(_answer_group, _ANSWER)
+    found = rows.groupBy("qid").applyInPandas(_answer_group, _ANSWER)
+    if questions is None:
+        return found
+    nothing = {"type": F.lit("answer"), "answer": F.lit(NOT_FOUND), "used_source_ids": F.expr("cast(array() as array<string>)"), "missing": F.array(F.lit(NOTE_UNRETRIEVED))}
+    met = questions.select("qid").join(found, "qid", "left")
+    return met.select("qid", *(F.when(F.col("type").isNull(), nothing[c]).otherwise(F.col(c)).alias(c) if c in nothing else F.col(c) for c in found.columns if c != "qid"))

@@ -126,14 +126,16 @@ def keyword_rank(fts: Column, terms: Column) -> Column:
     return V.let(fts, lambda doc: rank(doc, terms))
 
 
-def hybrid_merge(vector_hits: DataFrame, keyword_hits: DataFrame, carried: list[str], limit: int = vocab.MERGED) -> DataFrame:
+def hybrid_merge(vector_hits: DataFrame, keyword_hits: DataFrame, carried: list[str], limit: int = vocab.MERGED, digits: int | None = None) -> DataFrame:
     """Union of both branches, best score of each by chunk, 0.72 and 0.28 of them as score, and the top ``limit`` of a question.
 
-    Branches have qid, id, the carried columns and vector_score or keyword_score.
+    Branches have qid, id, the carried columns and vector_score or keyword_score. With
+    ``digits`` the score is rounded before it is ranked, so that nearly equal ones tie.
     """
     both = vector_hits.select("qid", "id", *carried, "vector_score", F.lit(0.0).alias("keyword_score")).unionByName(keyword_hits.select("qid", "id", *carried, F.lit(0.0).alias("vector_score"), "keyword_score"))
     merged = both.groupBy("qid", "id").agg(*(F.first(c).alias(c) for c in carried), F.max("vector_score").alias("vector_score"), F.max("keyword_score").alias("keyword_score"))
-    scored = merged.withColumn("score", F.col("vector_score") * 0.72 + F.col("keyword_score") * 0.28)
+    score = F.col("vector_score") * 0.72 + F.col("keyword_score") * 0.28
+    scored = merged.withColumn("score", score if digits is None else F.round(score, digits))
     return top(scored, "score", limit)
 
 

@@ -6,8 +6,6 @@ field by sequence number, a grouped ``max_by`` that combines before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from ..operators import chunking, layout
 
 LOCAL_MODES = ("local-layout-parser", "local-text-parser")
 LOCAL_PROVIDER = "pdf-parse"
-FIELDS = ("status", "workflow_run_id", "page_count", "parser_meta")
+FIELDS = ("status", "workflow_run_id", "page_count", "parser_meta", "outline", "ingestion_version", "filename", "blob_path")
 
 
 def current_state(events: DataFrame) -> DataFrame:
@@ -26,6 +24,75 @@ def current_state(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(*(last(f, "value").alias(f) for f in FIELDS), last("status", "error_message").alias("error_message"), F.max("at").alias("updated_at"))
 
 
+def create_documents(events: DataFrame, documents: DataFrame, at: Column | None = None) -> DataFrame:
+    """The history with new documents (id, filename, blob_path) in their first status; an id that the history has fails the job."""
+    known = events.select(F.col("document_id").alias("id")).distinct().withColumn("__known", F.lit(True))
+    met = documents.select("id", "filename", "blob_path").join(known, "id", "left")
+    own = F.when(F.col("__known"), F.raise_error(F.concat(F.lit("Document exists: "), "id"))).otherwise(F.col("id"))
+    first = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("filename", F.col("filename")), ("blob_path", F.col("blob_path")), ("status", F.lit(vocab.STATUSES[0])))))
+    rows = met.select(own.alias("document_id"), F.posexplode(first).alias("pos", "e"))
+    fresh = rows.select("document_id", (F.col("pos") + 1).cast("long").alias("seq"), "e.field", "e.value", F.lit(None).cast("string").alias("error_message"), (at if at is not None else F.current_timestamp()).alias("at"))
+    return events.unionByName(fresh.select(*events.columns))
+
+
+def append_events(events: DataFrame, changes: DataFrame, at: Column | None = None) -> DataFrame:
+    """The history with changes (document_id, field, value, error_message; ``n`` orders those of one document) behind it.
+
+    A change of a document or field that does not exist fails the job. Only the last
+    number of each document is looked up, a grouped maximum.
+    """
+    last = events.groupBy("document_id").agg(F.max("seq").alias("__last"))
+    met = changes.join(last, "document_id", "left")
+    missing = F.raise_error(F.concat(F.lit("Document not found: "), F.coalesce("document_id", F.lit("null"))))
+    seq = F.when(F.col("__last").isNull(), missing.cast("long")).otherwise(F.col("__last") + F.col("n"))
+    field = F.when(F.col("field").isin(*FIELDS), F.col("field")).otherwise(F.raise_error(F.concat(F.lit("Unknown field: "), "field")))
+    fresh = met.select("document_id", seq.cast("long").alias("seq"), field.alias("field"), "value", "error_message", (at if at is not None else F.current_timestamp()).alias("at"))
+    return events.unionByName(fresh.select(*events.columns))
+
+
+def _changes(documents: DataFrame, **fields: Column) -> DataFrame:
+    error = F.col("error_message") if "error_message" in documents.columns else F.lit(None).cast("string")
+    listed = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lit(f).alias("field"), v.cast("string").alias("value")) for n, (f, v) in enumerate(fields.items(), 1)))
+    return documents.select("document_id", error.alias("error_message"), F.explode(listed).alias("e")).select("document_id", "e.n", "e.field", "e.value", "error_message")
+
+
+def set_status(events: DataFrame, documents: DataFrame, status: str) -> DataFrame:
+    """Documents (document_id, error_message if any) enter a status; unknown ones fail the job."""
+    if status not in vocab.STATUSES:
+        raise ValueError(f"unknown status: {status}")
+    return append_events(events, _changes(documents, status=F.lit(status)))
+
+
+def mark_ready(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents (document_id, page_count) are ready, parsed by the present version."""
+    return append_events(events, _changes(documents, page_count=F.col("page_count"), ingestion_version=F.lit(vocab.INGESTION_VERSION), status=F.lit("ready")))
+
+
+def mark_failed(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents (document_id, error_message) have failed; a missing message becomes the general one."""
+    return append_events(events, _changes(documents.withColumn("error_message", T.summarize_error(F.col("error_message"))), status=F.lit("failed")))
+
+
+def set_run(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents (document_id, workflow_run_id) are worked on by a run."""
+    return append_events(events, _changes(documents, workflow_run_id=F.col("workflow_run_id")))
+
+
+def set_parsed(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents (document_id, outline, parser_meta, page_count) carry what a parser found; the first two as JSON."""
+    return append_events(events, _changes(documents, outline=F.to_json("outline"), parser_meta=F.to_json("parser_meta"), page_count=F.col("page_count")))
+
+
+def read_document(events: DataFrame, document_id: str) -> DataFrame:
+    """The present state of one document; its history is filtered before it is grouped."""
+    return current_state(events.filter(F.col("document_id") == document_id))
+
+
+def orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks whose document (column id) does not exist."""
+    return chunks.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_anti")
+
+
 def status_step(status: Column) -> Column:
     """Position of a status in the life of a document, from 1; failed is last, unknown is null."""
     return F.nullif(F.array_position(F.array(*map(F.lit, vocab.STATUSES)), status), F.lit(0))
@@ -55,7 +122,12 @@ def public_documents(documents: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def gate_questions(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds ``error`` to questions: too short, unknown mode, missing document, not ready, or stale; null if it may be asked."""
+    """Adds ``error`` to questions: too short, unknown mode, missing document, not ready, or stale; null if it may be asked.
+
+    A missing mode is ``answer``; a history, where that column is, is empty if it is null.
+    """
+    if "history" in questions.columns:
+        questions = questions.withColumn("history", F.coalesce("history", F.lit("")))
     state = documents.select(F.col("id").alias("document_id"), "status", needs_reingestion(F.col("status"), F.col("parser_meta"), F.col("ingestion_version")).alias("__stale"))
     rows = questions.withColumn("mode", F.coalesce("mode", F.lit("answer"))).join(state, "document_id", "left")
     error = (
@@ -104,7 +176,3 @@ def _summaries(known: DataFrame, pages: DataFrame, chunks: DataFrame, form: str)
 def classify_errors(rows: DataFrame) -> DataFrame:
     """Adds ``fatal`` to rows with error_message: encrypted files are not worth another try."""
     return rows.withColumn("fatal", T.password_protected(F.col("error_message")))
-
-
-#: A provider turns a DataFrame of sources into items or pages; the default parser is whatever the caller registers.
-Provider = Callable[[DataFrame], DataFrame]

@@ -135,14 +135,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 
 
 def _hybrid_merge(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``search.hybrid_merge`` over both branches; scores are rounded where ranks are taken, so that both engines see the same ties."""
     met = search.local_scores(questions, chunks)
     met = met.withColumn("vector_score", F.round("vector_score", 9)).withColumn("keyword_score", F.round("keyword_score", 9))
     by_vector = search.top(met.filter(F.size("embedding") > 0), "vector_score", vocab.CANDIDATES)
     by_keyword = search.top(met.filter("keyword_score > 0"), "keyword_score", vocab.CANDIDATES)
-    both = by_vector.select("qid", "id", "vector_score", F.lit(0.0).alias("keyword_score")).unionByName(by_keyword.select("qid", "id", F.lit(0.0).alias("vector_score"), "keyword_score"))
-    merged = both.groupBy("qid", "id").agg(F.max("vector_score").alias("vector_score"), F.max("keyword_score").alias("keyword_score"))
-    merged = merged.withColumn("score", F.round(F.col("vector_score") * 0.72 + F.col("keyword_score") * 0.28, 6))
-    return search.top(merged, "score", vocab.MERGED).select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "score", "rank")
+    merged = search.hybrid_merge(by_vector, by_keyword, [], digits=6)
+    return merged.select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "score", "rank")
 
 
 @query(_hybrid_merge_sql(_SCORED))
@@ -441,7 +440,8 @@ def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to all questions from their labelled chunks, every statement cited."""
-    return answer.answers(retrieve(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir)))
+    asked = views.whole_questions(spark, sf_dir)
+    return answer.answers(retrieve(asked, views.workspace_chunks(spark, sf_dir)), asked)
 
 
 @query()

@@ -1,16 +1,22 @@
-"""Runtime settings: which providers are configured, and whether uploads may be taken."""
+"""Runtime settings: which providers are configured, and whether uploads may be taken.
+
+Which variables configure a provider is the deployment's business: the caller says so,
+as a mapping from a role to the names of its variables.
+"""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from ..functions import vocab
 
-DURABLE = ("DATABASE_URL", "BLOB_READ_WRITE_TOKEN")
-HOSTED_MARKS = ("VERCEL", "VERCEL_ENV", "VERCEL_URL")
-HOSTED_AI = ("AI_GATEWAY_API_KEY", "VERCEL_OIDC_TOKEN")
+#: Roles that a deployment names variables for. The first two make storage durable; ``hosted`` marks a shared deployment.
+ROLES = ("database", "storage", "hosted", "parser", "ai")
+DURABLE = ROLES[:2]
+#: What serves a role that is configured, and what does otherwise.
+SERVED = {"database": ("external", "local-json"), "storage": ("external", "local-filesystem"), "parser": ("hosted", "local-layout-parser"), "ai": ("hosted-model", "local-heuristic")}
 
 
 @dataclass(frozen=True)
@@ -28,13 +34,16 @@ class Settings:
     """Settings read from a mapping of environment variables; empty values do not count."""
 
     env: Mapping[str, str]
+    names: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     max_upload_mb: int = vocab.MAX_UPLOAD_MB
     chunk_target_tokens: int = vocab.CHUNK_TARGET_TOKENS
     vector_dimensions: int = vocab.VECTOR_DIMENSIONS
 
     @classmethod
-    def load(cls, env: Mapping[str, str] | None = None) -> Settings:
-        env = {k: v for k, v in (os.environ if env is None else env).items() if v}
+    def load(cls, env: Mapping[str, str] | None = None, names: Mapping[str, tuple[str, ...]] | None = None) -> Settings:
+        env, names = {k: v for k, v in (os.environ if env is None else env).items() if v}, dict(names or {})
+        if unknown := set(names) - set(ROLES):
+            raise ValueError(f"unknown roles: {', '.join(sorted(unknown))}")
         numbers = {}
         for name, key in (("max_upload_mb", "MAX_UPLOAD_MB"), ("chunk_target_tokens", "CHUNK_TARGET_TOKENS"), ("vector_dimensions", "VECTOR_DIMENSIONS")):
             if key in env:
@@ -42,38 +51,35 @@ class Settings:
                     numbers[name] = int(env[key])
                 except ValueError as e:
                     raise ValueError(f"Invalid environment configuration: {key} is no number") from e
-        return cls(env, **numbers)
+        return cls(env, names, **numbers)
 
-    def _any(self, names: tuple[str, ...]) -> bool:
-        return any(n in self.env for n in names)
+    def has(self, role: str) -> bool:
+        """Is one of the role's variables set?"""
+        return any(n in self.env for n in self.names.get(role, ()))
 
     @property
     def hosted(self) -> bool:
-        return self._any(HOSTED_MARKS)
+        return self.has("hosted")
 
     @property
     def durable(self) -> bool:
-        return all(n in self.env for n in DURABLE)
+        return all(map(self.has, DURABLE))
 
     @property
     def inline_ingestion(self) -> bool:
         return not self.durable
 
     def capabilities(self) -> dict[str, str]:
-        return {
-            "database": "postgres" if DURABLE[0] in self.env else "local-json",
-            "storage": "vercel-blob" if DURABLE[1] in self.env else "local-filesystem",
-            "parser": "llamaparse" if "LLAMA_CLOUD_API_KEY" in self.env else "local-layout-parser",
-            "ai": "hosted-model" if self._any(HOSTED_AI) else "local-heuristic",
-        }
+        return {role: own if self.has(role) else other for role, (own, other) in SERVED.items()}
 
     def readiness(self) -> Readiness:
+        wanted = {role: " or ".join(self.names.get(role, ())) or role for role in DURABLE}
         if not self.hosted:
-            return Readiness("local", "ready", True, (), "Local mode: files and tables stay on this machine.", "Durable storage needs " + " and ".join(DURABLE) + ".")
-        missing = tuple(n for n in DURABLE if n not in self.env)
+            return Readiness("local", "ready", True, (), "Local mode: files and tables stay on this machine.", f"Durable storage needs {' and '.join(wanted.values())}.")
+        missing = tuple(wanted[role] for role in DURABLE if not self.has(role))
         if missing:
-            return Readiness("vercel", "setup-required", False, missing, "Uploads are off until durable storage is configured.", "Set " + " and ".join(missing) + ".")
-        return Readiness("vercel", "ready", True, (), "Durable storage is configured.", "Scanned files and hosted answers need their own keys.")
+            return Readiness("hosted", "setup-required", False, missing, "Uploads are off until durable storage is configured.", f"Set {' and '.join(missing)}.")
+        return Readiness("hosted", "ready", True, (), "Durable storage is configured.", "Scanned files and hosted answers need their own keys.")
 
     def require_uploads(self) -> None:
         state = self.readiness()

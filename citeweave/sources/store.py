@@ -50,10 +50,44 @@ def read_json_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return documents, chunks
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_json_store(documents: DataFrame, chunks: DataFrame, path: str) -> None:
-    """The reverse: JSON lines of both tables in one folder each; the file committer replaces the folder as a whole."""
-    documents.write.mode("overwrite").json(f"{path}/documents")
-    chunks.write.mode("overwrite").json(f"{path}/chunks")
+    """What ``read_json_store`` reads: one object with both lists. It is written beside the path, which it replaces by a rename.
+
+    A store of this kind is one object, so it is for as much as one task holds; tables by bucket are for more.
+    """
+    spark = documents.sparkSession
+    renamed = {"documentId": "document_id", "sourceId": "source_id", "pageFrom": "page_from", "pageTo": "page_to", "sectionPath": "section_path", "chunkType": "chunk_type"}
+    fields = {f.name: [x.name for x in f.dataType.elementType.fields] for f in spark.createDataFrame([], schemas.JSON_STORE).schema}
+    listed = lambda rows, own: rows.agg(F.sort_array(F.collect_list(F.struct(*(F.col(renamed.get(c, c)).alias(c) for c in own)))).alias("x"))
+    both = listed(documents, fields["documents"]).select(F.col("x").alias("documents")).crossJoin(listed(chunks, fields["chunks"]).select(F.col("x").alias("chunks")))
+    beside = f"{path.rstrip('/')}.next"
+    both.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(beside)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    remove(spark, path)
+    if not files.rename(place(beside), place(path)):
+        raise OSError(f"cannot rename {beside} to {path}")
+
+
+def save_source(files: DataFrame, path: str) -> DataFrame:
+    """Keep the bytes of uploads (document_id, filename, content) under a path; returns document_id, blob_path and length.
+
+    The bytes go into a table by bucket of the document, so one source is read from one bucket.
+    """
+    named = files.select("document_id", F.concat(F.lit("documents/"), "document_id", F.lit("/"), T.sanitize_filename(F.col("filename"))).alias("blob_path"), "content", F.length("content").cast("long").alias("length"))
+    with_bucket(named).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "document_id").parquet(path)
+    return files.sparkSession.read.parquet(path).join(files.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "blob_path", "length")
+
+
+def read_saved_source(spark: SparkSession, path: str, document_id: str) -> DataFrame:
+    """blob_path, length and content of one kept source."""
+    rows = spark.read.option("inferSchema", "false").parquet(path)
+    return rows.filter((F.col("bucket") == _bucket(spark, document_id)) & (F.col("document_id").cast("string") == document_id)).select("blob_path", "length", "content")
 
 
 def with_bucket(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -71,13 +105,21 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     with_bucket(chunks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def _bucket(spark: SparkSession, document_id: str) -> int:
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(document_id)), F.lit(BUCKETS)).cast("int")).first()[0]
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Store indexed chunks (``search.index_chunks``) by bucket, so that questions read columns instead of texts."""
+    write_chunks(index, path)
+
+
 def read_chunks(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
     """Stored chunks; for one document only its bucket is read."""
     rows = spark.read.parquet(path)
     if document_id is None:
         return rows.drop("bucket")
-    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(document_id)), F.lit(BUCKETS)).cast("int")).first()[0]
-    return rows.filter((F.col("bucket") == bucket) & (F.col("document_id") == document_id)).drop("bucket")
+    return rows.filter((F.col("bucket") == _bucket(spark, document_id)) & (F.col("document_id") == document_id)).drop("bucket")
 
 
 def without_deleted(chunks: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -121,3 +121,6 @@ def test_column_form(spark):
     rows = [{"qid": 7, "question": "Can lime be laid over foam directly?", "mode": "answer", "place": i, **c} for i, c in enumerate(FAQ, 1)]
     got = A.answers(spark.createDataFrame(rows, "qid long, question string, mode string, place int, label string, page_from int, page_to int, section_path array<string>, chunk_type string, text string, score double")).first()
     assert got.qid == 7 and got.used_source_ids == ["S1"]
+    asked = spark.createDataFrame([(7,), (8,)], "qid long")
+    found = {r.qid: r for r in A.answers(spark.createDataFrame(rows, "qid long, question string, mode string, place int, label string, page_from int, page_to int, section_path array<string>, chunk_type string, text string, score double"), asked).collect()}
+    assert found[7] == got and found[8][1:] == ("answer", A.NOT_FOUND, None, [], [A.NOTE_UNRETRIEVED])

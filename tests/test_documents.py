@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from citeweave.functions import text as T
 from citeweave.functions import vocab
-from citeweave.plans import lifecycle
+from citeweave.operators.answer import NOT_FOUND
+from citeweave.plans import lifecycle, providers
 from citeweave.plans.runtime import Settings
 from citeweave.sources import schemas, store
 from citeweave.streaming import ingest
@@ -66,8 +68,76 @@ def test_json_store(spark, tmp_path):
     path.write_text(json.dumps({"documents": [{"id": "d", "filename": "f.pdf", "status": "ready", "pageCount": 2}], "chunks": [{"id": "c", "documentId": "d", "sourceId": "src-0001", "pageFrom": 1, "pageTo": 1, "sectionPath": [None, "T"], "chunkType": "list", "text": "x"}]}, indent=2))
     docs, chunks = store.read_json_store(spark, str(path))
     assert docs.first().pageCount == 2 and chunks.first().section_path == [None, "T"]
-    store.write_json_store(docs, chunks, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/chunks")).first().text == "x"
+    out = str(tmp_path / "out")
+    store.write_json_store(docs, chunks, out)
+    again = store.read_json_store(spark, out)
+    assert again[0].collect() == docs.collect() and again[1].collect() == chunks.collect()
+    store.write_json_store(again[0].limit(0), again[1], out)
+    assert store.read_json_store(spark, out)[0].count() == 0 and store.read_json_store(spark, out)[1].count() == 1
+
+
+def test_kept_sources(spark, tmp_path):
+    files = spark.createDataFrame([("d1", "a b.pdf", bytearray(b"%PDF-1")), ("d2", "", bytearray(b"x"))], "document_id string, filename string, content binary")
+    got = {r.document_id: (r.blob_path, r.length) for r in store.save_source(files, str(tmp_path / "blobs")).collect()}
+    assert got == {"d1": ("documents/d1/a-b.pdf", 6), "d2": ("documents/d2/document.pdf", 1)}
+    assert bytes(store.read_saved_source(spark, str(tmp_path / "blobs"), "d1").first().content) == b"%PDF-1"
+
+
+def test_documents_are_written(spark):
+    none = spark.createDataFrame([], schemas.EVENTS)
+    new = spark.createDataFrame([("d", "f.pdf", "p"), ("e", "g.pdf", "q")], "id string, filename string, blob_path string")
+    events = lifecycle.create_documents(none, new)
+    one = spark.createDataFrame([("d", 7, "run-1", None)], "document_id string, page_count int, workflow_run_id string, error_message string")
+    events = lifecycle.mark_ready(lifecycle.set_run(lifecycle.set_status(events, one, "parsing"), one), one)
+    got = {r.document_id: r for r in lifecycle.current_state(events).collect()}
+    assert (got["d"].status, got["d"].page_count, got["d"].workflow_run_id, got["d"].filename, got["d"].ingestion_version) == ("ready", "7", "run-1", "f.pdf", str(vocab.INGESTION_VERSION))
+    assert got["e"].status == "uploaded" and lifecycle.read_document(events, "e").first().blob_path == "q"
+    failed = lifecycle.mark_failed(events, spark.createDataFrame([("e", None)], "document_id string, error_message string"))
+    assert lifecycle.read_document(failed, "e").first().error_message == "An unexpected error occurred."
+    parsed = spark.createDataFrame([("d", [("outline-1", "T")], {"provider": "x"}, 2)], "document_id string, outline array<struct<id:string,title:string>>, parser_meta map<string,string>, page_count int")
+    assert json.loads(lifecycle.read_document(lifecycle.set_parsed(events, parsed), "d").first().outline) == [{"id": "outline-1", "title": "T"}]
+    for broken in (lambda: lifecycle.set_status(events, one.withColumn("document_id", F.lit("zz")), "ready"), lambda: lifecycle.create_documents(events, new)):
+        with pytest.raises(Exception, match="Document not found: zz|Document exists"):
+            broken().collect()
+    with pytest.raises(ValueError):
+        lifecycle.set_status(events, one, "done")
+    chunks = spark.createDataFrame([("d", "c"), ("zz", "c2")], "document_id string, id string")
+    assert [r.id for r in lifecycle.orphans(chunks, new).collect()] == ["c2"]
+
+
+def test_iso_times(spark):
+    got = spark.sql("SELECT timestamp_micros(1700000000123456) AS t").select(T.iso_time(F.col("t"))).first()[0]
+    assert got == "2023-11-14T22:13:20.123Z"
+
+
+def test_providers(spark):
+    # inside the test, so that workers get the functions themselves
+    def _pages_of(content):
+        if content == b"locked":
+            raise ValueError("File is encrypted")
+        return content.decode().split("|")
+
+    def _answerer(system, prompt):
+        assert "usedSourceIds" in system
+        return json.dumps({"clear": {"type": "answer", "answer": "Yes [S2].", "usedSourceIds": ["S2", "S9", "S2"], "missing": ["a", "a"]}, "vague": {"type": "clarification", "answer": "Which one?"}, "empty": {"type": "answer", "answer": ""}}.get(prompt, {"type": "poem"}))
+
+    sources = spark.createDataFrame([("d", bytearray(b"# A|two")), ("e", bytearray(b"locked")), ("f", bytearray(b""))], "document_id string, content binary")
+    pages, failures = providers.parse_pages(sources, _pages_of)
+    assert sorted((r.document_id, r.page, r.text) for r in pages.collect()) == [("d", 1, "# A"), ("d", 2, "two"), ("f", 1, "")]
+    assert [(r.document_id, r.error_message, r.fatal) for r in failures.collect()] == [("e", "File is encrypted", True)]
+    items, _ = providers.parse_items(sources.limit(1), lambda content: [(1, "x", [1, 0, 0, 1, 5, 6])])
+    assert items.first()[:] == ("d", 1, 0, "x", [1.0, 0.0, 0.0, 1.0, 5.0, 6.0])
+    chunks = spark.createDataFrame([(f"c{i}", "x" * i) for i in range(40)], "id string, text string").coalesce(1)
+    sizes = providers.embed(chunks, lambda texts: [[len(t), len(texts)] for t in texts], 2).collect()
+    assert {r.id: r.vector[0] for r in sizes} == {f"c{i}": float(i) for i in range(40)} and {r.vector[1] for r in sizes} == {16.0, 8.0}
+    with pytest.raises(Exception, match="must give"):
+        providers.embed(chunks, lambda texts: [[0.0]], 2).collect()
+    prompts = spark.createDataFrame([(1, "clear"), (2, "vague"), (3, "empty")], "qid long, prompt string")
+    shown = spark.createDataFrame([(1, "S1"), (1, "S2")], "qid long, label string")
+    got = {r.qid: r[1:] for r in providers.hosted_answers(prompts, shown, _answerer).collect()}
+    assert got == {1: ("answer", "Yes [S2].", None, ["S2"], ["a"]), 2: ("clarification", "Which one?", "Which one?", [], []), 3: ("answer", NOT_FOUND, None, [], [])}
+    with pytest.raises(Exception, match="no answer by the schema"):
+        providers.hosted_answers(prompts.withColumn("prompt", F.lit("odd")), shown, _answerer).collect()
 
 
 def test_sources(spark, tmp_path):
@@ -103,14 +173,29 @@ def test_streaming_ingestion_is_repeatable(spark, tmp_path):
     assert {r.text for r in spark.read.parquet(table).collect()} == {"A\nthree", "two"}
 
 
+def test_streamed_pages_join_their_documents(spark, tmp_path):
+    source, table, check = (str(tmp_path / x) for x in ("in", "table", "check"))
+    for page, text in ((1, "# A\nfirst page"), (2, "second page"), (1, "# B\nfirst again")):
+        spark.createDataFrame([("d", page, text)], ingest.PAGES).write.mode("append").parquet(source)
+        ingest.ingest_stream(ingest.stream_pages(spark, source), table, check).awaitTermination()
+    got = spark.read.parquet(table).collect()
+    assert [(r.page_from, r.text) for r in sorted(got, key=lambda r: r.ord)] == [(1, "B\nfirst again"), (2, "B\nsecond page")]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["check", "in", "table", "table-pages"]
+
+
+NAMES = {"database": ("DB_URL",), "storage": ("BLOB_TOKEN",), "hosted": ("HOSTED", "HOSTED_ENV"), "ai": ("AI_KEY",), "parser": ("PARSER_KEY",)}
+
+
 def test_settings():
-    local = Settings.load({})
+    local = Settings.load({}, NAMES)
     assert local.readiness().deployment == "local" and local.readiness().uploads_enabled and local.inline_ingestion and local.chunk_target_tokens == 800
-    bare = Settings.load({"VERCEL": "1"})
-    assert bare.readiness().status == "setup-required" and bare.readiness().missing == ("DATABASE_URL", "BLOB_READ_WRITE_TOKEN") and bare.inline_ingestion
-    with pytest.raises(RuntimeError, match="DATABASE_URL, BLOB_READ_WRITE_TOKEN"):
+    bare = Settings.load({"HOSTED": "1"}, NAMES)
+    assert bare.readiness().status == "setup-required" and bare.readiness().missing == ("DB_URL", "BLOB_TOKEN") and bare.inline_ingestion
+    with pytest.raises(RuntimeError, match="DB_URL, BLOB_TOKEN"):
         bare.require_uploads()
-    full = Settings.load({"VERCEL": "1", "DATABASE_URL": "x", "BLOB_READ_WRITE_TOKEN": "y", "MAX_UPLOAD_MB": "9"})
+    full = Settings.load({"HOSTED_ENV": "1", "DB_URL": "x", "BLOB_TOKEN": "y", "MAX_UPLOAD_MB": "9"}, NAMES)
     assert full.readiness().status == "ready" and not full.inline_ingestion and full.max_upload_mb == 9 and full.capabilities()["ai"] == "local-heuristic"
-    with pytest.raises(ValueError):
-        Settings.load({"VECTOR_DIMENSIONS": "many"})
+    assert Settings.load({"HOSTED": "1"}).readiness().deployment == "local" and Settings.load({"AI_KEY": "k"}, NAMES).capabilities()["ai"] == "hosted-model"
+    for env, names in (({"VECTOR_DIMENSIONS": "many"}, NAMES), ({}, {"colour": ("X",)})):
+        with pytest.raises(ValueError):
+            Settings.load(env, names)

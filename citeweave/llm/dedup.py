@@ -318,8 +318,10 @@ def _bridges(met: DataFrame, first: DataFrame, classes: DataFrame, documents: Da
     rows = texts.join(near.hint("merge"), "node").join(signs.hint("merge"), "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = texts.select("node", F.octet_length("text").alias("bytes")).join(near.hint("merge"), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sizes = sizes.select("bucket", _blocks(F.col("n"), TEXT_BLOCK, F.greatest(F.ceil(F.col("n") / MOST_MEMBERS), F.ceil(F.col("bytes") / MOST_BYTES))).alias("blocks"))
+    # written, because adaptive execution splits a hot side only of a join that reads both its sides from shuffles
+    sizes = materialize(sizes, "sizes")
     out = materialize(_compared(rows, sizes, True), "bridges")
-    for used in (mixed, forest, joined, texts):
+    for used in (mixed, forest, joined, texts, sizes):
         discard(used)
     return out
 

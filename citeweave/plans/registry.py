@@ -95,48 +95,35 @@ scored AS (
 """
 
 
-_SCORED, _SCORED_WHOLE = _scored(views.QUESTIONS_SQL), _scored(views.WHOLE_QUESTIONS_SQL)
+_SCORED = _scored(views.WHOLE_QUESTIONS_SQL)
 
 
-def _local_scores_sql(scored: str) -> str:
-    return f"WITH {scored} SELECT qid, id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM scored WHERE score > 0.2"
-
-
-def _local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    rows = search.local_scores(questions, chunks).filter(F.col("score") > search.LEAST_SCORE)
-    return rows.select("qid", "id", *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")))
-
-
-@query(_local_scores_sql(_SCORED))
+@query(f"WITH {_SCORED} SELECT qid, id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM scored WHERE score > 0.2")
 def local_search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _local_scores(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
-
-
-@query(_local_scores_sql(_SCORED_WHOLE))
-def local_search_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first stage for whole texts as questions."""
-    return _local_scores(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
+    """The first stage: every chunk of a question's workspace above the least score."""
+    rows = search.local_scores(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir)).filter(F.col("score") > search.LEAST_SCORE)
+    return rows.select("qid", "id", *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")))
 
 
 _TOP_VECTOR = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(vector_score, 9) DESC, id) AS place FROM met WHERE id IN (SELECT id FROM ce)) WHERE place <= 24"
 _TOP_KEYWORD = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(keyword_score, 9) DESC, id) AS place FROM met WHERE keyword_score > 0) WHERE place <= 24"
 
 
-def _hybrid_merge_sql(scored: str) -> str:
-    return f"""
-WITH {scored},
+@query(f"""
+WITH {_SCORED},
 both_branches AS (
   SELECT qid, id, round(vector_score, 9) AS v, 0 AS k FROM ({_TOP_VECTOR})
   UNION ALL SELECT qid, id, 0, round(keyword_score, 9) FROM ({_TOP_KEYWORD})),
 merged AS (SELECT qid, id, max(v) AS v, max(k) AS k, round(max(v) * 0.72::DOUBLE + max(k) * 0.28::DOUBLE, 6) AS score FROM both_branches GROUP BY qid, id)
 SELECT qid, id, round(v, 6) AS vector_score, round(k, 6) AS keyword_score, score, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM merged) WHERE rank <= 32
-"""
-
+""")
+def hybrid_search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both branches' best chunks, merged; the keyword branch scores by matching terms here.
 
-def _hybrid_merge(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``search.hybrid_merge`` over both branches; scores are rounded where ranks are taken, so that both engines see the same ties."""
-    met = search.local_scores(questions, chunks)
+    Scores are rounded where ranks are taken, so that both engines see the same ties.
+    """
+    met = search.local_scores(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
     met = met.withColumn("vector_score", F.round("vector_score", 9)).withColumn("keyword_score", F.round("keyword_score", 9))
     by_vector = search.top(met.filter(F.size("embedding") > 0), "vector_score", vocab.CANDIDATES)
     by_keyword = search.top(met.filter("keyword_score > 0"), "keyword_score", vocab.CANDIDATES)
@@ -144,18 +131,6 @@ def _hybrid_merge(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return merged.select("qid", "id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "score", "rank")
 
 
-@query(_hybrid_merge_sql(_SCORED))
-def hybrid_search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both branches' best chunks, merged; the keyword branch scores by matching terms here."""
-    return _hybrid_merge(views.workspace_questions(spark, sf_dir), _indexed(spark, sf_dir))
-
-
-@query(_hybrid_merge_sql(_SCORED_WHOLE))
-def hybrid_search_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for whole texts as questions."""
-    return _hybrid_merge(views.whole_questions(spark, sf_dir), _indexed(spark, sf_dir))
-
-
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hosted search with the full-text rank of the keyword branch; no SQL engine here shares that rank."""
@@ -173,7 +148,7 @@ body_of AS (
   SELECT *, {S.normal('text')} AS flat FROM scored WHERE score > 0.2),
 base AS (
   SELECT *, CASE WHEN starts_with(flat, lower(section)) THEN trim(flat[length(section) + 1:], ' ') ELSE flat END AS body,
-    row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord, id) AS first_rank FROM body_of),
+    row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord, id) AS first_rank FROM body_of),
 weighed AS (
   SELECT *, round(vector_score * 0.68::DOUBLE + keyword_score * 0.32::DOUBLE
     + coalesce(len(list_intersect(q_terms, terms)) / nullif(len(q_terms), 0)::DOUBLE, 0)
@@ -196,30 +171,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base_score DES
 """
 
 
-_BASE_SCORES = "SELECT qid, id, round(base_score, 6) AS base_score, CAST(base_rank AS INTEGER) AS base_rank FROM ranked"
-
-
-#: First-stage scores that differ by the order of additions alone are ties, so that the place of every candidate is the same in both engines.
-_BASE_WHOLE = _BASE.replace("ORDER BY score DESC, ord, id", "ORDER BY round(score, 9) DESC, ord, id")
-
-
-def _base_scores(candidates: DataFrame) -> DataFrame:
-    rows = rerank.base_score(candidates).withColumn("score", F.round("score", 9))
-    return rerank.with_anchor(rows).select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
-
-
-@query(f"WITH {_SCORED}, {_BASE} {_BASE_SCORES} WHERE base_rank <= 32")
+@query(f"WITH {_SCORED}, {_BASE} SELECT qid, id, round(base_score, 6) AS base_score, CAST(base_rank AS INTEGER) AS base_rank FROM ranked")
 def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of the candidates only; ``rerank_base_whole`` has them all."""
-    found = search.local_candidates(views.workspace_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir)))
-    return _base_scores(found).filter(F.col("base_rank") <= vocab.MERGED)
-
+    """Base scores of all candidates, as the local path reranks them.
 
-@query(f"WITH {_SCORED_WHOLE}, {_BASE_WHOLE} {_BASE_SCORES}")
-def rerank_base_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base scores of all candidates, as the local path reranks them, for whole texts as questions."""
+    First-stage scores that differ by the order of additions alone are ties, so that the
+    place of every candidate is the same in both engines.
+    """
     found = search.local_scores(views.whole_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir))).filter(F.col("score") > search.LEAST_SCORE)
-    return _base_scores(search.ranked(found.withColumn("score", F.round("score", 9))))
+    rows = rerank.base_score(search.ranked(found.withColumn("score", F.round("score", 9)))).withColumn("score", F.round("score", 9))
+    return rerank.with_anchor(rows).select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
 
 
 @query()

@@ -37,18 +37,6 @@ def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(F.broadcast(placed), F.expr("pmod(qid, n) = place")).select("qid", "document_id", "question")
 
 
-def workspace_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of every benchmark text, asked of the workspace whose number its id gives.
-
-    Only for the queries whose SQL asks these (``QUESTIONS_SQL``); ``whole_questions`` asks the whole texts.
-    """
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"),
-        F.concat(F.lit("src"), F.col("item_id") % 20).alias("document_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"),
-    )
-
-
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as markdown, one page a document: h1 as headings, li as list lines, p as paragraphs, blank lines after p."""
     html = F.col("html")
@@ -81,11 +69,6 @@ FROM (SELECT source, doc_id, lang, unnest(string_split(text, chr(10))) AS text,
 WHERE trim(text, ' ') <> ''
 """
 
-QUESTIONS_SQL = """
-SELECT item_id AS qid, 'src' || (item_id % 20) AS document_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question
-FROM benchmark
-"""
-
 WHOLE_QUESTIONS_SQL = """
 SELECT item_id AS qid, document_id, text AS question
 FROM benchmark JOIN (

@@ -39,6 +39,6 @@ def test_prompts_and_answers_cover_every_question(spark, tables):
 
 
 def test_base_scores_cover_every_candidate(spark):
-    found = {(r.qid, r.id) for r in registry.QUERIES["local_search_scores_whole"](spark, SF).collect()}
-    scored = [(r.qid, r.id) for r in registry.QUERIES["rerank_base_whole"](spark, SF).collect()]
+    found = {(r.qid, r.id) for r in registry.QUERIES["local_search_scores"](spark, SF).collect()}
+    scored = [(r.qid, r.id) for r in registry.QUERIES["rerank_base"](spark, SF).collect()]
     assert len(scored) == len(set(scored)) > 32 * 40 and set(scored) == found

@@ -14,13 +14,14 @@ from hashlib import sha1
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import vocab
 
 #: Distinct words that a worker remembers.
 REMEMBERED = 200_000
 _WORD = re.compile("[a-z0-9]{3,}")
+_OPERAND = re.compile(r'(-?)"([^"]*)"|(-?)([^\s"]+)')
 _STEMS = {form: forms[0] for forms in vocab.STEMS for form in forms}
 
 
@@ -80,6 +81,28 @@ def slots(text: str, dimensions: int) -> dict[int, int]:
     return dict(sorted(out.items()))
 
 
+def web_query(question: str) -> dict:
+    """A question in web search syntax: words side by side must all occur, "or" parts alternatives, quotes make a phrase, a leading minus excludes.
+
+    ``any`` are the alternatives, each a list of items that must all hold: the terms of
+    a word or phrase, in this order, and whether they must be absent. ``asked`` are the
+    distinct terms that may occur, ``required`` those that every alternative needs.
+    Operands without terms say nothing; an alternative or question of none matches nothing.
+    """
+    alternatives: list[list[dict]] = [[]]
+    for minus, phrase, dash, word in _OPERAND.findall(question):
+        if word.lower() == "or" and not dash:
+            alternatives.append([])
+            continue
+        found, absent = terms(phrase or word), bool(minus or dash)
+        whole = [found] if phrase or absent else [[t] for t in found]
+        alternatives[-1] += [{"terms": t, "absent": absent} for t in whole if t]
+    alternatives = [a for a in alternatives if a]
+    present = [dict.fromkeys(t for item in a if not item["absent"] for t in item["terms"]) for a in alternatives]
+    asked = dict.fromkeys(t for p in present for t in p)
+    return {"any": alternatives, "asked": list(asked), "required": [t for t in asked if all(t in p for p in present)]}
+
+
 def _lists(sizes: list[int | None], flat: pa.Array) -> pa.Array:
     """One list of each size from the flat values; a null for None."""
     ends = np.cumsum([0, *(n or 0 for n in sizes)], dtype=np.int32)
@@ -109,3 +132,16 @@ def text_slots(texts: pa.Array, dimensions: pa.Array) -> pa.Array:
         keys += found
         values += found.values()
     return _lists(sizes, pa.StructArray.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.float64())], ["key", "value"]))
+
+
+_ITEM = StructType([StructField("terms", ArrayType(StringType(), False), False), StructField("absent", BooleanType(), False)])
+_QUERY = StructType([StructField("any", ArrayType(ArrayType(_ITEM, False), False), False), StructField("asked", ArrayType(StringType(), False), False), StructField("required", ArrayType(StringType(), False), False)])
+_ARROW_TERMS = pa.list_(pa.field("element", pa.string(), False))
+_ARROW_ITEM = pa.struct([pa.field("terms", _ARROW_TERMS, False), pa.field("absent", pa.bool_(), False)])
+_ARROW_ITEMS = pa.list_(pa.field("element", _ARROW_ITEM, False))
+_ARROW_QUERY = pa.struct([pa.field("any", pa.list_(pa.field("element", _ARROW_ITEMS, False)), False), pa.field("asked", _ARROW_TERMS, False), pa.field("required", _ARROW_TERMS, False)])
+
+
+@F.arrow_udf(_QUERY)
+def web_queries(questions: pa.Array) -> pa.Array:
+    return pa.array([None if q.as_py() is None else web_query(q.as_py()) for q in questions], _ARROW_QUERY)

@@ -165,12 +165,18 @@ def chunk_markdown(pages: DataFrame, target: int = vocab.CHUNK_TARGET_TOKENS) ->
 
 
 def body_fonts(lines: DataFrame, default: float = 14.0) -> DataFrame:
-    """document_id and body_font: the upper median font size of prose lines."""
+    """document_id and body_font: the upper median font size of prose lines, the default where there are none.
+
+    Lines are counted by size before they meet, so a document brings its distinct sizes
+    to one task, not its lines. Lines that are no prose count 0.
+    """
     text = T.trim(F.col("text"))
     prose = (F.length(text) >= 20) & (T.letters(text) >= 8) & (T.upper_share(text) < 0.65) & (F.col("font_size") > 0)
-    sizes = F.sort_array(F.collect_list(F.when(prose, F.col("font_size"))))
-    upper = F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))
-    return lines.groupBy(*DOC).agg(F.coalesce(upper, F.lit(default)).alias("body_font"))
+    sizes = lines.groupBy(*DOC, F.when(prose, F.col("font_size")).alias("__size")).agg(F.count(F.when(prose, 1)).alias("__n"))
+    doc = Window.partitionBy(*DOC)
+    up_to = F.sum("__n").over(doc.orderBy(F.asc_nulls_first("__size")))
+    sizes = sizes.withColumn("__upper", up_to > F.floor(F.sum("__n").over(doc) / 2))
+    return sizes.groupBy(*DOC).agg(F.coalesce(F.min(F.when(F.col("__upper"), F.col("__size"))), F.lit(default)).alias("body_font"))
 
 
 def layout_lines(lines: DataFrame) -> DataFrame:

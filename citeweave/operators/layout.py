@@ -46,10 +46,25 @@ def items_to_pieces(items: DataFrame) -> DataFrame:
 _LINE = "document_id string, page int, line_no int, text string, x double, y double, font_size double"
 
 
+#: Fixed value: pieces this near in height stand side by side.
+LEVEL = 1.25
+
+
+def _reading_order(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Pieces in bands from top to bottom, each from left to right; a band is what lies at most LEVEL below its highest piece."""
+    down = pieces.sort_values("y", ascending=False, kind="stable")
+    bands, top = [], None
+    for y in down["y"]:
+        if top is None or top - y > LEVEL:
+            top = y
+        bands.append(top)
+    return down.assign(band=bands).sort_values(["band", "x", "item_no"], ascending=[False, True, True]).drop(columns="band")
+
+
 def _group_page(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Pieces of one page from top to bottom; one joins the line above it if it is near the line's running height."""
+    """Pieces of one page in reading order; one joins the line before it if it is near the line's running height."""
     rows: list[dict] = []
-    for p in pieces.sort_values(["y", "x", "item_no"], ascending=[False, True, True]).itertuples():
+    for p in _reading_order(pieces).itertuples():
         line = rows[-1] if rows else None
         if line is not None and abs(line["y"] - p.y) <= max(1.8, 0.18 * p.font_size):
             line["parts"].append((p.x, p.item_no, p.text))

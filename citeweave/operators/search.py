@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import vocab
@@ -109,21 +110,35 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord", "id")))
 
 
-def keyword_rank(fts: Column, terms: Column) -> Column:
-    """A cover-density rank: all terms must occur; nearer together and oftener ranks higher, damped by length.
+def _holds(doc: Column, item: Column) -> Column:
+    """Whether the terms of an item stand side by side in a text's terms, or do not where they must be absent."""
+    n = F.size(item["terms"])
+    # no start is past the end; a text of fewer terms has none
+    starts = F.when(F.size(doc) >= n, F.sequence(F.lit(1), F.size(doc) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    found = F.when(n == 1, F.array_contains(doc, item["terms"][0])).otherwise(F.exists(starts, lambda i: F.slice(doc, i, n) == item["terms"]))
+    return found != item["absent"]
+
+
+def full_text_match(doc: Column, query: Column) -> Column:
+    """Whether a text's terms in order satisfy a ``kernels.web_queries`` query. Phrases are of terms: words that are none are passed over on both sides."""
+    return F.exists(query["any"], lambda items: F.forall(items, lambda item: _holds(doc, item)))
 
-    It stands in for the database's own ranking function, whose exact values are not public semantics here.
-    """
 
+def keyword_rank(fts: Column, query: Column) -> Column:
+    """A cover-density rank of texts that match, else null: terms asked nearer together and oftener rank higher, damped by length.
+
+    It stands in for the database's own ranking function, whose exact values are not
+    public semantics here. A match by absent terms alone ranks 0.
+    """
 
     def rank(doc: Column, asked: Column) -> Column:
         first = F.transform(asked, lambda t: F.array_position(doc, t))
         width = V.let(first, lambda p: (F.array_max(p) - F.array_min(p) + 1).cast("double"))
         often = F.aggregate(asked, F.lit(0), lambda a, t: a + (F.size(doc) - F.size(F.array_remove(doc, t))))
         value = F.try_divide(F.size(asked) * often.cast("double"), width * (1 + F.log(F.greatest(F.size(doc), F.lit(1)).cast("double"))))
-        return F.when((F.size(asked) > 0) & F.forall(asked, lambda t: F.array_contains(doc, t)), F.coalesce(value, F.lit(0.0)))
+        return F.coalesce(value, F.lit(0.0))
 
-    return V.let(fts, lambda doc: rank(doc, terms))
+    return V.let(fts, lambda doc: F.when(full_text_match(doc, query), V.let(F.array_intersect(query["asked"], doc), lambda asked: rank(doc, asked))))
 
 
 def hybrid_merge(vector_hits: DataFrame, keyword_hits: DataFrame, carried: list[str], limit: int = vocab.MERGED, digits: int | None = None) -> DataFrame:
@@ -145,11 +160,12 @@ def top(rows: DataFrame, by: str, limit: int) -> DataFrame:
 
 
 def hybrid_candidates(questions: DataFrame, chunks: DataFrame, candidates: int = vocab.CANDIDATES, limit: int = vocab.MERGED) -> DataFrame:
-    """The hosted search: the best chunks by vector and by full text, merged."""
-    met = _asked(questions).join(chunks, "document_id")
-    carried = [c for c in met.columns if c not in ("qid", "id", "embedding", "q_embedding", "square", "q_square", "fts")]
+    """The hosted search: the best chunks by vector and by full text (web search syntax), merged."""
+    met = _asked(questions.withColumn("__query", kernels.web_queries(F.col("question")))).join(chunks, "document_id")
+    carried = [c for c in met.columns if c not in ("qid", "id", "embedding", "q_embedding", "square", "q_square", "fts", "__query")]
     similar = met.filter(F.size("embedding") > 0).withColumn("vector_score", _similarity())
-    # a chunk that lacks a term has no rank, and only chunks that have all are looked at term by term
-    whole = met.filter(F.size(F.array_intersect("q_terms", "terms")) == F.size("q_terms"))
-    matched = whole.withColumn("keyword_score", keyword_rank(F.col("fts"), F.col("q_terms"))).filter(F.col("keyword_score").isNotNull())
+    # a chunk that lacks a term which every alternative needs cannot match, and only others are looked at term by term
+    required = F.col("__query")["required"]
+    likely = met.filter(F.size(F.array_intersect(required, "terms")) == F.size(required))
+    matched = likely.withColumn("keyword_score", keyword_rank(F.col("fts"), F.col("__query"))).filter(F.col("keyword_score").isNotNull())
     return hybrid_merge(top(similar, "vector_score", candidates), top(matched, "keyword_score", candidates), carried, limit)

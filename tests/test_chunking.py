@@ -1,5 +1,6 @@
 """Markdown and layout chunking, and page cleanup."""
 
+import random
 import re
 
 import pytest
@@ -127,6 +128,26 @@ def test_lines_from_items(spark):
     assert got == [("Hello world,", 10.0), ("next line", 10.0), ("-it's", 10.0)]
 
 
+def test_uneven_heights_of_one_line(spark):
+    """Pieces within 1.25 in height are read from left to right, whichever stands higher; farther ones are not."""
+    items = [("d", 1, i, s, [12.0, 0.0, 0.0, 12.0, x, y]) for i, (s, x, y) in enumerate([("two", 40.0, 701.2), ("one", 10.0, 700.0), ("three", 70.0, 700.6), ("last", 10.0, 690.0), ("first", 10.0, 702.6)])]
+    frame = spark.createDataFrame(items, "document_id string, page int, item_no int, str string, transform array<double>")
+    order = layout._reading_order(layout.items_to_pieces(frame).toPandas())
+    assert list(order["text"]) == ["first", "one", "two", "three", "last"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_body_font_is_the_upper_median(spark, seed):
+    draw, rows, want = random.Random(seed), [], {}
+    for d in range(12):
+        sizes = [draw.choice([9.0, 10.0, 10.5, 11.0, 14.0]) for _ in range(draw.randrange(0, 9))]
+        rows += [(f"d{d}", 1, n, "a line of prose that is long enough", 1.0, 1.0, s) for n, s in enumerate(sizes)]
+        rows.append((f"d{d}", 2, 0, "short", 1.0, 1.0, 50.0))
+        want[f"d{d}"] = sorted(sizes)[len(sizes) // 2] if sizes else 14.0
+    got = {r.document_id: r.body_font for r in chunking.body_fonts(spark.createDataFrame(rows, LINES)).collect()}
+    assert got == want
+
+
 def test_repairs(spark):
     broken = ["â€œquotedâ€\u009d", "aâ€“b", "Â x\u0000 ", " item", "â\u0080\u0099s", "â€¦"]
     got = [r[0] for r in spark.createDataFrame([(b,) for b in broken], "s string").select(layout.repair_text(F.col("s"))).collect()]

@@ -147,6 +147,34 @@ def test_search_end_to_end(spark):
     assert hybrid["b"][1] > 0 and hybrid["d2"][1] > 0 and hybrid["a"] == (0, 0)
 
 
+def test_web_search_syntax(spark):
+    """Phrases, alternatives and exclusions against a plain reading of the same query."""
+    rows = [("a", 1, [], "paragraph", "lime plaster sets slowly"), ("b", 1, [], "paragraph", "plaster of lime, then sand"), ("c", 1, [], "paragraph", "river sand only"), ("d", 1, [], "paragraph", ""), ("e", 1, [], "paragraph", "lime")]
+    index = search.index_chunks(chunks(spark, rows))
+    want = {
+        "lime plaster": {"a", "b"},
+        '"lime plaster"': {"a"},
+        "lime or river": {"a", "b", "c", "e"},
+        "lime plaster OR river": {"a", "b", "c"},
+        "lime -sand": {"a", "e"},
+        'plaster -"lime plaster"': {"b"},
+        "-lime": {"c", "d"},
+        "": set(),
+        "the or of": set(),
+        'lime "': {"a", "b", "e"},
+        "or lime or": {"a", "b", "e"},
+    }
+    asked = ask(spark, *want)
+    met = asked.withColumn("query", search.kernels.web_queries(F.col("question"))).join(index, "document_id")
+    got = {q: set() for q in want}
+    for r in met.withColumn("rank", search.keyword_rank(F.col("fts"), F.col("query"))).filter("rank IS NOT NULL").collect():
+        got[r.question].add(r.id)
+        assert (r.rank == 0) == (r.question == "-lime")
+    assert got == want
+    merged = search.hybrid_candidates(ask(spark, '"lime plaster"'), index).filter("keyword_score > 0").collect()
+    assert [r.id for r in merged] == ["a"]
+
+
 def test_search_does_not_evaluate_terms_per_slot(spark):
     """A long text is indexed in reasonable time: the terms are computed once, not once for each slot."""
     long = " ".join(f"word{i}" for i in range(4000))

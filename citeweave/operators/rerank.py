@@ -193,10 +193,15 @@ def rerank(rows: DataFrame) -> DataFrame:
 def diversify(rows: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` chunks of each question with few of one section or page, in the order chosen (``place``).
 
-    Chunks of one section, page and root fare alike, and once one is refused all later
-    ones are, because counts only grow. At most four of them are ever taken, so the walk
-    needs only the first four of each such class; filling up needs only the first
-    2 * limit of all. The walk itself is a fold over these few.
+    A chunk is refused because its section or its page has had its share. Chunks that
+    share section, page and root fare alike there, and once one is refused all later ones
+    are, because counts only grow; so at most four of them are taken. Of chunks alike in
+    section, root and nearness to the first, only their pages tell them apart; at most
+    limit / 2 pages have two chunks, so a chunk is refused before the bound ``alike``
+    below or not at all, and the same holds of one page's chunks with sections and pages
+    exchanged, and then of all. Filling up needs the first 2 * limit. Counts beyond these
+    bounds change nothing, so rows beyond them go before the rest is gathered: the walk is
+    a fold over a number of rows that depends on ``limit`` alone, and rows are read once.
     """
     first = F.min(_place(F.col("rank"))).over(_question())
     key = T.section_key(F.col("section_path"))
@@ -206,8 +211,17 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
     # a chunk without a section has no root, and no root is not the default one
     rooted = F.coalesce(_root(F.col("section_path")) == F.coalesce("__first.root", F.lit("Document")), F.lit(False))
     rows = rows.withColumns({"__same": key == F.col("__first.section"), "__near": gap <= 1, "__rooted": rooted})
-    alike = Window.partitionBy("qid", "__section", "__page", "__rooted").orderBy("rank")
-    walk = rows.withColumn("__nth", F.row_number().over(alike)).filter((F.col("__nth") <= 4) | (F.col("rank") <= 2 * limit))
+    best = F.col("rank") <= 2 * limit
+    # at each step up to 2 * limit rows are there only because they are among the first
+    alike = (
+        (("__section", "__page", "__rooted"), 4),
+        (("__section", "__rooted", "__near"), 4 + 4 * limit),
+        (("__page", "__same"), 7 * limit),
+        ((), 9 * limit + 15 * limit * limit),
+    )
+    for keys, most in alike:
+        nth = F.row_number().over(Window.partitionBy("qid", *keys).orderBy("rank"))
+        rows = rows.withColumn("__nth", nth).filter(best | (F.col("__nth") <= most))
     items = F.sort_array(F.collect_list(F.struct("rank", "__section", "__page", "__same", "__near", "__rooted")))
     start = F.struct(F.expr("cast(array() as array<int>)").alias("taken"), F.expr("cast(array() as array<string>)").alias("sections"), F.expr("cast(array() as array<string>)").alias("pages"))
 
@@ -220,11 +234,12 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
         more = lambda a, v: F.when(takes, F.array_append(a, v)).otherwise(a)
         return F.struct(more(acc["taken"], x["rank"]).alias("taken"), more(acc["sections"], x["__section"]).alias("sections"), more(acc["pages"], x["__page"]).alias("pages"))
 
-    chosen = walk.groupBy("qid").agg(F.aggregate(items, start, step, lambda acc: acc["taken"]).alias("__taken"), F.max("rank").alias("__n"))
+    kept = [c for c in rows.columns if c != "qid" and not c.startswith("__")]
+    chosen = rows.groupBy("qid").agg(F.aggregate(items, start, step, lambda acc: acc["taken"]).alias("__taken"), F.max("rank").alias("__n"), F.collect_list(F.struct(*kept)).alias("__rows"))
     filled = F.array_except(F.sequence(F.lit(1), F.least(F.col("__n"), F.lit(2 * limit))), F.col("__taken"))
-    chosen = chosen.select("qid", F.slice(F.concat("__taken", filled), 1, limit).alias("__order"))
-    placed = rows.join(chosen, "qid").withColumn("place", F.array_position("__order", F.col("rank")).cast("int")).filter("place > 0")
-    return placed.drop("__first", "__section", "__page", "__same", "__near", "__rooted", "__order")
+    chosen = chosen.select("qid", F.slice(F.concat("__taken", filled), 1, limit).alias("__order"), "__rows")
+    found = chosen.select("qid", "__order", F.explode(F.filter("__rows", lambda r: F.array_contains("__order", r["rank"]))).alias("__row"))
+    return found.select("qid", "__row.*", F.array_position("__order", F.col("__row.rank")).cast("int").alias("place"))
 
 
 def label(rows: DataFrame) -> DataFrame:

@@ -32,9 +32,10 @@ def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole benchmark text, asked of one of the workspaces present: the one at place id modulo their number, by name."""
     named = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("document_id")).distinct()
     placed = named.withColumn("place", F.row_number().over(Window.orderBy("document_id")) - 1)
-    placed = placed.crossJoin(named.agg(F.count("*").alias("n")))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return asked.join(F.broadcast(placed), F.expr("pmod(qid, n) = place")).select("qid", "document_id", "question")
+    # the number of workspaces is one row, so that places are met by equality
+    asked = asked.crossJoin(F.broadcast(named.agg(F.count("*").alias("n")))).withColumn("place", F.expr("pmod(qid, nullif(n, 0))"))
+    return asked.join(placed, "place").select("qid", "document_id", "question")
 
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

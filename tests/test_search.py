@@ -131,6 +131,28 @@ def test_diversification_is_the_walk(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_diversification_of_many_alike(spark, seed):
+    """Hundreds of chunks of few sections or few pages: rows beyond the bounds decide nothing."""
+    draw, want, all_rows = random.Random(100 + seed), {}, []
+    shapes = [(1, 400), (400, 1), (3, 300), (300, 3), (40, 40), (2, 2)]
+    for qid in range(24):
+        n_sections, n_pages = shapes[qid % len(shapes)]
+        heavy = qid % 2
+        rows = []
+        for i in range(600):
+            page = 1 if heavy and draw.random() < 0.7 else draw.randrange(1, n_pages + 1)
+            path = [draw.choice("AB"), f"s{0 if heavy and draw.random() < 0.7 else draw.randrange(n_sections)}"]
+            rows.append((f"c{i}", page, path))
+        want[qid] = walk(rows, 4)
+        all_rows += [(qid, i, p, p, s, n) for n, (i, p, s) in enumerate(rows, 1)]
+    frame = spark.createDataFrame(all_rows, "qid long, id string, page_from int, page_to int, section_path array<string>, rank int")
+    got = {}
+    for r in rerank.diversify(frame, 4).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == want
+
+
 def test_search_end_to_end(spark):
     index = search.index_chunks(
         chunks(spark, [("a", 1, ["CURING REGIME"], "paragraph", "CURING REGIME\nKeep it wet for 72 hours."), ("b", 2, [None, "COST"], "table", "COST\n50 kg lime @ 900"), ("c", 3, [], "paragraph", "Nothing that matters"), ("d2", 3, ["FAQ"], "faq", "FAQ\nQuestion: What is lime?\nAnswer: A mineral.")])

@@ -58,6 +58,8 @@ _IN_BOTH = {
     "curing_chunk": T.words("cur(?:e|ing|ed)|72 hours|daily watering|dry out|watering"),
     "tooling_chunk": T.words("tools?|compaction|rammers?|vibrators?|bamboo|mechanical|manual"),
 }
+#: The kind of question that asks for each of them; those of the haystack are named by theirs.
+_FOR = {"yesno": "yesno", "faq_tools": "tooling", "ingredients": "composition", "cures": "curing", "tools": "tooling", "regime": "curing", "tool_section": "tooling", "curing_chunk": "curing", "tooling_chunk": "tooling"}
 _FAQ_QUESTION = rf"(?is)Question:{T.SPACE}*(.+?)\nAnswer:"
 _FAQ_IN_BODY = rf"(?i)question:{T.SPACE}*(.+?){T.SPACE}+answer:{T.SPACE}*([\s\S]+)"
 
@@ -65,23 +67,26 @@ _FAQ_IN_BODY = rf"(?i)question:{T.SPACE}*(.+?){T.SPACE}+answer:{T.SPACE}*([\s\S]
 def with_features(chunks: DataFrame) -> DataFrame:
     """Adds all that reranking asks of a chunk alone, as ``f_`` columns: computed once a chunk, not once a question."""
     path, text, kind = F.col("section_path"), F.col("text"), F.col("chunk_type")
-    rows = chunks.withColumns({"f_hay": T.haystack(path, text), "f_body": T.clean_body(path, text), "f_section": T.joined_path(path, " "), "f_title": T.normalize_query(T.deepest(path))})
+    on = lambda kinds, value, otherwise=False: search.if_wanted(chunks, kinds, value, otherwise)
+    hay = F.col("haystack") if "haystack" in chunks.columns else T.haystack(path, text)
+    body = on(("yesno", "composition", "tooling", "curing"), T.clean_body(path, text), "")
+    rows = chunks.withColumns({"f_hay": hay, "f_body": body, "f_section": T.joined_path(path, " "), "f_title": T.normalize_query(T.deepest(path))})
     rows = rows.withColumns(
         {
             "f_asked": F.when(kind == "faq", T.normalize_query(F.regexp_extract(text, _FAQ_QUESTION, 1))).otherwise(""),
-            "f_told": F.when(kind == "faq", T.normalize_query(F.regexp_extract("f_body", _FAQ_IN_BODY, 1))).otherwise(""),
-            "f_digit": text.rlike(r"\d"),
-            "f_formula": _formula_bonus(path, F.col("f_body")),
-            "f_few_numbers": F.when(kind == "faq", T.count_matches(F.col("f_body"), T.NUMBER) < 2).otherwise(False),
-            **{f"f_{k}": F.col("f_hay").rlike(p) for k, p in _IN_HAYSTACK.items()},
-            **{f"f_{k}": F.col("f_body").rlike(p) for k, p in _IN_BODY.items()},
-            **{f"f_{k}": F.col("f_section").rlike(p) for k, p in _IN_SECTION.items()},
-            **{f"f_{k}": F.concat_ws(" ", "f_section", "f_body").rlike(p) for k, p in _IN_BOTH.items()},
+            "f_told": on(("composition",), F.when(kind == "faq", T.normalize_query(F.regexp_extract("f_body", _FAQ_IN_BODY, 1))).otherwise(""), ""),
+            "f_digit": on(("value",), text.rlike(r"\d")),
+            "f_formula": on(("composition",), _formula_bonus(path, F.col("f_body")), 0.0),
+            "f_few_numbers": on(("composition",), F.when(kind == "faq", T.count_matches(F.col("f_body"), T.NUMBER) < 2).otherwise(False)),
+            **{f"f_{k}": on((k,), F.col("f_hay").rlike(p)) for k, p in _IN_HAYSTACK.items()},
+            **{f"f_{k}": on((_FOR[k],), F.col("f_body").rlike(p)) for k, p in _IN_BODY.items()},
+            **{f"f_{k}": on((_FOR[k],), F.col("f_section").rlike(p)) for k, p in _IN_SECTION.items()},
+            **{f"f_{k}": on((_FOR[k],), F.concat_ws(" ", "f_section", "f_body").rlike(p)) for k, p in _IN_BOTH.items()},
         }
     )
     terms = lambda c: F.array_distinct(T.search_terms(F.col(c)))
     rows = rows.withColumns({"f_title_terms": terms("f_title"), "f_asked_terms": terms("f_asked"), "f_terms": F.col("terms") if "terms" in chunks.columns else terms("f_hay")})
-    return rows.withColumn("f_off_topic", ~F.col("f_told").rlike(T.words("ratio|mix|water|booster|quantity|how much|proportion"))).drop("f_section")
+    return rows.withColumn("f_off_topic", on(("composition",), ~F.col("f_told").rlike(T.words("ratio|mix|water|booster|quantity|how much|proportion")))).drop("f_section")
 
 
 def _composition_faq_penalty() -> Column:
@@ -135,6 +140,22 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return search.ranked(rows.drop(*bulky))
 
 
+def base_order() -> tuple[Column, ...]:
+    """The order by base score; equal ones stand in the order of the first stage."""
+    return F.desc("base"), F.desc("first"), F.col("ord"), F.col("id")
+
+
+def scored(questions: DataFrame, chunks: DataFrame, few: bool | None = None) -> DataFrame:
+    """First-stage candidates with their scores of both stages, ``first`` and ``base``, and without a rank; ``chunks`` are as parsed.
+
+    Few questions are sent to the chunks, so that no chunk moves and rows leave this join as narrow as they are asked for.
+    """
+    few = search.is_few(questions) if few is None else few
+    index = with_features(search.index_chunks(search.wanted(questions, chunks) if few else chunks))
+    rows = search.local_scores(F.broadcast(questions) if few else questions, index).filter(F.col("score") > search.LEAST_SCORE)
+    return base_score(rows.withColumn("first", F.col("score"))).withColumnRenamed("score", "base")
+
+
 def page_distance(from_a: Column, to_a: Column, from_b: Column, to_b: Column) -> Column:
     return F.when((from_a <= to_b) & (from_b <= to_a), 0).when(from_a > to_b, from_a - to_b).otherwise(from_b - to_a)
 
@@ -163,29 +184,36 @@ def with_anchor(rows: DataFrame) -> DataFrame:
     return rows.withColumn("anchor", F.coalesce(first(F.col("__curing")), first(F.col("__tooling")), first(F.lit(True)))).drop("__curing", "__tooling", "__place")
 
 
-def rerank(rows: DataFrame) -> DataFrame:
-    """Scored candidates with a ``rank`` in, the same with final score and rank out; score order is stable."""
-    rows = rows.withColumn("score", F.col("f_base")).drop("f_base") if "f_base" in rows.columns else base_score(rows)
-    rows = with_anchor(rows)
-    anchor = F.col("anchor")
+def _continuity(anchor: Column, in_order: Column) -> Column:
     same_section = T.section_key(F.col("section_path")) == anchor["section"]
     same_root = F.equal_null(_root(F.col("section_path")), anchor["root"])
     gap = page_distance(F.col("page_from"), F.col("page_to"), anchor["page_from"], anchor["page_to"])
-    # Bonuses for standing near the anchor and for supporting what is asked.
-    continuity = (
+    # Bonuses for standing near the anchor.
+    return (
         F.when(same_section, 0.55).when(same_root & (gap <= 1), 0.3).otherwise(0.0)
         + F.when(gap == 0, 0.12).when(gap == 1, 0.18).otherwise(0.0)
-        + bonus((F.col("q_procedure") | F.col("q_value")) & same_section & (gap <= 1), 0.3)
+        + bonus(in_order & same_section & (gap <= 1), 0.3)
     )
+
+
+def _support() -> Column:
     faq = F.col("chunk_type") == "faq"
-    support = (
+    # Bonuses for supporting what is asked.
+    return (
         F.when(F.col("q_tooling") & faq & F.col("f_faq_tools"), 0.4)
         .when(F.col("q_composition") & F.col("f_ingredients"), 0.35)
         .when(F.col("q_curing") & F.col("f_cures"), F.when(F.col("f_regime"), 0.5).otherwise(0.35))
         .when(F.col("q_tooling") & ~faq & F.col("f_tools"), 0.35)
         .otherwise(0.0)
     )
-    moved = rows.withColumn("score", F.col("score") + F.when(F.col("id") == anchor["id"], 0.0).otherwise(continuity) + support)
+
+
+def rerank(rows: DataFrame) -> DataFrame:
+    """Scored candidates with a ``rank`` in, the same with final score and rank out; score order is stable."""
+    rows = rows.withColumn("score", F.col("f_base")).drop("f_base") if "f_base" in rows.columns else base_score(rows)
+    rows = with_anchor(rows)
+    anchor = F.col("anchor")
+    moved = rows.withColumn("score", F.col("score") + F.when(F.col("id") == anchor["id"], 0.0).otherwise(_continuity(anchor, F.col("q_procedure") | F.col("q_value"))) + _support())
     placed = moved.withColumn("rank", F.row_number().over(_question().orderBy(F.desc("score"), "base_rank"))).drop("base_rank", "anchor")
     return placed.drop(*(c for c in placed.columns if c.startswith("f_")))
 

@@ -6,6 +6,9 @@ on questions once; the join adds only what needs both.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,12 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import vocab
 
+#: Characters of questions (and 100 more for each) that are sent to every executor; more questions meet chunks by a shuffle.
+HANDED_OUT = 2_000_000
+
+#: What questions may want of a chunk, as the ``q_`` signals name it.
+WANTED = ("procedure", "value", "yesno", "composition", "tooling", "curing")
+
 CURING_QUESTION = T.words("cur(?:e|ed|ing)|watering|72 hours|dry out")
 
 
@@ -46,6 +55,27 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return indexed.drop("__path", "__text")
 
 
+def is_few(questions: DataFrame) -> bool:
+    """Whether all questions fit into every executor, whatever their number: looked up at once."""
+    return (questions.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + 100)).first()[0] or 0) <= HANDED_OUT
+
+
+def wanted(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of the documents that (few) questions ask, with ``d_`` flags: what any question of the document wants of a chunk.
+
+    Patterns that only some kind of question asks for are looked for where one does.
+    """
+    wants = question_signals(questions).groupBy("document_id").agg(*(F.coalesce(F.bool_or(f"q_{k}"), F.lit(False)).alias(f"d_{k}") for k in WANTED))
+    return chunks.join(F.broadcast(wants), "document_id")
+
+
+def if_wanted(rows: DataFrame, kinds: tuple[str, ...], value: Column, otherwise) -> Column:
+    """``value``, or ``otherwise`` where ``wanted`` has said that no question is of one of the kinds."""
+    if "d_value" not in rows.columns:
+        return value
+    return F.when(reduce(or_, (F.col(f"d_{k}") for k in kinds)), value).otherwise(F.lit(otherwise))
+
+
 def _asked(questions: DataFrame) -> DataFrame:
     """Questions with their signals, embedding and its square."""
     rows = question_signals(questions).withColumn("q_embedding", V.sparse_embedding(F.col("question")))
@@ -82,7 +112,8 @@ def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     asked = _asked(questions)
     hay = F.col("haystack")
-    known = chunks.withColumns({f"__{kind}": hay.rlike(pattern) for kind, (pattern, _) in FIRST_STAGE.items()}).withColumn("__digit", F.col("text").rlike(r"\d")).withColumn("__specific", specificity(1.2))
+    known = chunks.withColumns({f"__{kind}": if_wanted(chunks, (kind,), hay.rlike(pattern), False) for kind, (pattern, _) in FIRST_STAGE.items()})
+    known = known.withColumn("__digit", if_wanted(chunks, ("value",), F.col("text").rlike(r"\d"), False)).withColumn("__specific", specificity(1.2))
     met = asked.join(known, "document_id")
     hits, n = F.size(F.array_intersect("q_terms", "terms")), F.size("q_terms")
     keyword = hits + F.coalesce(F.try_divide(hits.cast("double"), n.cast("double")), F.lit(0.0)) * 2 + bonus(F.contains(hay, F.col("q_norm")), 2.0)
@@ -98,7 +129,7 @@ def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         + F.col("__specific")
         - bonus(F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") == "faq"), FAQ_PENALTY)
     )
-    return met.withColumn("score", score).drop(*(f"__{k}" for k in FIRST_STAGE), "__digit", "__specific", "q_embedding", "q_square")
+    return met.withColumn("score", score).drop(*(f"__{k}" for k in FIRST_STAGE), "__digit", "__specific", "q_embedding", "q_square", *(f"d_{k}" for k in WANTED))
 
 
 def local_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -178,9 +178,10 @@ def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     First-stage scores that differ by the order of additions alone are ties, so that the
     place of every candidate is the same in both engines.
     """
-    found = search.local_scores(views.whole_questions(spark, sf_dir), rerank.with_features(_indexed(spark, sf_dir))).filter(F.col("score") > search.LEAST_SCORE)
-    rows = rerank.base_score(search.ranked(found.withColumn("score", F.round("score", 9)))).withColumn("score", F.round("score", 9))
-    return rerank.with_anchor(rows).select("qid", "id", F.round("score", 6).alias("base_score"), "base_rank")
+    rows = rerank.scored(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
+    rows = rows.select("qid", "id", "ord", F.round("first", 9).alias("first"), F.round("base", 9).alias("base"))
+    base_rank = F.row_number().over(Window.partitionBy("qid").orderBy(*rerank.base_order()))
+    return rows.select("qid", "id", F.round("base", 6).alias("base_score"), base_rank.alias("base_rank"))
 
 
 @query()

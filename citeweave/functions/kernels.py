@@ -7,8 +7,11 @@ code. Here a worker remembers each distinct word, and Arrow batches go in and ou
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
+from decimal import ROUND_HALF_UP, Decimal
 from hashlib import sha1
 
 import numpy as np
@@ -81,6 +84,79 @@ def slots(text: str, dimensions: int) -> dict[int, int]:
     return dict(sorted(out.items()))
 
 
+class _Units(dict):
+    """(signed count, sum of squared counts) -> the value in the embedding, rounded as the database rounds."""
+
+    def __missing__(self, key: tuple[int, int]) -> float:
+        value = float(Decimal(repr(key[0] / math.sqrt(key[1]))).quantize(Decimal("1e-8"), ROUND_HALF_UP)) if key[1] else 0.0
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value
+        return value
+
+
+_units = _Units()
+
+
+class Asked:
+    """What the questions of one document ask: the places of those that have a term, or a value in a slot of the embedding."""
+
+    def __init__(self) -> None:
+        self.squares: list[float] = []
+        self.by_term: dict[str, list[int]] = {}
+        self.by_slot: dict[int, list[tuple[int, float]]] = {}
+
+    def add(self, q_terms: Iterable[str], embedding: dict[int, float], square: float) -> None:
+        at = len(self.squares)
+        self.squares.append(square)
+        for t in q_terms:
+            self.by_term.setdefault(t, []).append(at)
+        for slot, value in embedding.items():
+            self.by_slot.setdefault(slot, []).append((at, value))
+
+    def meet(self, path: str, text: str, dimensions: int) -> tuple[list[int], list[float]]:
+        """For every question the number of its terms in path and text, and the cosine of both embeddings, not below 0.
+
+        Sums are taken in the order of slots, as ``vectors`` takes them.
+        """
+        hits, inner = [0] * len(self.squares), [0.0] * len(self.squares)
+        found: dict[int, int] = {}
+        seen = set(terms(path))
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            if (code := _codes[word]) is not None:
+                slot = code[0] % dimensions
+                found[slot] = found.get(slot, 0) + n * code[1]
+                seen.add(_terms[word])
+        for term in seen & self.by_term.keys():
+            for at in self.by_term[term]:
+                hits[at] += 1
+        total, square, by_slot = sum(v * v for v in found.values()), 0.0, self.by_slot
+        for slot in sorted(found):
+            value = _units[found[slot], total]
+            square += value * value
+            if slot in by_slot:
+                for at, asked in by_slot[slot]:
+                    inner[at] += asked * value
+        return hits, [x / math.sqrt(q * square) if x > 0 else 0.0 for x, q in zip(inner, self.squares, strict=True)]
+
+
+def met_by(asked: dict[str, Asked], dimensions: int) -> Callable:
+    """A kernel from document, path and text of chunks to ``hits`` and ``similarity`` by the place of a question of the document."""
+
+    @F.arrow_udf(StructType([StructField("hits", ArrayType(IntegerType(), False), False), StructField("similarity", ArrayType(DoubleType(), False), False)]))
+    def meet(documents: pa.Array, paths: pa.Array, texts: pa.Array) -> pa.Array:
+        sizes, hits, similar = [], [], []
+        for document, path, text in zip(documents.to_pylist(), paths.to_pylist(), texts.to_pylist(), strict=True):
+            one = asked.get(document)
+            n, s = one.meet(path or "", text or "", dimensions) if one else ([], [])
+            sizes.append(len(n))
+            hits += n
+            similar += s
+        return pa.StructArray.from_arrays([_lists(sizes, pa.array(hits, pa.int32())), _lists(sizes, pa.array(similar, pa.float64()))], ["hits", "similarity"])
+
+    return meet
+
+
 def web_query(question: str) -> dict:
     """A question in web search syntax: words side by side must all occur, "or" parts alternatives, quotes make a phrase, a leading minus excludes.
 

@@ -3,48 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_SCRATCH = "/tmp/citeweave-scratch"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.startswith("local"):
-        found = LOCAL_SCRATCH
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks that ran on it,
-    and several readers of the result do not compute it again.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote; only when nothing lazy reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+from ..sources.scratch import discard, materialize  # noqa: F401  (operators of this folder take them from here)
 
 #: The operator that keeps something in this worker between batches, and how to let it go.
 _kept: list[tuple[str, Callable[[], None]]] = []

@@ -5,10 +5,14 @@ The anchor is a window aggregate, so no join is needed to compare chunks with it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import discard, materialize
 from . import search
 from .search import bonus, specificity
 
@@ -24,7 +28,8 @@ def _match_tiers(found: str, same: float, part: float, overlap: float) -> Column
     """Bonus for a title or FAQ question that equals, contains, or shares terms with the question; none if empty."""
     text = F.col(found)
     shared = F.size(F.array_intersect("q_terms", f"{found}_terms"))
-    enough = shared >= F.greatest(F.lit(2), F.floor(F.size("q_terms") * F.lit(0.6)).cast("int"))
+    # a title of fewer than two terms shares too few, so it is not compared
+    enough = (F.size(f"{found}_terms") >= 2) & (shared >= F.greatest(F.lit(2), F.floor(F.size("q_terms") * F.lit(0.6)).cast("int")))
     return F.when(text == "", 0.0).when(text == F.col("q_norm"), same).when(_contains_either(text, F.col("q_norm")), part).when(enough, overlap).otherwise(0.0)
 
 
@@ -100,7 +105,8 @@ def base_score(rows: DataFrame) -> DataFrame:
     if "f_hay" not in rows.columns:
         rows = with_features(rows)
     kind, faq = F.col("chunk_type"), F.col("chunk_type") == "faq"
-    coverage = F.coalesce(F.try_divide(F.size(F.array_intersect("q_terms", "f_terms")).cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
+    hits = F.col("hits") if "hits" in rows.columns else F.size(F.array_intersect("q_terms", "f_terms"))
+    coverage = F.coalesce(F.try_divide(hits.cast("double"), F.size("q_terms").cast("double")), F.lit(0.0))
     # Weights of the base score.
     parts = [
         F.coalesce("vector_score", F.lit(0.0)) * 0.68,
@@ -145,14 +151,14 @@ def base_order() -> tuple[Column, ...]:
     return F.desc("base"), F.desc("first"), F.col("ord"), F.col("id")
 
 
-def scored(questions: DataFrame, chunks: DataFrame, few: bool | None = None) -> DataFrame:
+def scored(questions: DataFrame, chunks: DataFrame, few: DataFrame | None) -> DataFrame:
     """First-stage candidates with their scores of both stages, ``first`` and ``base``, and without a rank; ``chunks`` are as parsed.
 
-    Few questions are sent to the chunks, so that no chunk moves and rows leave this join as narrow as they are asked for.
+    ``few`` are the questions if they are ``at_hand``: these are sent to the chunks, so that
+    no chunk moves and rows leave this join as narrow as they are asked for.
     """
-    few = search.is_few(questions) if few is None else few
-    index = with_features(search.index_chunks(search.wanted(questions, chunks) if few else chunks))
-    rows = search.local_scores(F.broadcast(questions) if few else questions, index).filter(F.col("score") > search.LEAST_SCORE)
+    index = with_features(search.index_chunks(chunks if few is None else search.wanted(few, chunks)))
+    rows = search.local_scores(questions if few is None else few, index).filter(F.col("score") > search.LEAST_SCORE)
     return base_score(rows.withColumn("first", F.col("score"))).withColumnRenamed("score", "base")
 
 
@@ -218,6 +224,16 @@ def rerank(rows: DataFrame) -> DataFrame:
     return placed.drop(*(c for c in placed.columns if c.startswith("f_")))
 
 
+def _beside_first(rows: DataFrame) -> DataFrame:
+    """Adds what decides about a chunk beside the ``__first`` of its question: section, page, and whether they are the first's, near it, or under its root."""
+    key = T.section_key(F.col("section_path"))
+    rows = rows.withColumn("__section", key).withColumn("__page", F.concat_ws("-", "page_from", "page_to"))
+    gap = page_distance(F.col("page_from"), F.col("page_to"), F.col("__first.page_from"), F.col("__first.page_to"))
+    # a chunk without a section has no root, and no root is not the default one
+    rooted = F.coalesce(_root(F.col("section_path")) == F.coalesce("__first.root", F.lit("Document")), F.lit(False))
+    return rows.withColumns({"__same": key == F.col("__first.section"), "__near": gap <= 1, "__rooted": rooted})
+
+
 def diversify(rows: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` chunks of each question with few of one section or page, in the order chosen (``place``).
 
@@ -231,15 +247,8 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
     bounds change nothing, so rows beyond them go before the rest is gathered: the walk is
     a fold over a number of rows that depends on ``limit`` alone, and rows are read once.
     """
-    first = F.min(_place(F.col("rank"))).over(_question())
-    key = T.section_key(F.col("section_path"))
-    page = F.concat_ws("-", "page_from", "page_to")
-    rows = rows.withColumn("__first", first).withColumn("__section", key).withColumn("__page", page)
-    gap = page_distance(F.col("page_from"), F.col("page_to"), F.col("__first.page_from"), F.col("__first.page_to"))
-    # a chunk without a section has no root, and no root is not the default one
-    rooted = F.coalesce(_root(F.col("section_path")) == F.coalesce("__first.root", F.lit("Document")), F.lit(False))
-    rows = rows.withColumns({"__same": key == F.col("__first.section"), "__near": gap <= 1, "__rooted": rooted})
-    best = F.col("rank") <= 2 * limit
+    rows = _beside_first(rows.withColumn("__first", F.min(_place(F.col("rank"))).over(_question())))
+    leading = F.col("rank") <= 2 * limit
     # at each step up to 2 * limit rows are there only because they are among the first
     alike = (
         (("__section", "__page", "__rooted"), 4),
@@ -249,7 +258,7 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
     )
     for keys, most in alike:
         nth = F.row_number().over(Window.partitionBy("qid", *keys).orderBy("rank"))
-        rows = rows.withColumn("__nth", nth).filter(best | (F.col("__nth") <= most))
+        rows = rows.withColumn("__nth", nth).filter(leading | (F.col("__nth") <= most))
     items = F.sort_array(F.collect_list(F.struct("rank", "__section", "__page", "__same", "__near", "__rooted")))
     start = F.struct(F.expr("cast(array() as array<int>)").alias("taken"), F.expr("cast(array() as array<string>)").alias("sections"), F.expr("cast(array() as array<string>)").alias("pages"))
 
@@ -270,6 +279,77 @@ def diversify(rows: DataFrame, limit: int) -> DataFrame:
     return found.select("qid", "__row.*", F.array_position("__order", F.col("__row.rank")).cast("int").alias("place"))
 
 
+def _only_first(rows: DataFrame, *order: Column) -> DataFrame:
+    return rows.withColumn("__n", F.row_number().over(_question().orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def best(questions: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """What ``diversify(rerank(candidates(...)), limit)`` chooses, with the texts, where pairs are too many to be sorted or moved.
+
+    Pairs are written once, scores and places only. Anchors and first chunks are found
+    from maxima by question, with ties resolved by the order of ``rerank``. Diversifying
+    takes at most ``4 + 4 * limit`` chunks of one section, rootedness and nearness, one of
+    each page at least; so a chunk that scores less than the best of as many pages of its
+    class is never looked at, nor is it among the first. Only others are ranked, and those
+    chosen meet their texts again.
+    """
+    few = search.at_hand(questions)
+    sent = F.broadcast if few is not None else lambda rows: rows
+    marked = chunks.withColumn("mark", F.xxhash64("text"))
+    found = scored(questions, marked, few)
+    held = materialize(
+        found.select(
+            *questions.columns,
+            *("id", "ord", "mark", "section_path", "page_from", "page_to", "chunk_type", "first", "base"),
+            _support().alias("support"),
+            (F.col("q_procedure") | F.col("q_value")).alias("in_order"),
+            (F.col("q_curing") & F.col("f_curing_chunk")).alias("curing"),
+            (F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") != "faq") & F.col("f_tooling_chunk")).alias("tooling"),
+        ),
+        "pairs",
+    )
+    # the anchor is the best of one kind, and one of a kind is near the top if its best is
+    base, kinds = F.col("base"), {"curing": 0.68, "tooling": 0.72}
+    tops = held.groupBy("qid").agg(F.max("base").alias("top"), *(F.max(F.when(F.col(k), base)).alias(f"top_{k}") for k in kinds))
+    near_top = [F.when(F.col(f"top_{k}") >= F.col("top") * share, F.lit(k)) for k, share in kinds.items()]
+    tops = tops.select("qid", F.coalesce(*near_top, F.lit("any")).alias("kind"), *("top", "top_curing", "top_tooling"))
+    tied = F.when(F.col("kind") == "curing", F.col("curing") & (base == F.col("top_curing"))).when(F.col("kind") == "tooling", F.col("tooling") & (base == F.col("top_tooling"))).otherwise(base == F.col("top"))
+    anchors = _only_first(held.join(sent(tops), "qid").filter(tied), *base_order()[1:])
+    anchors = materialize(anchors.select("qid", _place(F.lit(1)).alias("anchor")), "anchors")
+
+    anchor = F.col("anchor")
+    score = base + F.when(F.col("id") == anchor["id"], 0.0).otherwise(_continuity(anchor, F.col("in_order"))) + F.col("support")
+    moved = held.join(sent(anchors), "qid").withColumn("score", score).drop("anchor", "support", "in_order", "curing", "tooling")
+    highest = moved.groupBy("qid").agg(F.max("score").alias("highest"))
+    firsts = _only_first(moved.join(sent(highest), "qid").filter("score = highest"), *base_order())
+    firsts = materialize(firsts.select("qid", _place(F.lit(1)).alias("__first")), "firsts")
+
+    keys = ["qid", "__section", "__rooted", "__nearness"]
+    classed = _beside_first(moved.join(sent(firsts), "qid"))
+    # null-safe keys: chunks may lack a path or pages
+    classed = classed.withColumn("__nearness", F.coalesce(F.col("__near").cast("int"), F.lit(-1))).withColumn("__section", F.coalesce("__section", F.lit("\u0000")))
+    pages = classed.groupBy(*keys, "__page").agg(F.max("score").alias("highest"))
+    most = 4 + 4 * limit
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("highest")))
+    bounds = pages.withColumn("__n", nth).filter(F.col("__n") <= most).groupBy(*keys).agg(F.when(F.count("*") >= most, F.min("highest")).alias("least"))
+    bounds = materialize(bounds, "bounds")
+    likely = classed.join(sent(bounds), keys).filter("least is null or score >= least").select(*moved.columns)
+    ranked = likely.withColumn("rank", F.row_number().over(_question().orderBy(F.desc("score"), *base_order())))
+    chosen = materialize(diversify(ranked, limit).drop("rank", "first", "base"), "chosen")
+
+    # a document may hold copies of a chunk, of which each has the text
+    def alike(keys: list[str]) -> Column:
+        return reduce(and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+
+    key, pages = ["document_id", "id", "mark"], ["document_id", "page_from", "page_to"]
+    near = marked.alias("a").join(sent(chosen.select(*pages).distinct()).alias("b"), alike(pages), "left_semi")
+    texts = near.select(*key, "text").alias("a").join(sent(chosen.select(*key).distinct()).alias("b"), alike(key), "left_semi").dropDuplicates(key)
+    out = materialize(chosen.alias("a").join(texts.alias("b"), alike(key)).select("a.*", "b.text").drop("mark"), "retrieved")
+    for rows in (held, anchors, firsts, bounds, chosen):
+        discard(rows)
+    return out
+
+
 def label(rows: DataFrame) -> DataFrame:
     """Adds the labels S1, S2, ... in the order chosen."""
     return rows.withColumn("label", F.concat(F.lit("S"), F.col("place")))

@@ -6,11 +6,13 @@ on questions once; the join adds only what needs both.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import kernels
 from ..functions import text as T
@@ -55,18 +57,32 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return indexed.drop("__path", "__text")
 
 
-def is_few(questions: DataFrame) -> bool:
-    """Whether all questions fit into every executor, whatever their number: looked up at once."""
-    return (questions.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + 100)).first()[0] or 0) <= HANDED_OUT
+def at_hand(questions: DataFrame) -> DataFrame | None:
+    """Few questions as rows of the driver, with ``__at``, their place among those of their document; None if they are too many. They are looked up at once."""
+    if (questions.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + 100)).first()[0] or 0) > HANDED_OUT:
+        return None
+    seen: Counter = Counter()
+    rows = []
+    for r in questions.filter("document_id is not null").collect():
+        rows.append((*r, seen[r["document_id"]]))
+        seen[r["document_id"]] += 1
+    schema = StructType([*questions.schema.fields, StructField("__at", IntegerType(), False)])
+    return questions.sparkSession.createDataFrame(rows, schema)
 
 
-def wanted(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of the documents that (few) questions ask, with ``d_`` flags: what any question of the document wants of a chunk.
+def wanted(few: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of the documents that questions ``at_hand`` ask, with what both sides share and with ``d_`` flags: what any question of the document wants of a chunk.
 
-    Patterns that only some kind of question asks for are looked for where one does.
+    Shared terms and cosines are computed where a chunk is cut into terms, for all
+    questions of its document, so neither terms nor embeddings leave that place. Patterns
+    that only some kind of question asks for are looked for where one does.
     """
-    wants = question_signals(questions).groupBy("document_id").agg(*(F.coalesce(F.bool_or(f"q_{k}"), F.lit(False)).alias(f"d_{k}") for k in WANTED))
-    return chunks.join(F.broadcast(wants), "document_id")
+    wants = question_signals(few).groupBy("document_id").agg(*(F.coalesce(F.bool_or(f"q_{k}"), F.lit(False)).alias(f"d_{k}") for k in WANTED))
+    own: dict[str, kernels.Asked] = {}
+    for r in _asked(few).select("document_id", "__at", "q_terms", "q_embedding", "q_square").orderBy("document_id", "__at").collect():
+        own.setdefault(r["document_id"], kernels.Asked()).add(r["q_terms"] or (), r["q_embedding"] or {}, r["q_square"] or 0.0)
+    met = kernels.met_by(own, vocab.VECTOR_DIMENSIONS)(F.col("document_id"), T.joined_path(F.col("section_path"), " "), F.col("text"))
+    return chunks.join(F.broadcast(wants), "document_id").withColumn("__met", met)
 
 
 def if_wanted(rows: DataFrame, kinds: tuple[str, ...], value: Column, otherwise) -> Column:
@@ -108,16 +124,19 @@ VECTOR_WEIGHT, KEYWORD_WEIGHT, SECTION_BONUS, TYPE_BONUS, FAQ_PENALTY, LEAST_SCO
 def local_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Question and chunk columns with keyword_score, vector_score and score, for every chunk of a question's document.
 
-    ``questions``: qid, document_id, question. ``chunks`` as ``index_chunks`` gives them.
+    ``questions``: qid, document_id, question. ``chunks`` as ``index_chunks`` gives them,
+    of ``wanted`` chunks if the questions are those ``at_hand``; these then meet by broadcast.
     """
-    asked = _asked(questions)
+    asked = _asked(F.broadcast(questions) if "__met" in chunks.columns else questions)
     hay = F.col("haystack")
     known = chunks.withColumns({f"__{kind}": if_wanted(chunks, (kind,), hay.rlike(pattern), False) for kind, (pattern, _) in FIRST_STAGE.items()})
     known = known.withColumn("__digit", if_wanted(chunks, ("value",), F.col("text").rlike(r"\d"), False)).withColumn("__specific", specificity(1.2))
     met = asked.join(known, "document_id")
-    hits, n = F.size(F.array_intersect("q_terms", "terms")), F.size("q_terms")
+    shared = "__met" in chunks.columns
+    hits, n = F.get("__met.hits", F.col("__at")) if shared else F.size(F.array_intersect("q_terms", "terms")), F.size("q_terms")
     keyword = hits + F.coalesce(F.try_divide(hits.cast("double"), n.cast("double")), F.lit(0.0)) * 2 + bonus(F.contains(hay, F.col("q_norm")), 2.0)
-    met = met.withColumn("keyword_score", keyword).withColumn("vector_score", _similarity())
+    met = met.withColumn("keyword_score", keyword).withColumn("vector_score", F.get("__met.similarity", F.col("__at")) if shared else _similarity())
+    met = met.withColumn("hits", hits).drop("__met", "__at") if shared else met
     score = (
         F.col("vector_score") * VECTOR_WEIGHT
         + F.col("keyword_score") * KEYWORD_WEIGHT

@@ -140,7 +140,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = vocab.CHAT_LIMIT) -> DataFrame:
     """Search, rerank, diversify and label: the retrieval of a chat."""
-    return rerank.label(rerank.diversify(rerank.rerank(rerank.candidates(questions, rerank.with_features(search.index_chunks(chunks)))), limit))
+    return rerank.label(rerank.best(questions, chunks, limit))
 
 
 _BASE = rf"""
@@ -178,7 +178,8 @@ def rerank_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     First-stage scores that differ by the order of additions alone are ties, so that the
     place of every candidate is the same in both engines.
     """
-    rows = rerank.scored(views.whole_questions(spark, sf_dir), views.workspace_chunks(spark, sf_dir))
+    asked = views.whole_questions(spark, sf_dir)
+    rows = rerank.scored(asked, views.workspace_chunks(spark, sf_dir), search.at_hand(asked))
     rows = rows.select("qid", "id", "ord", F.round("first", 9).alias("first"), F.round("base", 9).alias("base"))
     base_rank = F.row_number().over(Window.partitionBy("qid").orderBy(*rerank.base_order()))
     return rows.select("qid", "id", F.round("base", 6).alias("base_score"), base_rank.alias("base_rank"))

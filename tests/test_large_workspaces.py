@@ -41,7 +41,7 @@ def test_patterns_are_looked_for_where_asked(spark):
     asked, chunks = workspace(spark, 1)
     # a document of one question alone: all other patterns are passed over there
     asked = asked.filter("document_id = 'd' or qid = 21")
-    held = {c: sorted(map(tuple, rerank.scored(asked, chunks, few=c).select("qid", "id", F.round("first", 9), F.round("base", 9), *(f"f_{k}" for k in ("hay", "title"))).collect())) for c in (True, False)}
+    held = {few is None: sorted(map(tuple, rerank.scored(asked, chunks, few).select("qid", "id", F.round("first", 9), F.round("base", 9), *(f"f_{k}" for k in ("hay", "title"))).collect())) for few in (None, search.at_hand(asked))}
     assert held[True] == held[False] and len(held[True]) == 150 * (len(QUESTIONS) + 1)
 
 
@@ -49,4 +49,34 @@ def test_rerank_base_moves_no_texts(spark):
     plan = registry.QUERIES["rerank_base"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     met = [line for line in plan.splitlines() if "Join Inner, (document_id" in line]
     assert met and all("strategy=broadcast" in line for line in met)
-    assert search.is_few(views.whole_questions(spark, SMALL))
+    assert search.at_hand(views.whole_questions(spark, SMALL)).count() == 40
+
+
+def rows_of(frame):
+    return sorted((r.qid, r.place, r.id, r.text, r.question, tuple(r.section_path), r.page_from, round(r.score, 9)) for r in frame.collect())
+
+
+def test_best_is_the_plain_path(spark):
+    """Thousands of pairs with ties, copies and many pages; also without the broadcast, where questions are too many."""
+    for seed, limit, n, pages in ((2, 12, 400, 300), (3, 3, 300, 6)):
+        asked, chunks = workspace(spark, seed, n=n, pages=pages)
+        chunks = chunks.union(chunks.filter("id = 'c7'")).cache()
+        plain = rerank.diversify(rerank.rerank(rerank.candidates(asked, rerank.with_features(search.index_chunks(chunks)))), limit)
+        want = [r[:-1] for r in rows_of(plain)]
+        found = rerank.best(asked, chunks, limit)
+        assert [r[:-1] for r in rows_of(found)] == want and found.groupBy("qid").count().filter(f"count != {limit}").isEmpty()
+    limit, search.HANDED_OUT = search.HANDED_OUT, 0
+    try:
+        assert [r[:-1] for r in rows_of(rerank.best(asked, chunks, 3))] == want
+    finally:
+        search.HANDED_OUT = limit
+
+
+def test_pairs_that_move_have_no_texts(spark, tmp_path):
+    """What retrieval writes for every pair are scores and places; questions that meet nothing and absent pages are no failure."""
+    asked, chunks = workspace(spark, 4, n=30)
+    chunks = chunks.withColumn("page_to", F.when(F.col("ord") % 3 != 0, F.col("page_to"))).withColumn("page_from", F.when(F.col("ord") % 4 != 0, F.col("page_from")))
+    found = rerank.best(asked, chunks, 12)
+    assert found.count() == 12 * asked.count() and found.filter("text is null").isEmpty()
+    assert rerank.best(asked.filter("false"), chunks, 12).isEmpty()
+    assert rerank.best(asked, chunks.filter("false"), 12).isEmpty()

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from . import kernels, vocab
 
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-_EDGE = rf"\A{SPACE}+|{SPACE}+\z"
+#: The characters of ``SPACE``, of which a text's ends are freed without a pattern that looks at every place.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NUMBER = r"\d+(?:[.,]\d+)?"
 
 
@@ -29,7 +30,7 @@ def leading(pattern: str) -> str:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, _EDGE, "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def normalize_whitespace(x: Column) -> Column:
@@ -212,11 +213,11 @@ def is_faq_question(line: Column, path: Column) -> Column:
 
 
 def letters(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, "[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(x, "[^A-Za-z]+", ""))
 
 
 def upper_share(x: Column) -> Column:
-    return F.coalesce(F.try_divide(F.length(F.regexp_replace(x, "[^A-Z]", "")).cast("double"), letters(x).cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.length(F.regexp_replace(x, "[^A-Z]+", "")).cast("double"), letters(x).cast("double")), F.lit(0.0))
 
 
 def looks_like_heading(line: Column, font: Column, body: Column) -> Column:
@@ -225,7 +226,8 @@ def looks_like_heading(line: Column, font: Column, body: Column) -> Column:
     caps = (upper_share(text) >= 0.88) & (n_words <= 10)
     large = (font >= body + 6) & (n_words <= 8) & ~text.rlike("[.,]") & ~text.rlike("[a-z]{4,}")
     larger = (font >= body + 8) & (n_words <= 12) & ~text.rlike("[a-z]{5,}")
-    shape = (letters(text) >= 4) & (F.length(text) >= 4) & (F.length(text) <= 90) & ~text.rlike(r"[.,]\z")
+    # the cheap bounds come first, so that other conditions are looked at for short lines alone
+    shape = (F.length(text) <= 90) & (F.length(text) >= 4) & (letters(text) >= 4) & ~text.rlike(r"[.,]\z")
     return shape & (text.rlike(leading("faq")) | caps | large | larger)
 
 

@@ -95,7 +95,7 @@ def page_medians(lines: DataFrame) -> DataFrame:
 
 
 def _heading_candidate(text: Column, font: Column, body: Column) -> Column:
-    share = F.coalesce(F.try_divide(F.length(F.regexp_replace(text, "[^A-Z]", "")).cast("double"), T.letters(text).cast("double")), F.lit(-1.0))
+    share = F.coalesce(F.try_divide(F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("double"), T.letters(text).cast("double")), F.lit(-1.0))
     return F.length(text).between(4, 90) & ~text.rlike(r"[.!]\z") & ((font >= body + 5) | ((font >= body + 2) & (share >= 0.72)))
 
 
@@ -159,7 +159,8 @@ def is_page_artifact(x: Column, page: Column) -> Column:
     """A line of one to three short numbers, one of which is the page's; a lone number of two digits at most is one anyway."""
     text = T.trim(x)
     parts = T.split_words(text)
-    numeric = (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(r"\A\d{1,3}\z"))
+    # a line with any other character is out at once
+    numeric = text.rlike(rf"\A(?:[0-9]|{T.SPACE})+\z") & (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(r"\A\d{1,3}\z"))
     own = F.exists(parts, lambda p: p.try_cast("int") == page)
     return numeric & (((F.size(parts) == 1) & (F.length(text) <= 2)) | ((F.size(parts) <= 3) & own))
 
@@ -171,8 +172,11 @@ def clean_pages(lines: DataFrame, vendor: str | None = None) -> DataFrame:
     """
     rows = _placed(lines)
     counts = boundary_counts(lines).select("document_id", F.col("key").alias("__key"), F.col("n").alias("__hits"))
-    rows = rows.join(counts, ["document_id", "__key"], "left")
-    repeated = (F.coalesce("__hits", F.lit(0)) >= 3) & ((F.col("__i") <= 2) | (F.col("__i") >= F.col("__n") - 4)) & F.col("__key").isNotNull()
+    # lines that cannot be a header or footer meet nothing, so they are dealt out by place instead of all by the absent key
+    at_end = ((F.col("__i") <= 2) | (F.col("__i") >= F.col("__n") - 4)) & F.col("__key").isNotNull()
+    rows = rows.withColumn("__dealt", F.when(at_end, 0).otherwise(F.pmod(F.hash("page", "line_no"), F.lit(1000)) + 1)).withColumn("__key", F.when(at_end, F.col("__key")).otherwise(""))
+    rows = rows.join(counts.filter("__hits >= 3").withColumn("__dealt", F.lit(0)), ["document_id", "__key", "__dealt"], "left")
+    repeated = F.col("__hits").isNotNull()
     noise = is_page_artifact(F.col("text"), F.col("page")) | F.col("text").rlike(FOOTER + (rf"|contact {vendor}" if vendor else "")) | repeated
     return rows.filter(~noise).select(*lines.columns)
 

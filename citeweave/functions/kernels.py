@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable
 from decimal import ROUND_HALF_UP, Decimal
 from hashlib import sha1
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,47 +116,155 @@ class Asked:
         for slot, value in embedding.items():
             self.by_slot.setdefault(slot, []).append((at, value))
 
-    def meet(self, path: str, text: str, dimensions: int) -> tuple[list[int], list[float]]:
-        """For every question the number of its terms in path and text, and the cosine of both embeddings, not below 0.
+
+#: Characters of texts, and pairs of a chunk and a question, that are met at once.
+AT_ONCE = 500_000
+#: Values in embeddings that stand in a table: squares of texts below the first, counts below half the second.
+_SQUARES, _COUNTS = 4_096, 16
+_table = np.full(_SQUARES * _COUNTS, np.nan)
+
+
+def _values(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """``_units`` of every count and its text's sum of squares."""
+    half = _COUNTS // 2
+    at = np.where((np.abs(counts) < half) & (totals < _SQUARES), totals * _COUNTS + counts + half, -1)
+    values = _table[at]
+    for k in np.unique(at[np.isnan(values) & (at >= 0)]).tolist():
+        _table[k] = _units[k % _COUNTS - half, k // _COUNTS]
+    values = _table[at]
+    for i in np.flatnonzero(at < 0).tolist():
+        values[i] = _units[int(counts[i]), int(totals[i])]
+    return values
+
+
+class _Postings:
+    """Sorted keys, each with its run of rows of the columns."""
+
+    def __init__(self, found: dict[int, list], kinds: list) -> None:
+        keys = sorted(found)
+        rows = [x for k in keys for x in found[k]]
+        self.keys = np.array(keys, np.int64)
+        self.sizes = np.array([len(found[k]) for k in keys], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.columns = [np.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+    def met(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The places of the keys that are found, one for each row of their runs, in order, and these rows."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), [c[:0] for c in self.columns]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        own = np.flatnonzero(self.keys[at] == keys)
+        sizes = self.sizes[at[own]]
+        rows = np.repeat(self.starts[at[own]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.repeat(own, sizes), [c[rows] for c in self.columns]
+
+
+class _Words(dict):
+    """Word -> its place in the lists of slots, signs, and places of terms among those asked; -1 where there is none."""
+
+    def __init__(self, terms: dict[str, int], dimensions: int) -> None:
+        self.terms, self.dimensions = terms, dimensions
+        self.slots, self.signs, self.asked = array("q"), array("q"), array("q")
+
+    def __missing__(self, word: str) -> int:
+        code = _codes[word]
+        self.slots.append(-1 if code is None else code[0] % self.dimensions)
+        self.signs.append(0 if code is None else code[1])
+        self.asked.append(-1 if code is None else self.terms.get(_terms[word], -1))
+        self[word] = at = len(self)
+        return at
+
+
+class Meeting:
+    """What the questions of all documents ask, by document and term and by document and slot."""
+
+    def __init__(self, asked: dict[str, Asked], dimensions: int) -> None:
+        self.dimensions = dimensions
+        self.documents = {document: d for d, document in enumerate(asked)}
+        self.sizes = np.array([*(len(a.squares) for a in asked.values()), 0], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.squares = np.array([q for a in asked.values() for q in a.squares], np.float64)
+        self.terms: dict[str, int] = {}
+        for a in asked.values():
+            for t in a.by_term:
+                self.terms.setdefault(t, len(self.terms))
+        n = len(self.terms)
+        self.by_term = _Postings({d * n + self.terms[t]: [(at,) for at in found] for d, a in enumerate(asked.values()) for t, found in a.by_term.items()}, [np.int64])
+        self.by_slot = _Postings({d * dimensions + slot: found for d, a in enumerate(asked.values()) for slot, found in a.by_slot.items()}, [np.int64, np.float64])
+        self.words = _Words(self.terms, dimensions)
+
+    def _places(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The row and place of every word."""
+        found = [_WORD.findall(t.lower()) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        return np.repeat(np.arange(len(found)), sizes), places
+
+    def meet(self, documents: list, paths: list, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every row the number of its document's questions; then one after the other, for each of
+        these, the number of its terms in path and text, and the cosine of both embeddings, not below 0.
 
         Sums are taken in the order of slots, as ``vectors`` takes them.
         """
-        hits, inner = [0] * len(self.squares), [0.0] * len(self.squares)
-        found: dict[int, int] = {}
-        seen = set(terms(path))
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            if (code := _codes[word]) is not None:
-                slot = code[0] % dimensions
-                found[slot] = found.get(slot, 0) + n * code[1]
-                seen.add(_terms[word])
-        for term in seen & self.by_term.keys():
-            for at in self.by_term[term]:
-                hits[at] += 1
-        total, square, by_slot = sum(v * v for v in found.values()), 0.0, self.by_slot
-        for slot in sorted(found):
-            value = _units[found[slot], total]
-            square += value * value
-            if slot in by_slot:
-                for at, asked in by_slot[slot]:
-                    inner[at] += asked * value
-        return hits, [x / math.sqrt(q * square) if x > 0 else 0.0 for x, q in zip(inner, self.squares, strict=True)]
+        if len(self.words) > REMEMBERED:
+            self.words = _Words(self.terms, self.dimensions)
+        n, d = len(texts), self.dimensions
+        doc = np.array([self.documents.get(x, len(self.documents)) for x in documents], np.int64)
+        sizes = self.sizes[doc]
+        pairs, base = int(sizes.sum()), np.cumsum(sizes) - sizes
+        (row, word), (path_row, path_word) = self._places(texts), self._places(paths)
+        # copies, for these still grow
+        slots, signs, asked = (np.array(x, np.int64) for x in (self.words.slots, self.words.signs, self.words.asked))
+
+        term_row, term = np.concatenate([row, path_row]), asked[np.concatenate([word, path_word])]
+        term_row, term = np.divmod(np.unique((term_row * len(self.terms) + term)[term >= 0]), max(len(self.terms), 1))
+        own, (at,) = self.by_term.met(doc[term_row] * len(self.terms) + term)
+        hits = np.bincount(base[term_row[own]] + at, minlength=pairs)
+
+        # signs in the lowest bit, so that words of one slot of a row lie side by side with them
+        slot = slots[word]
+        coded = ((row * d + slot) * 2 + (signs[word] > 0))[slot >= 0]
+        coded.sort()
+        key = coded >> 1
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        counts = np.add.reduceat((coded & 1) * 2 - 1, starts) if len(starts) else key
+        row, slot = np.divmod(key[starts], d)
+        totals = np.bincount(row, counts * counts, n).astype(np.int64)
+        value = _values(counts, totals[row])
+        square = np.bincount(row, value * value, n)
+        own, (at, other) = self.by_slot.met(doc[row] * d + slot)
+        inner = np.bincount(base[row[own]] + at, other * value[own], pairs)
+        asked_square = self.squares[np.repeat(self.first[doc] - base, sizes) + np.arange(pairs)]
+        norm = np.sqrt(asked_square * np.repeat(square, sizes))
+        return sizes, hits, np.divide(inner, norm, out=np.zeros(pairs), where=inner > 0)
+
+    def slices(self, documents: list, texts: list) -> Iterable[slice]:
+        """Runs of rows of bounded characters and pairs, one row at least."""
+        start = taken = 0
+        for i, (document, text) in enumerate(zip(documents, texts, strict=True)):
+            taken += len(text) + self.sizes[self.documents.get(document, len(self.documents))] + 1
+            if taken >= AT_ONCE:
+                yield slice(start, i + 1)
+                start, taken = i + 1, 0
+        if start < len(texts):
+            yield slice(start, len(texts))
 
 
 def met_by(asked: dict[str, Asked], dimensions: int) -> Callable:
-    """A kernel from document, path and text of chunks to ``hits`` and ``similarity`` by the place of a question of the document."""
+    """A kernel from document, path and text of chunks to ``hits`` and ``similarity`` by the place of a question of the document.
+
+    It is said to be nondeterministic: else Spark computes it a second time below a join, to filter out nulls that it never gives.
+    """
+    meeting = Meeting(asked, dimensions)
 
     @F.arrow_udf(StructType([StructField("hits", ArrayType(IntegerType(), False), False), StructField("similarity", ArrayType(DoubleType(), False), False)]))
     def meet(documents: pa.Array, paths: pa.Array, texts: pa.Array) -> pa.Array:
-        sizes, hits, similar = [], [], []
-        for document, path, text in zip(documents.to_pylist(), paths.to_pylist(), texts.to_pylist(), strict=True):
-            one = asked.get(document)
-            n, s = one.meet(path or "", text or "", dimensions) if one else ([], [])
-            sizes.append(len(n))
-            hits += n
-            similar += s
-        return pa.StructArray.from_arrays([_lists(sizes, pa.array(hits, pa.int32())), _lists(sizes, pa.array(similar, pa.float64()))], ["hits", "similarity"])
-
-    return meet
+        own, path, text = documents.to_pylist(), [p or "" for p in paths.to_pylist()], [t or "" for t in texts.to_pylist()]
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        sizes, hits, similar = map(np.concatenate, zip(none, *(meeting.meet(own[s], path[s], text[s]) for s in meeting.slices(own, text)), strict=True))
+        return pa.StructArray.from_arrays([_lists(sizes, pa.array(hits.astype(np.int32))), _lists(sizes, pa.array(similar))], ["hits", "similarity"])
+
+    return meet.asNondeterministic()
 
 
 def web_query(question: str) -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import discard, materialize
+from ..sources.scratch import discard, materialize, small_methods
 from . import search
 from .search import bonus, specificity
 
@@ -297,17 +297,16 @@ def best(questions: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     sent = F.broadcast if few is not None else lambda rows: rows
     marked = chunks.withColumn("mark", F.xxhash64("text"))
     found = scored(questions, marked, few)
-    held = materialize(
-        found.select(
-            *questions.columns,
-            *("id", "ord", "mark", "section_path", "page_from", "page_to", "chunk_type", "first", "base"),
-            _support().alias("support"),
-            (F.col("q_procedure") | F.col("q_value")).alias("in_order"),
-            (F.col("q_curing") & F.col("f_curing_chunk")).alias("curing"),
-            (F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") != "faq") & F.col("f_tooling_chunk")).alias("tooling"),
-        ),
-        "pairs",
+    pairs = found.select(
+        *questions.columns,
+        *("id", "ord", "mark", "section_path", "page_from", "page_to", "chunk_type", "first", "base"),
+        _support().alias("support"),
+        (F.col("q_procedure") | F.col("q_value")).alias("in_order"),
+        (F.col("q_curing") & F.col("f_curing_chunk")).alias("curing"),
+        (F.col("q_tooling") & ~F.col("q_yesno") & (F.col("chunk_type") != "faq") & F.col("f_tooling_chunk")).alias("tooling"),
     )
+    with small_methods(chunks.sparkSession):
+        held = materialize(pairs, "pairs")
     # the anchor is the best of one kind, and one of a kind is near the top if its best is
     base, kinds = F.col("base"), {"curing": 0.68, "tooling": 0.72}
     tops = held.groupBy("qid").agg(F.max("base").alias("top"), *(F.max(F.when(F.col(k), base)).alias(f"top_{k}") for k in kinds))

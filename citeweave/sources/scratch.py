@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """While this holds, what is executed is generated as methods that the JVM compiles.
+
+    By default Spark keeps a whole stage in one method up to 64 KB, but the JVM only
+    interprets methods above 8,000 bytes; above that Spark then generates operators by
+    themselves, whose expressions it splits. Only for what is executed inside.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote; only when nothing lazy reads it any more."""
     path = getattr(df, "_scratch_path", None)

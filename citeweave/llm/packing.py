@@ -18,6 +18,7 @@ import itertools
 import math
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,21 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep_alone, materialize, text_slices
+from .bpe import byte_alphabet
 
 CAPACITY, END_ID, GROUP, FINE, FINEST = 4096, 2, 2048, 512, 32
 CACHE_ENTRIES, CACHE_LONGEST = 800_000, 64
 
-#: White space of the tokenizer's pattern. str.split knows four control characters more.
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_MORE_SPACE = re.compile("[\x1c-\x1f]")
-#: A comma or full stop after a plain letter or digit begins a word; this finds any other.
-_ODD_STOP = re.compile("(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])[,.]")
+_BLANK, _COMMA, _STOP = b" ,."
+#: White space of the tokenizer's pattern: what is one byte of UTF-8 becomes a blank; of the others C2 leads two bytes, the rest lead three.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[list(b"\t\n\v\f\r")] = _BLANK
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0")) for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+_LEADS = np.isin(np.arange(256), _WIDE >> 16)
+#: A comma or full stop behind a plain letter or digit begins a word: those of ASCII, and what follows C3 in À-Ö, Ø-ö and ø-ÿ.
+_LETTER = np.isin(np.arange(256), list(b"0123456789" + string.ascii_letters.encode()))
+_AFTER_C3 = (np.arange(256) >= 0x80) & (np.arange(256) != 0x97) & (np.arange(256) != 0xB7)
+#: A chunk of at most 64 such letters alone is one word of the pattern, and its small letters are composed already.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,64}")
+#: Its bytes as characters of the vocabulary, of small letters; blanks and newlines stay.
+_SPELLED = np.zeros(256, np.uint32)
+_SPELLED[[*byte_alphabet().values()]] = [ord(c) for c in byte_alphabet()]
+_SPELLED[ord("A") : ord("Z") + 1] = _SPELLED[ord("a") : ord("z") + 1]
+_SPELLED[0x80:0x9F] = _SPELLED[0xA0:0xBF]
+_SPELLED[list(b" \n")] = list(b" \n")
 
 
 class WordTokens:
     """Token ids of whole texts by the tokenizers library, which sees each distinct chunk once while it is cached.
 
-    The vocabulary drops white space, so what stands between it is encoded alone.
+    The vocabulary drops white space, so what stands between it is encoded alone. A batch is cut and
+    its distinct chunks are found as arrays; only these become Python objects. Plain words go to the
+    library's model directly, all other chunks through its normalizer and pattern.
     """
 
     def __init__(self, path: str):
@@ -53,35 +69,78 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        if _MORE_SPACE.search(text):
-            return [c for c in _SPACE.split(text) if c]
-        if not _ODD_STOP.search(text):
-            text = text.replace(",", " ,").replace(".", " .")
-        return text.split()
+    def cut(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of texts that begin at ``starts``, with blanks for all white space, and where its chunks begin.
+
+        A chunk begins with a text, at a blank, or at a comma or full stop that begins a word.
+        """
+        plain = _PLAIN[data]
+        lead = np.flatnonzero(_LEADS[data])
+        if lead.size:
+            second, third = data[np.minimum(lead + 1, len(data) - 1)], data[np.minimum(lead + 2, len(data) - 1)]
+            two = data[lead] == 0xC2
+            code = data[lead].astype(np.int64) << 16 | second.astype(np.int64) << 8 | np.where(two, 0, third)
+            wide = np.isin(code, _WIDE)
+            lead, two = lead[wide], two[wide]
+            plain[lead] = plain[lead + 1] = plain[lead[~two] + 2] = _BLANK
+        begins = plain == _BLANK
+        stops = np.flatnonzero((plain == _COMMA) | (plain == _STOP))
+        stops = stops[stops > 0]
+        before = plain[stops - 1]
+        begins[stops[_LETTER[before] | _AFTER_C3[before] & (plain[stops - 2] == 0xC3)]] = True
+        begins[starts[starts < len(data)]] = True
+        return plain, np.flatnonzero(begins)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [self.chunks(t) for t in texts]
+        if not any(texts):
+            return [b""] * len(texts)
+        _, offsets, data = pa.array(texts, pa.large_string()).buffers()
+        starts = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        plain, at = self.cut(np.frombuffer(data, np.uint8, starts[-1]), starts)
+        ends = np.append(at, starts[-1])
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(plain)]).dictionary_encode()
+        ids = pa.array(self._ids(_items(chunks.dictionary)), pa.large_binary()).take(chunks.indices)
+        return _items(ids, np.searchsorted(ends, starts))
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.new) > CACHE_ENTRIES // 2:
             self.old, self.new = self.new, {}
-        new, old, extra, fresh = self.new, self.old, {}, []
-        for c in set(itertools.chain.from_iterable(cut)).difference(new):
-            if c in old:
-                new[c] = old[c]
+        new, old, fresh = self.new, self.old, []
+        out = list(map(new.get, chunks))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            if (ids := old.get(chunks[k])) is None:
+                fresh.append(k)
             else:
-                fresh.append(c)
+                out[k] = new[chunks[k]] = ids
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (new if len(c) <= CACHE_LONGEST else extra)[c] = array("I", e.ids).tobytes()
-        if extra:
-            return [b"".join([new[c] if c in new else extra[c] for c in parts]) for parts in cut]
-        return [b"".join(map(new.__getitem__, parts)) for parts in cut]
+            for k, ids in zip(part, self._fresh([chunks[k] for k in part]), strict=True):
+                out[k] = array("I", ids).tobytes()
+                if len(chunks[k]) <= CACHE_LONGEST:
+                    new[chunks[k]] = out[k]
+        return out
+
+    def _fresh(self, chunks: list[bytes]) -> Iterator[list[int]]:
+        plain = list(map(_WORD.fullmatch, chunks))
+        spelled = np.frombuffer(b"\n".join([c for c, p in zip(chunks, plain, strict=True) if p]), np.uint8)
+        words = iter(_SPELLED[spelled].astype("<u4").tobytes().decode("utf-32-le").split())
+        others = iter(self.tokenizer.encode_batch_fast([c.decode() for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        tokenize = self.tokenizer.model.tokenize
+        for p in plain:
+            yield [t.id for t in tokenize(next(words))] if p else next(others).ids
+
+
+def _items(of: pa.LargeBinaryArray, bounds: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """Bytes of each item, or of all items between ``bounds``."""
+    _, offsets, data = of.buffers()
+    whole = data.to_pybytes() if data else b""
+    return [whole[lo:hi] for lo, hi in itertools.pairwise(np.frombuffer(offsets, np.int64, len(of) + 1)[bounds].tolist())]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -121,7 +180,7 @@ class _Pieces:
         keep_alone("packing", _loaded.clear)
         own, cap = word_tokens(self.path), self.capacity
         end = END_ID.to_bytes(4, "little")
-        for part, texts in text_slices(batches, most=2_000_000):
+        for part, texts in text_slices(batches, most=4_000_000):
             rows = []
             for doc_id, packed in zip(part.column("doc_id").to_pylist(), own.encode_batch(texts), strict=True):
                 packed += end

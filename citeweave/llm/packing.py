@@ -33,7 +33,7 @@ from ._shared import keep_alone, materialize, text_slices
 from .bpe import byte_alphabet
 
 CAPACITY, END_ID, GROUP, FINE, FINEST = 4096, 2, 2048, 512, 32
-CACHE_ENTRIES, CACHE_LONGEST = 800_000, 64
+CACHE_ENTRIES, CACHE_LONGEST = 400_000, 64
 
 _BLANK, _COMMA, _STOP = b" ,."
 #: White space of the tokenizer's pattern: what is one byte of UTF-8 becomes a blank; of the others C2 leads two bytes, the rest lead three.
@@ -180,7 +180,7 @@ class _Pieces:
         keep_alone("packing", _loaded.clear)
         own, cap = word_tokens(self.path), self.capacity
         end = END_ID.to_bytes(4, "little")
-        for part, texts in text_slices(batches, most=4_000_000):
+        for part, texts in text_slices(batches, most=2_000_000):
             rows = []
             for doc_id, packed in zip(part.column("doc_id").to_pylist(), own.encode_batch(texts), strict=True):
                 packed += end
